@@ -114,3 +114,12 @@ def code_words(text: Column) -> Column:
     """Distinct identifiers of a text in order: an inner underscore, or a small letter before a capital one."""
     words = F.array_distinct(F.regexp_extract_all(text, F.lit(r"[A-Za-z_][A-Za-z0-9_]*"), F.lit(0)))
     return F.slice(F.filter(words, lambda w: (F.length(w) >= 3) & (F.length(w) <= 64) & (w.rlike(r"[A-Za-z0-9]_+[A-Za-z0-9]") | w.rlike(r"[a-z][A-Z]"))), 1, 48)
+
+
+def mentions(text: Column) -> Column:
+    """Lower-case file and module paths that a text names, distinct, at most 24."""
+    raw = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    bare = F.transform(raw, lambda w: F.regexp_replace(F.regexp_replace(F.regexp_replace(w, r"^[.,;:'\"()\[\]{}<>`*]+|[.,;:'\"()\[\]{}<>`*]+$", ""), r"[#?].*$", ""), r":\d+$", ""))
+    plain = F.filter(F.transform(bare, lambda w: F.regexp_replace(F.replace(w, F.lit("\\"), F.lit("/")), r"^(\./)+", "")), lambda w: w.rlike(r"^[A-Za-z0-9_/.@+-]{3,200}$"))
+    named = F.transform(plain, lambda w: F.when(w.rlike(r"(?i)(^|/)[^/]+\.(" + "|".join(FILE_EXTENSIONS) + ")$"), F.lower(w)).when(w.rlike(r"^[A-Za-z_]\w*(\.[A-Za-z_]\w*)+$"), F.lower(F.replace(w, F.lit("."), F.lit("/")))))
+    return F.slice(F.array_distinct(F.filter(named, lambda w: w.isNotNull())), 1, 24)
