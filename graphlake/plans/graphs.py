@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections import OrderedDict
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +10,7 @@ from graphlake.operators import graph as G
 from graphlake.operators import resolve as R
 from graphlake.operators.windows import top_per_group
 from graphlake.plans import sql as S
-from graphlake.plans.session import shared_folder
+from graphlake.plans.session import kept_index, shared_folder
 from graphlake.sources import facts
 
 # Rounds of PageRank in the queries that SQL checks; the operator itself runs to convergence.
@@ -55,20 +53,9 @@ class Linked:
         return top.select(F.col("node").alias("query_id"), "node")
 
 
-_INDEXES: OrderedDict[tuple[str, str], Linked] = OrderedDict()
-# Indexes kept at once; the one not used for longest goes first.
-INDEXES = 4
-
-
 def index(spark: SparkSession, directory: str) -> Linked:
-    """The index of a data directory: built by the first query on it, then read by the others of the application."""
-    key = (spark.sparkContext.applicationId, directory)
-    if key not in _INDEXES:
-        _INDEXES[key] = Linked(spark, directory)
-    _INDEXES.move_to_end(key)
-    while len(_INDEXES) > INDEXES:
-        _INDEXES.popitem(last=False)
-    return _INDEXES[key]
+    """The resolved graphs of a data directory, built once in an application."""
+    return kept_index(spark, directory, "graphs", lambda: Linked(spark, directory))
 
 
 def import_edges(spark: SparkSession, directory: str) -> DataFrame:

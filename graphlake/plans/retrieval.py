@@ -11,6 +11,7 @@ from graphlake.operators import search as Q
 from graphlake.operators import windows as W
 from graphlake.plans import graphs
 from graphlake.plans import sql as S
+from graphlake.plans.session import kept_index
 from graphlake.sources import facts
 from graphlake.sources.tables import one_each, table
 
@@ -32,8 +33,13 @@ def _documents(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def _document_index(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
-    words = _documents(spark, directory).select("doc_id", X.tokens(F.col("text")).alias("ws"))
-    return Q.postings(words, "doc_id", "ws"), words.select("doc_id", F.size("ws").alias("len"))
+    """Postings and lengths of the documents, written by the first query of the application that needs them."""
+
+    def build() -> tuple[DataFrame, DataFrame]:
+        words = _documents(spark, directory).select("doc_id", X.tokens(F.col("text")).alias("ws")).checkpoint()
+        return Q.postings(words, "doc_id", "ws").checkpoint(), words.select("doc_id", F.size("ws").alias("len"))
+
+    return kept_index(spark, directory, "documents", build)
 
 
 def bm25_topk(spark: SparkSession, directory: str) -> DataFrame:
@@ -69,14 +75,18 @@ def bm25_batch(spark: SparkSession, directory: str) -> DataFrame:
 
 def _chunk_index(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
     """Postings and lengths of chunks: the words of their lines, of their symbol's name twice, and of their path once."""
+    return kept_index(spark, directory, "chunks", lambda: _read_chunks(spark, directory))
+
+
+def _read_chunks(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
     files, texts = facts.files(spark, directory), facts.texts(spark, directory)
     chunks = facts.chunks(spark, directory).where("end_line >= start_line AND start_line >= 1")
     named = facts.symbols(spark, directory).select("symbol_id", "name")
     full = chunks.join(files.select("file_id", "path"), "file_id").join(texts, "file_id").join(named, "symbol_id", "left")
     body = X.tokens(F.array_join(X.line_range(F.col("content"), F.col("start_line"), F.col("end_line")), "\n"))
     name = F.coalesce(X.tokens(F.col("name")), F.array().cast("array<string>"))
-    words = full.select("chunk_id", "file_id", "start_line", "end_line", "symbol_id", F.concat(body, name, name, X.tokens(F.col("path"))).alias("ws"))
-    return Q.postings(words, "chunk_id", "ws"), words.select("chunk_id", "file_id", "start_line", "end_line", "symbol_id", F.size("ws").alias("len"))
+    words = full.select("chunk_id", "file_id", "start_line", "end_line", "symbol_id", F.concat(body, name, name, X.tokens(F.col("path"))).alias("ws")).checkpoint()
+    return Q.postings(words, "chunk_id", "ws").checkpoint(), words.select("chunk_id", "file_id", "start_line", "end_line", "symbol_id", F.size("ws").alias("len"))
 
 
 def bm25_two_level(spark: SparkSession, directory: str) -> DataFrame:
@@ -140,7 +150,6 @@ def popup_match(spark: SparkSession, directory: str) -> DataFrame:
 def _lists(spark: SparkSession, directory: str, t: Q.Tuning) -> tuple[list, DataFrame, DataFrame, DataFrame]:
     index = graphs.index(spark, directory)
     post, chunks = _chunk_index(spark, directory)
-    post, chunks = post.checkpoint(), chunks.checkpoint()
     questions = _questions(spark)
     terms = Q.cap_terms(Q.query_terms(questions), post, chunks.agg(F.count("*").alias("n")), t.qcap)
     lexical = Q.top(Q.bm25(post, chunks.select("chunk_id", "len"), terms, "chunk_id"), "chunk_id", t.cand).join(chunks.select("chunk_id", "file_id", "start_line"), "chunk_id")

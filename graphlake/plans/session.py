@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
+from collections import OrderedDict
+from collections.abc import Callable
 from pathlib import Path
+from typing import TypeVar
 
 from pyspark.sql import SparkSession
 
+Index = TypeVar("Index")
+
 
 def shared_folder(spark: SparkSession) -> None:
     """Points checkpoint() at the cluster's shared folder; only a session that names none gets a local one."""
@@ -35,3 +40,20 @@ def ship(spark: SparkSession) -> None:
             z.write(source, source.relative_to(package.parent))
     context.addPyFile(str(archive))
     _SHIPPED.add(context.applicationId)
+
+
+_INDEXES: OrderedDict[tuple[str, str, str], object] = OrderedDict()
+# Indexes kept at once; the one not used for longest goes first.
+INDEXES = 8
+
+
+def kept_index(spark: SparkSession, directory: str, name: str, build: Callable[[], Index]) -> Index:
+    """An index of a data directory: built by the first query of the application that needs it, then read by others."""
+    shared_folder(spark)
+    key = (spark.sparkContext.applicationId, directory, name)
+    if key not in _INDEXES:
+        _INDEXES[key] = build()
+    _INDEXES.move_to_end(key)
+    while len(_INDEXES) > INDEXES:
+        _INDEXES.popitem(last=False)
+    return _INDEXES[key]  # type: ignore[return-value]
