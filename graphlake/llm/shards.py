@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphlake.plans.session import shared_folder
 
-__all__ = ["shared_folder", "smallest_per_group"]
+__all__ = ["shared_folder", "smallest_per_group", "spread"]
 
 
 def smallest_per_group(df: DataFrame, group: str, value: str | Column, k: int) -> DataFrame:
@@ -21,3 +21,9 @@ def smallest_per_group(df: DataFrame, group: str, value: str | Column, k: int) -
     partial = wanted.groupBy(group, "__part").agg(least.alias("__some"))
     merged = partial.select(group, F.explode("__some").alias("__value"))
     return merged.groupBy(group).agg(F.slice(F.array_sort(F.collect_set("__value")), 1, k).alias("ids"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over at least as many partitions as there are cores; unchanged if its input already has them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
