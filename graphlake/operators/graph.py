@@ -181,10 +181,11 @@ def communities(nodes: DataFrame, edges: DataFrame, local_edges: int = LOCAL_EDG
     shrunk: rounds in which every node joins the neighbour community with the greatest gain, half of the nodes
     at a time, until its communities have few enough edges between them.  Isolated nodes are their own community.
     """
-    pairs = undirected(edges).where(F.col("a") != F.col("b"))
+    # Weight within a contracted node stays, as an edge to itself: gains depend on it.
+    pairs = undirected(edges)
     label = nodes.select("repo_id", "node", F.col("node").alias("community"))
     for attempt in range(8):
-        large = pairs.groupBy("repo_id").agg(F.count("*").alias("n")).where(F.col("n") > local_edges).select("repo_id")
+        large = pairs.where(F.col("a") != F.col("b")).groupBy("repo_id").agg(F.count("*").alias("n")).where(F.col("n") > local_edges).select("repo_id")
         if large.isEmpty():
             break
         moved = _shrink(pairs.join(large, "repo_id", "left_semi"), attempt)
@@ -192,7 +193,7 @@ def communities(nodes: DataFrame, edges: DataFrame, local_edges: int = LOCAL_EDG
             "repo_id", "node", F.coalesce("to", "community").alias("community")).checkpoint()
         ends = lambda c, name: moved.select("repo_id", F.col("node").alias(c), F.col("community").alias(name))
         joined = pairs.join(ends("a", "x"), ["repo_id", "a"], "left").join(ends("b", "y"), ["repo_id", "b"], "left").select("repo_id", F.coalesce("x", "a").alias("src"), F.coalesce("y", "b").alias("dst"), "weight")
-        pairs = undirected(joined).where(F.col("a") != F.col("b")).checkpoint()
+        pairs = undirected(joined).checkpoint()
     solved = pairs.groupBy("repo_id").applyInPandas(_communities_of, "repo_id string, node long, community long")
     last = label.join(solved.select("repo_id", F.col("node").alias("community"), F.col("community").alias("to")), ["repo_id", "community"], "left").select(
         "repo_id", "node", F.coalesce("to", "community").alias("community"))
@@ -209,7 +210,7 @@ def _shrink(pairs: DataFrame, attempt: int) -> DataFrame:
     gain = F.col("weight") - F.col("other_k") * F.col("k") / F.col("m2")
     moves = F.pmod(F.xxhash64("node", F.lit(attempt)), F.lit(2)) == 0
     still = F.pmod(F.xxhash64("other", F.lit(attempt)), F.lit(2)) == 1
-    best = scored.where(moves & still & (gain > 0)).groupBy("repo_id", "node").agg(F.max_by("other", F.struct(gain, -F.col("other"))).alias("community"))
+    best = scored.where(moves & still & (F.col("node") != F.col("other")) & (gain > 0)).groupBy("repo_id", "node").agg(F.max_by("other", F.struct(gain, -F.col("other"))).alias("community"))
     return degree.select("repo_id", "node").join(best, ["repo_id", "node"], "left").select("repo_id", "node", F.coalesce("community", "node").alias("community"))
 
 

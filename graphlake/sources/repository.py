@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 import subprocess
+from collections.abc import Iterator
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,22 +43,56 @@ def ignore_pattern(line: str, base: str = "") -> tuple[str, bool] | None:
     return head + out + ("/" if only_dir else "(?:/|$)"), back
 
 
+def _scan(root: str, names: tuple[str, ...] | None):
+    """Reads the files of directories: of a row (directory, deep) those in it, and, if deep, those below.
+
+    Spark's own readers pass over names that begin with _ or ., such as __init__.py, so the listing is done here.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for directory, deep in zip(batch["directory"], batch["deep"], strict=True):
+                rows = []
+                for info in system.get_file_info(fs.FileSelector(directory, recursive=bool(deep))):
+                    if info.type != fs.FileType.File or (names is not None and info.base_name not in names) or "/.git/" in info.path:
+                        continue
+                    content = None
+                    if 0 < info.size <= MOST_BYTES:
+                        with system.open_input_stream(info.path) as stream:
+                            content = stream.read()
+                    rows.append((info.path[len(base.rstrip("/")) + 1 :], info.size, info.mtime, content))
+                    if len(rows) >= 256:
+                        yield pd.DataFrame(rows, columns=["path", "bytes", "mtime", "content"])
+                        rows = []
+                yield pd.DataFrame(rows, columns=["path", "bytes", "mtime", "content"])
+
+    return run
+
+
 def read_tree(spark: SparkSession, root: str, ignore_files: tuple[str, ...] = (".gitignore", ".repoignore")) -> DataFrame:
     """(path, bytes, mtime, content) of the code and searchable text below a directory, without ignored, empty and large files.
 
-    Ignore files are read first; later lines of deeper files win, as the last match does.
+    The directories right below the root are listed and read in parallel, where the executors can reach it.  Of
+    the rules in ignore files, the last that matches counts, those of deeper files coming last.
     """
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = "file:" + str(Path(root).resolve()) if "://" not in root else root
-    clean = F.regexp_replace("path", "^file:/+", "file:/")
-    named = listed.select(F.regexp_replace(clean, "^" + re.escape(base.rstrip("/")) + "/+", "").alias("path"), F.col("length").alias("bytes"), F.col("modificationTime").alias("mtime"), "content")
+    from pyarrow import fs
+
+    uri = root if "://" in root else Path(root).resolve().as_uri()
+    system, base = fs.FileSystem.from_uri(uri)
+    below = sorted(i.path for i in system.get_file_info(fs.FileSelector(base)) if i.type == fs.FileType.Directory and i.base_name not in (".git", *P.IGNORED_DIRS))
+    places = spark.createDataFrame([(base, False), *((d, True) for d in below)], "directory string, deep boolean").repartition(max(1, min(len(below) + 1, 1_000)))
+    shape = "path string, bytes long, mtime timestamp, content binary"
     rules = []
-    for row in named.where(P.file_name(F.col("path")).isin(*ignore_files)).select("path", F.col("content").cast("string").alias("text")).orderBy(F.length("path"), "path").collect():
+    for row in places.mapInPandas(_scan(uri, ignore_files), shape).select("path", F.col("content").cast("string").alias("text")).where("text IS NOT NULL").orderBy(F.size(F.split("path", "/")), "path").collect():
         directory = row["path"].rpartition("/")[0]
         rules += [r for r in (ignore_pattern(line, directory) for line in row["text"].splitlines()) if r]
     left_out = F.lit(False)
     for pattern, back in rules:
         left_out = F.when(F.col("path").rlike(pattern), F.lit(not back)).otherwise(left_out)
+    named = places.mapInPandas(_scan(uri, None), shape)
     wanted = (P.language(F.col("path")).isNotNull() | P.searchable_text(F.col("path"))) & ~P.ignored(F.col("path")) & ~left_out & F.col("bytes").between(1, MOST_BYTES)
     return named.where(wanted).select("path", "bytes", "mtime", F.col("content").cast("string").alias("content")).where(~X.looks_generated(F.col("content")))
 
