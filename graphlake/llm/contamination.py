@@ -255,7 +255,7 @@ def search_shard(documents: list[list[str]], items: Items) -> list[tuple[int, in
     out = []
     for (d, k, width), found in hits.items():
         own, length = items.own[k], len(items.sequences[k])
-        # A span with fewer places than this can't reach its share: single changed words break WIDTH phrases each.
+        # Without a phrase peculiar to few items no span counts.
         if not any(own[j] for _, j in found):
             continue
         best = None
