@@ -154,3 +154,10 @@ def test_score_and_badge(spark):
     once = T.upsert_badge("# T\ntext", "u")
     assert T.upsert_badge(once, "v").count("<!-- score -->") == 1 and "(v)" in T.upsert_badge(once, "v")
     assert T.arguments({"q": "x", "query": "y", "max": 3}) == {"query": "y", "limit": 3}
+
+
+def test_fixture_trees_are_the_shallowest_without_tests(spark):
+    paths = [f"tests/cases/a{i}/x.ts" for i in range(4)] + [f"pkg/testdata/in/{i}.go" for i in range(3)] + [f"tests/unit/{i}.test.ts" for i in range(5)] + ["src/test/java/A.java", "src/test/java/B.java", "src/test/java/C.java", "tests/flat.py", "src/a.py"]
+    df = spark.createDataFrame([("r", p) for p in paths], "repo_id string, path string")
+    assert {r["dir"]: r["files"] for r in W.fixture_trees(df, 3).collect()} == {"tests/cases": 4, "pkg/testdata": 3}
+    assert W.fixture_trees(df.limit(0), 1).count() == 0
