@@ -32,6 +32,9 @@ TOP_WORD_SHARE, TOP_TRIPLE_SHARE = 0.15, 0.30
 LINK_TEXT_SHARE, SEPARATOR_SHARE = 0.5, 0.25
 # Share of a sentence that one repeated pair of words may cover.
 UNIT_PAIR_SHARE = 0.3
+# A line or phrase that stands so often on a page is a repetition; so is a run of words within a unit, which is
+# spam from this share of repeated runs on.
+REPEATED, RUN, RUN_SHARE = 3, 4, 0.5
 
 # Identifiers and paths count as one word.
 _WORD = re.compile(r"[^\W\d_]\w*(?:[./-]\w+)*")
@@ -43,6 +46,8 @@ _HEADING = re.compile(r"^\s*(?:#{1,6}\s|=+\s*$|-+\s*$)")
 _TRACE = re.compile(r"^\s*at \S+ \(\S+:\d+\)|^\s*File \"[^\"]+\", line \d+")
 _TAG = re.compile(r"(?:^|\s)#\w+")
 _PRODUCT = re.compile(r"\bSKU[ :#]*\d|\bbuy now\b|\badd to cart\b|\|\s*\W?\d+[.,]\d\d\s*\|", re.I)
+# Names with nothing but separators between them: paths of a menu, which are no comparisons in code.
+_TRAIL = re.compile(r"^\s*\w+(?: \w+){0,2}(?:\s+[>»›→|•·]\s+\w+(?: \w+){0,2})+\s*$")
 _CODE = re.compile(r"[\w\])]\s*[(=\[{<>]|[;{}]\s*$")
 _CODE_SIGN = re.compile(r"[=(){};\[\]<>]")
 
@@ -71,7 +76,22 @@ def _stuffed(words: list[str]) -> bool:
     if pair >= 3 and 2 * pair >= UNIT_PAIR_SHARE * len(words):
         return True
     top = max((n for w, n in Counter(words).items() if w not in _ANY), default=0)
-    return top >= 4 and top >= UNIT_PAIR_SHARE * len(words)
+    if top >= 4 and top >= UNIT_PAIR_SHARE * len(words):
+        return True
+    # A phrase of many words has no frequent pair; its runs come again all the same.
+    if len(words) < RUN * REPEATED:
+        return False
+    runs = Counter(zip(*[words[k:] for k in range(RUN)], strict=False))
+    return sum(n for n in runs.values() if n >= REPEATED) >= RUN_SHARE * sum(runs.values())
+
+
+def _key(unit: str) -> str:
+    return " ".join(unit.lower().split())
+
+
+def _slogan(unit: str) -> bool:
+    """Whether a unit is neither code nor ends as a sentence does; only such units count as repeated phrases."""
+    return not (_CODE.search(unit) and len(_CODE_SIGN.findall(unit)) >= 2) and not unit.rstrip(" \t\"')]}*_`").endswith((".", "?", ":", "…"))
 
 
 def unit_kind(unit: str, seen: Counter) -> tuple[str, int]:
@@ -98,6 +118,8 @@ def unit_kind(unit: str, seen: Counter) -> tuple[str, int]:
         return "sentence", n
     if _HEADING.match(unit) and n <= 8:
         return "other", n
+    if _TRAIL.match(unit):
+        return "spam", n
     if _CODE.search(bare) and len(_CODE_SIGN.findall(bare)) >= 2:
         return "other", n
     if n <= 3 and seen[unit.strip().lower()] <= 1 and separators == 0 and seen["__short"] < 5:
@@ -109,6 +131,7 @@ def page_statistics(text: str | None) -> dict:
     """Statistics of a page and `spam`: whether more than half of it is keywords, tags, product lines or links.
 
     A null or blank page has no words and is no spam.  Fenced code and headings are neither spam nor sentences.
+    A phrase that stands REPEATED times or more is spam, whatever its function words; a whole sentence is not.
     """
     out = {"lang": "en", "words": 0, "spam_share": 0.0, "function_share": 0.0, "top_word_share": 0.0, "top_triple_share": 0.0, "duplicate_line_share": 0.0, "link_text_ratio": 0.0, "separator_density": 0.0, "spam": False}
     if not text or not text.strip():
@@ -124,6 +147,7 @@ def page_statistics(text: str | None) -> dict:
     keys = Counter(line.strip().lower() for line in lines)
     keys["__short"] = sum(len(_WORD.findall(line)) <= 4 and not line.rstrip().endswith((".", "!", "?", ":")) and not _HEADING.match(line) for line in lines)
     count: Counter = Counter()
+    units: list[tuple[str, str, int]] = []
     fenced = False
     for line in lines:
         if _FENCE.match(line):
@@ -133,8 +157,10 @@ def page_statistics(text: str | None) -> dict:
             count["other"] += len(_WORD.findall(line))
             continue
         for unit in _BREAK.split(line):
-            kind, n = unit_kind(unit, keys)
-            count[kind] += n
+            units.append((unit, *unit_kind(unit, keys)))
+    times = Counter(_key(unit) for unit, _, n in units if n)
+    for unit, kind, n in units:
+        count["spam" if kind == "sentence" and times[_key(unit)] >= REPEATED and _slogan(unit) else kind] += n
     total = max(1, sum(count.values()))
     top_word = content.most_common(1)[0][1] / len(words) if content else 0.0
     top_triple = 3 * triples.most_common(1)[0][1] / len(words) if triples and triples.most_common(1)[0][1] > 2 else 0.0

@@ -120,6 +120,16 @@ def test_spam_rows(spark):
     assert M.spam_statistics(df.limit(0)).count() == 0
 
 
+def test_spam_of_repeated_phrases_and_menu_paths():
+    phrase = "the best tool for the fast build of your graph"
+    around = "The cache is rebuilt after the session has been closed. It holds what the reader has seen so far.\n"
+    trail = "Home > Planner > Bridge > Sensor\nStart > Router > Session\nIndex > Parcel > Anchor > Reader\n" * 3
+    spam = lambda text: M.page_statistics(text)["spam"]
+    assert spam(f"{phrase}\n" * 40) and spam(f"{phrase} " * 40) and spam(f"{phrase}!\n" * 40) and spam(trail)
+    assert not spam(f"{phrase}\n" * 2) and not spam(around * 2 + f"{phrase}\n" * 3) and not spam(around * 8 + trail)
+    assert not spam("if (a > b) {\n  return a > c;\n}\n" * 8)
+
+
 def test_queries_run_on_files(spark, tmp_path):
     """Every pN_ query on tables of a few rows with nulls."""
     import graphlake.llm as L
