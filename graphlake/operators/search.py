@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,21 +112,46 @@ def top(scored: DataFrame, unit: str, k: int) -> DataFrame:
 DENSE_BLOCK = 1_000
 
 
+def _nearest(batches: Iterator[pd.DataFrame], unit: str, queries: dict, k: int) -> Iterator[pd.DataFrame]:
+    """The k best rows of the batches for each query.  queries: by length of the vectors, (ids, vectors, norms)."""
+    for batch in batches:
+        sizes = batch["vec"].map(len).to_numpy()
+        for size, (ids, asked, asked_norms) in queries.items():
+            mine = batch[sizes == size]
+            if mine.empty:
+                continue
+            units, norms = mine[unit].to_numpy(), mine["norm"].to_numpy()
+            vectors = np.array(mine["vec"].tolist(), np.float64)
+            near = (asked @ vectors.T) / (asked_norms[:, None] * norms)
+            least = np.partition(near, -k, axis=1)[:, -k] if len(units) > k else np.full(len(ids), -np.inf)
+            # Products of matrices differ in the last digits; what may be among the best is added up in order.
+            q, v = np.nonzero(near >= least[:, None] - 1e-9)
+            dots = np.concatenate([np.add.accumulate(asked[q[at : at + 10_000]] * vectors[v[at : at + 10_000]], axis=1)[:, -1] for at in range(0, len(q), 10_000)])
+            found = pd.DataFrame({"query_id": ids[q], unit: units[v], "score": dots / (norms[v] * asked_norms[q])})
+            yield found.sort_values(["query_id", "score", unit], ascending=[True, False, True]).groupby("query_id").head(k)
+
+
 def dense(vectors: DataFrame, queries: DataFrame, unit: str, k: int) -> DataFrame:
     """(query_id, unit, score, at): the k rows with the highest cosine for each query vector; ties by unit.
 
-    vectors: unit, vec.  queries: query_id, vec (a stated set).  Null, zero and differently long vectors match nothing.
+    vectors: unit, vec.  queries: query_id, vec, any number; one pass takes DENSE_BLOCK of them.  Null, zero and
+    differently long vectors match nothing.
     """
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    asked = queries.where(F.col("vec").isNotNull()).select("query_id", F.col("vec").alias("q"), F.sqrt(dot(F.col("vec"), F.col("vec"))).alias("q_norm"))
-    rows = vectors.where(F.col("vec").isNotNull()).select(unit, "vec", F.sqrt(dot(F.col("vec"), F.col("vec"))).alias("norm")).where("norm > 0")
-    n = asked.count()
-    blocks = max(1, -(-n // DENSE_BLOCK))
+    norm = F.sqrt(dot(F.col("vec"), F.col("vec")))
+    asked = queries.where(F.col("vec").isNotNull()).select("query_id", "vec", norm.alias("norm")).where("norm > 0").checkpoint()
+    rows = vectors.where(F.col("vec").isNotNull()).select(unit, "vec", norm.alias("norm")).where("norm > 0")
+    blocks = max(1, -(-asked.count() // DENSE_BLOCK))
+    rows = rows.checkpoint() if blocks > 1 else rows
+    kinds = {f.name: f.dataType.simpleString() for f in (*asked.schema, *rows.schema)}
     out = None
     for b in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        met = rows.crossJoin(F.broadcast(part)).where((F.size("vec") == F.size("q")) & (F.col("q_norm") > 0))
-        scored = top(met.select("query_id", unit, (dot(F.col("vec"), F.col("q")) / (F.col("norm") * F.col("q_norm"))).alias("score")), unit, k)
+        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toPandas()
+        sizes = part["vec"].map(len)
+        by_size = {
+            int(n): (g["query_id"].to_numpy(), np.array(g["vec"].tolist(), np.float64), g["norm"].to_numpy()) for n, g in part.groupby(sizes)}
+        met = rows.mapInPandas(lambda batches, by_size=by_size: _nearest(batches, unit, by_size, k), f"query_id {kinds['query_id']}, {unit} {kinds[unit]}, score double")
+        scored = top(met, unit, k)
         out = scored if out is None else out.unionByName(scored)
     return out
 

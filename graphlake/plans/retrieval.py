@@ -11,7 +11,7 @@ from graphlake.operators import search as Q
 from graphlake.operators import windows as W
 from graphlake.plans import graphs
 from graphlake.plans import sql as S
-from graphlake.plans.session import kept_index
+from graphlake.plans.session import kept_index, shared_folder
 from graphlake.sources import facts
 from graphlake.sources.tables import one_each, table
 
@@ -108,6 +108,7 @@ def _vectors(spark: SparkSession, directory: str) -> DataFrame:
 
 def dense_topk(spark: SparkSession, directory: str) -> DataFrame:
     """The ten most similar chunks for the first vector of each repository."""
+    shared_folder(spark)
     vectors = _vectors(spark, directory).where(F.size("vec") == 128)
     queries = vectors.groupBy("repo_id").agg(F.min_by("vec", "chunk_id").alias("vec"), F.min("chunk_id").alias("query_id"))
     found = Q.dense(vectors, queries.select("query_id", "vec"), "chunk_id", 10)
@@ -116,11 +117,28 @@ def dense_topk(spark: SparkSession, directory: str) -> DataFrame:
 
 def embedding_topk(spark: SparkSession, directory: str) -> DataFrame:
     """The five most similar vectors of the embeddings table for the first of each label."""
+    shared_folder(spark)
     vectors = one_each(table(spark, directory, "embeddings"), "vec_id").select("vec_id", "label", F.col("embedding").alias("vec"))
     queries = vectors.groupBy("label").agg(F.min_by("vec", "vec_id").alias("vec"), F.min("vec_id").alias("query_id"))
     return Q.dense(vectors, queries.select("query_id", "vec"), "vec_id", 5).select("query_id", "vec_id", F.round("score", 6).alias("score"))
 
 
+def dense_topk_batch(spark: SparkSession, directory: str) -> DataFrame:
+    """The ten most similar chunks for every fiftieth chunk with a vector."""
+    shared_folder(spark)
+    vectors = _vectors(spark, directory).where(F.size("vec") == 128).select("chunk_id", "vec")
+    queries = vectors.where("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "query_id")
+    return Q.dense(vectors, queries, "chunk_id", 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+
+
+def embedding_topk_batch(spark: SparkSession, directory: str) -> DataFrame:
+    """The five most similar vectors for every fiftieth of the embeddings table."""
+    shared_folder(spark)
+    vectors = one_each(table(spark, directory, "embeddings"), "vec_id").select("vec_id", F.col("embedding").alias("vec"))
+    queries = vectors.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    return Q.dense(vectors, queries, "vec_id", 5).select("query_id", "vec_id", F.round("score", 6).alias("score"))
+
+
 def _names(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(1, "parseShard"), (2, "parse"), (3, "shard"), (4, "load shard parcel"), (5, "TicketSchema.parse")], "query_id int, text string")
 
@@ -297,7 +315,7 @@ def acc_at_k(spark: SparkSession, directory: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    bm25_topk, bm25_filtered_stats, term_cap, bm25_batch, bm25_two_level, bm25_chunks, dense_topk, embedding_topk, name_match, ident_unique_names, popup_match, rrf_fusion, hybrid_search, search_snippets,
+    bm25_topk, bm25_filtered_stats, term_cap, bm25_batch, bm25_two_level, bm25_chunks, dense_topk, embedding_topk, dense_topk_batch, embedding_topk_batch, name_match, ident_unique_names, popup_match, rrf_fusion, hybrid_search, search_snippets,
     snippet_lines, workspace_search, line_windows, per_group_topk, outline, entry_points, consecutive_dedup, token_budget, language_histogram, distinct_counts, percentile_index, weighted_quality, ndcg10, acc_at_k)}
 
 _VALUES = "(VALUES " + ", ".join(f"({k}, '{v}')" for k, v in QUESTIONS.items()) + ") AS q(query_id, text)"
@@ -369,3 +387,5 @@ SELECT query_id, coalesce(n, 0) AS n_relevant, round(CASE WHEN n > 0 THEN coales
 p AS (SELECT g.query_id, bool_and(coalesce(pos < 1, false)) a1, bool_or(coalesce(pos < 1, false)) h1, bool_and(coalesce(pos < 5, false)) a5, bool_or(coalesce(pos < 5, false)) h5 FROM gold g LEFT JOIN batch b USING (query_id, doc_id) GROUP BY g.query_id)
 SELECT count(*) AS queries, round(avg(a1::INT::DOUBLE), 6) AS acc1, round(avg(h1::INT::DOUBLE), 6) AS hit1, round(avg(a5::INT::DOUBLE), 6) AS acc5, round(avg(h5::INT::DOUBLE), 6) AS hit5 FROM p""",
 }
+for _name, _key, _by in (("dense_topk", "chunk_id", "repo_id"), ("embedding_topk", "vec_id", "label")):
+    ORACLES[f"{_name}_batch"] = ORACLES[_name].replace(f"SELECT min({_key}) AS query_id FROM v GROUP BY {_by}", f"SELECT {_key} AS query_id FROM v WHERE {_key} % 50 = 0")

@@ -29,6 +29,21 @@ def test_dense_ignores_missing_vectors_and_orders_ties(spark):
     assert [r["id"] for r in Q.dense(v, q, "id", 3).orderBy("at").collect()] == [1, 4, 2]
 
 
+def test_every_fiftieth_vector_is_a_query(spark, tmp_path, monkeypatch):
+    from __spark_entry__ import queries
+
+    rows = [(i, i % 3, [float((i * j * 7919) % 13 - 6) for j in range(1, 5)]) for i in range(1, 205)]
+    spark.createDataFrame([*rows, rows[49], (250, 0, None)], "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(Q, "DENSE_BLOCK", 3)
+    got = {}
+    for r in queries()["embedding_topk_batch"](spark, str(tmp_path)).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    vectors = {i: v for i, _, v in rows if any(v)}
+    norm = lambda v: sum(x * x for x in v) ** 0.5
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / (norm(b) * norm(a))
+    assert got == {q: set(sorted(vectors, key=lambda i, q=q: (-cosine(vectors[q], vectors[i]), i))[:5]) for q in (50, 100, 150, 200)}
+
+
 def test_tuning_passes_over_what_it_does_not_know():
     t = Q.Tuning.read("k=5,cand=7,nope=1,wd=x")
     assert (t.k, t.cand, t.wd) == (5.0, 7, 1.0)
