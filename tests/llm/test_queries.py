@@ -103,6 +103,35 @@ def test_sources(spark):
     assert S.not_hand_written(files.limit(0), texts.limit(0)).count() == 0
 
 
+def test_near_copies_are_compared_by_their_shingles(spark):
+    import numpy as np
+
+    sketch = S.Sketch()
+    shingles = lambda text: set(sketch.shingles(sketch.hashes(text.split())).tolist())
+    agree = lambda a, b: (sketch.signature(a.split())[1] == sketch.signature(b.split())[1]).sum()
+    jaccard = lambda a, b: len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+    rows = []
+    for seed in range(400):
+        words = [f"w{seed}x{i}" for i in range(300)]
+        near = list(words)
+        for at in np.random.default_rng(seed).choice(60, 6, replace=False) * 5:
+            near[at] = f"v{at}"
+        a, b = " ".join(words), " ".join(near)
+        if jaccard(a, b) >= 0.80 and S.LEAST_AGREE <= agree(a, b) < 52:
+            rows += [(a, "p"), (b, "q")]
+    assert len(rows) >= 4
+    base = [f"f{i}" for i in range(300)]
+    chain = [" ".join([f"g{i}" if i % 75 < 12 and i // 75 < k else w for i, w in enumerate(base)]) for k in range(4)]
+    assert jaccard(chain[0], chain[3]) < 0.8 <= jaccard(chain[2], chain[3])
+    rows += [(chain[0], "p"), (chain[1], "p"), (chain[2], "p"), (chain[3], "q"), ("int add(int a, int b);", "p"), ("int add(int a, int b);", "q"), ("int x;", "p"), ("int x;", "q")]
+    files = spark.createDataFrame([(i, r, f"src/f{i}.c", T, 0, 0) for i, (_, r) in enumerate(rows)], FILES)
+    texts = spark.createDataFrame([(i, r, t, 0) for i, (t, r) in enumerate(rows)], TEXTS)
+    n = len(rows)
+    got = {r["file_id"] for r in S.not_hand_written(files, texts).collect() if "spread" in r["reasons"]}
+    want = set(range(n - 8)) | {n - 3, n - 4, n - 5, n - 6} | {k for k in range(n - 8, n - 4) if any(rows[j][1] != rows[k][1] and jaccard(rows[k][0], rows[j][0]) >= 0.8 for j in range(n - 8, n - 4))}
+    assert got == want - {n - 1, n - 2} and n - 6 in got
+
+
 def test_syntax(spark):
     rows = [(1, "a", "x.py", "x = (\n"), (2, "a", "y.py", "x = 1\n"), (3, "a", "z.md", "x = (\n"), (4, "b", "w.js", None), (5, "b", "v.js", ""), (6, "b", "u.go", ""), (7, None, "t.c", "int x = ;\n"), (8, "a", None, "x"), (9, "a", "s.JAVA", "class {\n")]
     files = spark.createDataFrame([(i, r, p, T, 0, 0) for i, r, p, _ in rows] + [(1, "a", "x.py", T, 0, 0)], FILES)
