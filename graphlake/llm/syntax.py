@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import threading
 from collections.abc import Iterator
@@ -10,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlake.llm.grammars import BAD, CONFLICT, language_of
+from graphlake.llm.grammars import BAD, CONFLICT, Language, language_of
 from graphlake.llm.shards import shared_folder
 from graphlake.sources.tables import latest, table
 
@@ -22,6 +23,83 @@ _DEPTH, _STACK = 60_000, 512 * 1024 * 1024
 _SCHEMA = "file_id long, valid boolean, line int, cause string"
 
 
+_F_STRING = re.compile(r"(?i)(f|fr|rf)(\"\"\"|\'\'\'|\"|\')")
+
+
+def _field(language: Language, text: str, at: int, python: bool) -> tuple[int, str | None]:
+    """(end, expression) of the field of a string that begins at `at`, after its opening brace; no expression if it doesn't end."""
+    depth, begin = 0, at
+    while at < len(text):
+        token = language.lexer.match(text, at).group()
+        if depth == 0:
+            follows = token in ("!", ":", ":=") or (token == "=" and re.match(r"\s*[}!:]", text[at + 1 :]))
+            if token == "}" or (python and follows):
+                return at, text[begin:at]
+        # A sign together with the regular expression after it counts by the sign.
+        depth += (token[:1] in "([{") - (token in (")", "]", "}"))
+        if depth < 0:
+            return at, None
+        at += len(token)
+    return at, None
+
+
+def _fields(language: Language, token: str) -> Iterator[tuple[int, str | None]]:
+    """(place, expression) of the fields of a template or formatted string; none of other tokens."""
+    formatted = _F_STRING.match(token) if language.name == "Python" else None
+    if formatted is None and not (language.name != "Python" and token[:1] == "`"):
+        return
+    raw = formatted is not None and "r" in formatted.group(1).lower()
+    at, end = (formatted.end(), len(token) - len(formatted.group(2))) if formatted else (1, len(token) - 1)
+    nested = 0
+    while at < end:
+        two = token[at : at + 2]
+        if formatted is None:
+            if two == "${":
+                stop, inner = _field(language, token, at + 2, False)
+                yield at, inner
+                at = stop + 1
+            else:
+                at += 2 if token[at] == "\\" else 1
+        elif token[at] == "\\" and not raw:
+            name = re.compile(r"N\{[^{}]*\}").match(token, at + 1)
+            at = name.end() if name else at + 1 if token[at + 1] in "{}" else at + 2
+        elif token[at] == "{" and (two != "{{" or nested):
+            stop, inner = _field(language, token, at + 1, True)
+            yield at, inner
+            if inner is None:
+                return
+            tail = re.compile(r"=?\s*(?:![^\W\d]\w*\s*)?([:}])").match(token, stop)
+            if tail is None:
+                yield stop, None
+                return
+            nested += tail.group(1) == ":"
+            at = tail.end()
+        elif token[at] == "}" and nested:
+            nested -= 1
+            at += 1
+        else:
+            at += 2 if two == "{{" else 1
+
+
+def _bad_field(language: Language, tokens: list[str]) -> int | None:
+    """The line of the first field of a template or formatted string that holds no expression."""
+    line = 1
+    for token in tokens:
+        if "{" in token:
+            for at, inner in _fields(language, token):
+                # Brackets balance within a field, so the parentheses around it are a pair.
+                if inner is None:
+                    return line + token.count("\n", 0, at)
+                kinds, parts, _ = language.read(f"({inner}\n)\n" if language.name == "Python" else f"({inner}\n);")
+                if not language.grammar.matches(kinds) or not inner.strip():
+                    return line + token.count("\n", 0, at)
+                deeper = _bad_field(language, parts)
+                if deeper is not None:
+                    return line + token.count("\n", 0, at) + deeper - 1
+        line += token.count("\n")
+    return None
+
+
 def parse(text: str, extension: str) -> tuple[bool, int | None, str | None]:
     """(valid, line of the furthest failure, cause) of a text in the language of an extension.
 
@@ -35,7 +113,8 @@ def parse(text: str, extension: str) -> tuple[bool, int | None, str | None]:
     kinds, tokens, where = language.read(text.removeprefix("\ufeff"))
     try:
         if language.grammar.matches(kinds):
-            return True, None, None
+            bad = _bad_field(language, tokens) if language.name in ("Python", "JavaScript", "TypeScript") else None
+            return (True, None, None) if bad is None else (False, bad, "unexpected")
         far = language.grammar.furthest(kinds)
     except RecursionError:
         return True, None, None

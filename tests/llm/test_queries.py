@@ -143,6 +143,18 @@ def test_syntax(spark):
     assert Y.parsed(files.limit(0), texts).count() == 0
 
 
+def test_fields_of_strings_are_parsed():
+    valid = {
+        "js": ["x = `a${b}c${f(`d${e}`, {k: 1})}`;\n", "x = `\\${ (` + `${() => 1}`;\n", "x = `${a ? `${b}` : ''}`;\n"],
+        "py": ['x = f"{a}{b!r:>{w}}{{c}}{d=}"\n', 'x = f"{a:%Y-%m-%d}{b[1:2]}{c if d != e else (lambda: 1)()}"\n', 'x = f"\\N{DASH}{a}" "{"\n', 'x = f"""{\na}"""\n', 'x = rf"\\d{{2}}{a}"\n']}
+    faulty = {"js": ["x = `a${b +}c`;\n", "x = `${}`;\n", "x = `\n${f(`${1 2}`)}`;\n", "x = `${a b}`;\n"], "py": ['x = f"{a +}"\n', 'x = f"{}"\n', 'x = f"{a b}"\n', 'x = f"{a:{b c}}"\n']}
+    for ext, texts in valid.items():
+        assert [t for t in texts if not Y.parse(t, ext)[0]] == []
+    for ext, texts in faulty.items():
+        assert [t for t in texts if Y.parse(t, ext)[0]] == []
+    assert Y.parse(faulty["js"][2], "js") == (False, 2, "unexpected")
+
+
 def test_spam_rows(spark):
     df = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "#a #b #c #d #e #f #g #h #i", 0), (3, "#a #b #c #d #e #f #g #h #i", 0), (None, "x", 0), (4, "It is a sentence that has words in it. " * 5000, 0)], "doc_id long, text string, spam int")
     assert {r["doc_id"]: r["spam"] for r in M.spam_statistics(df).collect()} == {1: False, 2: False, 3: True, 4: False}
