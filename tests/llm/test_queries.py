@@ -171,6 +171,25 @@ def test_spam_of_repeated_phrases_and_menu_paths():
     assert not spam("if (a > b) {\n  return a > c;\n}\n" * 8)
 
 
+def test_each_statistic_can_decide():
+    why = lambda text, lang=None: set(filter(None, M.page_statistics(text, lang)["reasons"].split(",")))
+    prose = "The cache is rebuilt after the session has been closed. It holds what the reader has seen so far, and nobody else may change it.\n"
+    assert why("[red pump](https://a.example/x)\n" * 9) == {"links"}
+    assert "no function words" in why("pump garden red hose clamp valve seal tube nozzle filter") and "no function words" in why("pumpe garten schlauch rot ventil dichtung rohr filter", "de")
+    assert "word" in why("Our pump is the pump that the owners of a pump call the pump of all. Get a pump now, for a pump is what you and the others need.")
+    assert "pair" in why("get the hose clamp or a hose clamp for the hose clamp and with a hose clamp on the hose clamp of a hose clamp you are in the hose clamp")
+    assert "lines" in why(prose + "the best tool for the fast build\n" * 12)
+    assert not why(prose * 9) and not why(prose + "[red pump](https://a.example/x)\n" * 3)
+    table = "".join(f"get_{i} | returns int | stable\n" for i in range(30))
+    assert not why(table) and not why(prose + table) and not why("a_b = c(d);\n" * 40)
+    assert not why(prose + "```\n" + "red pump hose\n" * 40 + "```\n") and M.page_statistics("\ufeff \x00 ?!")["spam"] is False
+
+
+def test_spam_takes_any_columns(spark):
+    df = spark.createDataFrame([(1, "pump garden red hose clamp valve seal tube nozzle filter", "xx", "y"), (2, None, None, None)], "doc_id int, text string, lang string, reasons string")
+    assert {r["doc_id"]: (r["lang"], r["spam"]) for r in M.spam_statistics(df).collect()} == {1: ("en", True), 2: ("en", False)}
+
+
 def test_queries_run_on_files(spark, tmp_path):
     """Every pN_ query on tables of a few rows with nulls."""
     import graphlake.llm as L
