@@ -74,7 +74,7 @@ def test_equal_vectors_stay_in_one_leaf():
 @given(st.lists(st.tuples(st.integers(0, 64), st.sampled_from("abc")), max_size=120))
 def test_packing_loses_nothing_and_overfills_nothing(items):
     lengths, sources = np.array([n for n, _ in items], np.int64), np.array([s for _, s in items], object)
-    window, _ = B.pack(lengths, sources, 64, {"a": 0.5, "b": 0.3, "c": 0.2}, {})
+    window = B.pack(lengths, sources, 64, {"a": 0.5, "b": 0.3, "c": 0.2}, {})
     assert (window >= 0).all()
     sums = np.bincount(window, weights=lengths) if len(items) else np.zeros(0)
     assert (sums <= 64).all()
@@ -87,9 +87,24 @@ def test_packing_keeps_proportions():
     lengths = np.array([rng.randrange(20, 60) for _ in range(4000)])
     sources = np.array([rng.choice("aab") for _ in range(4000)], object)
     total = {s: lengths[sources == s].sum() / lengths.sum() for s in "ab"}
-    window, _ = B.pack(lengths, sources, 1000, total, {})
-    first = window < 50
-    assert abs(lengths[first & (sources == "a")].sum() / lengths[first].sum() - total["a"]) < 0.03
+    for window in (B.pack(lengths, sources, 1000, total, {}), B.pack(lengths, sources, 1000)):
+        for block in range(int(window.max()) // 16):
+            here = window // 16 == block
+            assert abs(lengths[here & (sources == "a")].sum() / lengths[here].sum() - total["a"]) < 0.03
+
+
+def test_what_is_owed_is_paid_first():
+    lengths, sources = np.full(40, 10), np.array(["a", "b"] * 20, object)
+    window = B.pack(lengths, sources, 100, None, {"b": 200})
+    assert (window[sources == "b"] == 0).sum() == 10 and window.max() == 3
+
+
+def test_many_sources_share_queues():
+    sources = np.array([f"s{i % 700}" for i in range(3000)], object)
+    lengths = np.arange(3000) % 97 + 1
+    names = B.queue_names(sources, lengths)
+    assert len(set(names)) <= 2 * B.QUEUES and len(set(names) & set(sources)) == B.QUEUES
+    assert (B.pack(lengths, names, 128) >= 0).all() and list(B.queue_names(np.array(["x", "y"], object), np.array([1, 2]))) == ["x", "y"]
 
 
 VALID = {

@@ -57,6 +57,23 @@ def test_packing_over_partitions(spark, monkeypatch):
     assert B.pack_documents(df.limit(0)).count() == 0
 
 
+def test_equal_lengths_stay_spread_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(B, "TASK_PIECES", 100)
+    df = spark.createDataFrame([(i, 1500, f"s{i % 5}") for i in range(1200)], "doc_id long, n_tokens long, source string")
+    out = B.pack_documents(df).toPandas()
+    assert len(out) == 1200 and out["window_id"].nunique() == 1200 and out.groupby("part").size().max() <= 150
+    fixed = B.pack_documents(df, share={f"s{k}": 0.2 for k in range(5)}).toPandas()
+    assert sorted(fixed["doc_id"]) == list(range(1200))
+
+
+def test_packing_checks_tell_faults(spark):
+    sizes = spark.createDataFrame([(1, 90, "a"), (2, 9, "b"), (3, 5, "b")], "doc_id long, n_tokens long, source string")
+    good = B.pack_documents(sizes, capacity=104)
+    assert B.packing_checks(good, sizes, 104).first().asDict() == {"documents": 3, "changed": 0, "overfull": 0, "filled": True, "in_proportion": True}
+    row = B.packing_checks(good.where("doc_id <> 2"), sizes, 94).first()
+    assert row["changed"] == 1 and row["overfull"] == 1
+
+
 def test_tokens_of_null_and_long_texts(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "word " * 50_000), (4, "<|endoftext|>")], "doc_id long, text string")
     got = {r["doc_id"]: r["n_tokens"] for r in B.count_tokens(df, "text").collect()}
@@ -203,7 +220,7 @@ def test_queries_run_on_files(spark, tmp_path):
     spark.createDataFrame([(1, "some text")], "item_id long, text string").write.parquet(f"{d}/eval_items.parquet")
     got = {name: query(spark, d).count() for name, query in L.QUERIES.items()}
     assert got["p2_found"] == 3 and got["p5_found"] == 1 and got["p6_windows"] == 2 and got["p3_found"] == 0
-    assert set(got) == {"p1_found", "p1_reasons", "p2_found", "p3_found", "p5_found", "p5_failures", "p5_rates", "p6_windows", "p7_found", "p7_spans", "p8_found"}
+    assert set(got) == {"p1_found", "p1_reasons", "p2_found", "p3_found", "p5_found", "p5_failures", "p5_rates", "p6_windows", "p6_checks", "p7_found", "p7_spans", "p8_found"}
 
 
 @pytest.mark.parametrize("k", [1, 3])
