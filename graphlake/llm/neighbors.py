@@ -1,32 +1,46 @@
 """Most similar vectors for every vector, by vantage-point trees with relaxed triangle-inequality pruning.
 
-A router tree, fitted on a bounded sample, cuts the sphere into shards.  Every vector lives in one shard and
-is sent, as a query, to each shard that the (relaxed) triangle inequality does not rule out.  Each shard then
-builds its own tree over its vectors and answers all of its queries together.
+A router tree, fitted on a bounded sample, cuts the sphere into shards; shards that turn out too large are cut again
+by trees of their own.  Every vector lives in one shard and is sent, as a query, to each shard that the (relaxed)
+triangle inequality does not rule out.  Each shard then builds its own tree over its vectors and answers all of its
+queries together, keeping for each only its best so far and ruling out what is farther than those.
 """
 
 from __future__ import annotations
 
+import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlake.llm.shards import shared_folder, smallest_per_group
+from graphlake.llm.shards import shared_folder
 from graphlake.sources.tables import latest, table
 
-# The router is fitted on at most this many vectors; all vectors are indexed.
-ROUTER_SAMPLE = 20_000
-# Vectors aimed at per shard, and per leaf of a shard's tree.
-SHARD_ROWS, LEAF_ROWS = 4_096, 256
-# Lower bounds from the triangle inequality are multiplied by this before they prune; 1 gives exact search.
-FACTOR = 8.0
+# A tree that routes is fitted on at most this many vectors, at least ROUTER_LEAST for each of its leaves; all are indexed.
+ROUTER_SAMPLE, ROUTER_LEAST = 20_000, 16
+# Vectors aimed at per shard, and per leaf of a shard's tree; a shard of HOT times as many is cut again.
+SHARD_ROWS, LEAF_ROWS, HOT = 12_288, 96, 2
+# Lower bounds from the triangle inequality are multiplied by this before they prune; 1 gives exact search.  Every level
+# of the trees loses a little, so the factor falls with their depth: see `relaxed`.
+FACTOR, FACTOR_LEVELS = 8.0, 6
+# A radius shrunk to the k-th best is as near as the neighbours themselves, so it is relaxed by less.
+SLACK = 3.0
 K, MIN_COS = 5, 0.80
-_CANDIDATES = 24
-_QUERY_BLOCK = 8_192
+_QUERY_BLOCK = 16_384
+# Rows of a group that a cut of a hot shard takes at once, and groups that the copies of one vector are spread over.
+_CUT_ROWS, _SALTS = 20_000, 32
+
+
+def relaxed(n: int) -> float:
+    """The factor for a collection of n vectors: FACTOR up to FACTOR_LEVELS levels, then with the cube root of their number less."""
+    levels = math.log2(max(2.0, n / LEAF_ROWS))
+    return max(1.0, FACTOR * min(1.0, FACTOR_LEVELS / levels) ** (1 / 3))
 
 
 @dataclass
@@ -40,6 +54,7 @@ class Node:
     far: Node | None = None
     number: int = -1
     leaves: list = field(default_factory=list)
+    points: list = field(default_factory=list)
 
 
 def unit(matrix: np.ndarray) -> np.ndarray:
@@ -48,9 +63,9 @@ def unit(matrix: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def angle(x: np.ndarray, point: np.ndarray) -> np.ndarray:
-    """Angles between rows of x and a unit vector: a metric on the sphere."""
-    return np.arccos(np.clip(x @ point, -1.0, 1.0))
+def angle(x: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Angles between rows of x and unit vectors: a metric on the sphere."""
+    return np.arccos(np.clip(x @ points, -1.0, 1.0))
 
 
 def _vantage(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -60,9 +75,9 @@ def _vantage(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """
     some = x[rng.choice(len(x), min(len(x), 1024), replace=False)]
     centred = some - some.mean(0)
-    _, _, axes = np.linalg.svd(centred, full_matrices=False)
-    candidates = np.vstack([axes[:3], some[:5]])
-    spread = np.arccos(np.clip(some @ candidates.T, -1, 1)).std(0)
+    _, axes = np.linalg.eigh(centred.T @ centred)
+    candidates = np.vstack([axes[:, -3:].T, some[:5]])
+    spread = angle(some, candidates.T).std(0)
     return candidates[int(spread.argmax())].astype(np.float32)
 
 
@@ -83,7 +98,8 @@ def build(x: np.ndarray, leaf: int, seed: int = 7) -> Node:
             middle = float(np.median(d))
             inner = d <= middle
             if not inner.all():
-                node.vantage, node.median = point, middle
+                node.vantage, node.median, node.number = point, middle, len(root.points)
+                root.points.append(point)
                 node.near, node.far = Node(rows=node.rows[inner]), Node(rows=node.rows[~inner])
                 node.rows = None
                 todo += [node.near, node.far]
@@ -97,129 +113,279 @@ def visits(root: Node, q: np.ndarray, radius: np.ndarray, factor: float) -> Iter
     """Each leaf with the queries (indices) that it cannot be ruled out for.
 
     A side is ruled out where the least angle that the triangle inequality leaves, times factor, exceeds the
-    query's radius.
+    query's radius.  The caller may lower radius in place between two leaves.
     """
-    todo = [(root, np.arange(len(q)))]
+    angles = angle(q, np.array(root.points).T) if root.points else None
+    todo = [(root, np.arange(len(q)), np.zeros(len(q), np.float32))]
     while todo:
-        node, mine = todo.pop()
+        node, mine, least = todo.pop()
+        alive = least * factor <= radius[mine]
+        if not alive.all():
+            mine, least = mine[alive], least[alive]
         if len(mine) == 0:
             continue
         if node.rows is not None:
             yield node, mine
             continue
-        beyond = angle(q[mine], node.vantage) - node.median
-        reach = radius[mine] / factor
-        todo += [(node.near, mine[beyond <= reach]), (node.far, mine[-beyond <= reach])]
+        beyond = angles[mine, node.number] - np.float32(node.median)
+        # The side that a query is on comes first: its radius may have shrunk when the other one is asked.
+        todo += [(node.near, mine, np.maximum(least, beyond)), (node.far, mine, np.maximum(least, -beyond))]
+
+
+def homes(root: Node, x: np.ndarray) -> np.ndarray:
+    """The number of the one leaf that each row belongs to."""
+    home = np.zeros(len(x), np.int64)
+    for node, mine in visits(root, x, np.zeros(len(x), np.float32), 1.0):
+        home[mine] = node.number  # at radius 0 only ties on a median reach two leaves; one is kept
+    return home
+
+
+def router(sample: np.ndarray, n: int, shard_rows: int) -> Node:
+    """A tree without rows that cuts n vectors into shards, fitted on a sample of them."""
+    shards = max(1 if n <= shard_rows else 2, min(-(-n // shard_rows), len(sample) // ROUTER_LEAST))
+    root = build(sample, -(-len(sample) // shards))
+    for leaf in root.leaves:
+        leaf.rows = leaf.rows[:0]
+    return root
+
+
+def _raw(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """A column of equally long byte strings as rows of signed bytes."""
+    array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if isinstance(array, pa.ChunkedArray):
+        array = pa.concat_arrays(array.chunks)
+    n = len(array)
+    if n == 0:
+        return np.zeros((0, 1), np.int8)
+    width = len(array[0].as_py())
+    offsets = np.frombuffer(array.buffers()[1], np.int32 if pa.types.is_binary(array.type) else np.int64)[array.offset :]
+    return np.frombuffer(array.buffers()[2], np.int8)[offsets[0] : offsets[0] + n * width].reshape(n, width)
+
+
+def _bytes(rows: np.ndarray) -> pa.Array:
+    """Rows of bytes as a column of byte strings."""
+    n, width = rows.shape
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * width, width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _pack(dims: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                rows = batch.column(1).flatten().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int8).reshape(-1, dims)
+                some = rows.any(1)
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(some)), _bytes(rows[some])], ["vec_id", "vec"])
+
+    return run
+
+
+_ROUTED = "shard long, home boolean, vec_id long, ids array<long>, vec binary"
+
+
+def _spread(root: Node, x: np.ndarray, limit: float, factor: float, home: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, leaf, whether it lives there) of every row in each leaf that it has to be sent to; those not at home live nowhere."""
+    lives = homes(root, x)
+    rows, leaves = [np.arange(len(x))], [lives]
+    for node, mine in visits(root, x, np.full(len(x), limit, np.float32), factor):
+        other = mine[lives[mine] != node.number]
+        rows.append(other)
+        leaves.append(np.full(len(other), node.number))
+    row, leaf = np.concatenate(rows), np.concatenate(leaves)
+    at_home = np.arange(len(row)) < len(x)
+    if home is None:
+        return row, leaf, at_home
+    # A query from elsewhere goes only where it can find something.
+    asked = np.zeros((len(x), len(root.leaves)), bool)
+    for node, mine in visits(root, x, np.full(len(x), limit, np.float32), factor):
+        asked[mine, node.number] = True
+    keep = home[row] | asked[row, leaf]
+    return row[keep], leaf[keep], (at_home & home[row])[keep]
+
+
+def _routed_table(shard: np.ndarray, at_home: np.ndarray, row: np.ndarray, ids: pa.Array, copies: pa.Array, raw: np.ndarray) -> pa.Table:
+    take = pa.array(row)
+    # Only at home is it needed which other rows have the same vector.
+    listed = pa.compute.if_else(pa.array(at_home), copies.take(take), pa.scalar([], copies.type))
+    return pa.table([pa.array(shard.astype(np.int64)), pa.array(at_home), ids.take(take), listed, _bytes(raw[row])], ["shard", "home", "vec_id", "ids", "vec"])
 
 
 def _route(root: Node, cos: float, factor: float):
     limit = float(np.arccos(cos))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch):
-                continue
-            x = unit(np.stack([np.frombuffer(v, np.int8) for v in batch["vec"]]))
-            home = np.zeros(len(x), np.int64)
-            for node, mine in visits(root, x, np.zeros(len(x), np.float32), 1.0):
-                home[mine] = node.number  # at radius 0 only ties on a median reach two leaves; one is kept
-            rows, shard = [], []
-            for node, mine in visits(root, x, np.full(len(x), limit, np.float32), factor):
-                rows.append(mine)
-                shard.append(np.full(len(mine), node.number))
-            rows.append(np.arange(len(x)))
-            shard.append(home)
-            both = pd.DataFrame({"row": np.concatenate(rows), "shard": np.concatenate(shard)}).drop_duplicates()
-            at = both["row"].to_numpy()
-            yield pd.DataFrame({"shard": both["shard"].to_numpy(np.int32), "home": home[at] == both["shard"].to_numpy(), "vec_id": batch["vec_id"].to_numpy()[at], "vec": batch["vec"].to_numpy()[at]})
+            if batch.num_rows:
+                raw = _raw(batch.column("vec"))
+                row, leaf, at_home = _spread(root, unit(raw), limit, factor)
+                yield from _routed_table(leaf, at_home, row, batch.column("vec_id"), batch.column("ids"), raw).to_batches()
 
     return run
 
 
+def _home_counts(root: Node):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(homes(root, unit(_raw(batch.column("vec"))))), batch.column("h")], ["shard", "h"])
+
+    return run
+
+
+def _subtree(shard_rows: int):
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        x = unit(np.stack([np.frombuffer(v, np.int8) for v in rows.sort_values("vec_id")["vec"]]))
+        return pd.DataFrame({"shard": [key[0]], "tree": [pickle.dumps(router(x, int(rows["n"].iloc[0]), shard_rows))]})
+
+    return run
+
+
+def _cut(cos: float, factor: float):
+    limit = float(np.arccos(cos))
+
+    def run(rows: pa.Table, trees: pa.Table) -> pa.Table:
+        raw = _raw(rows.column("vec"))
+        root = pickle.loads(trees.column("tree")[0].as_py())  # noqa: S301
+        row, leaf, at_home = _spread(root, unit(raw), limit, factor, rows.column("home").to_numpy(zero_copy_only=False).astype(bool))
+        shard = (rows.column("shard").to_numpy()[row] + 1) * (1 << 16) + leaf
+        flat = {c: rows.column(c).combine_chunks() for c in ("vec_id", "ids")}
+        return _routed_table(shard, at_home, row, flat["vec_id"], flat["ids"], raw)
+
+    return run
+
+
+def cut_hot(routed: DataFrame, cos: float, factor: float) -> DataFrame:
+    """`routed` with every shard of more than HOT x SHARD_ROWS vectors cut by a tree fitted on a sample of its own.
+
+    Goes on until no shard is too large, or those that are left can't be cut further.  The rows of a hot shard are cut in
+    groups of bounded size.
+    """
+    before = None
+    while True:
+        sizes = routed.groupBy("shard").agg(F.count_if("home").alias("n"), F.count("*").alias("rows")).checkpoint()
+        hot = sizes.where(F.col("n") > HOT * SHARD_ROWS)
+        state = tuple(hot.agg(F.count("*"), F.max("n"), F.sum("n")).first())
+        if state[0] == 0 or state == before:
+            return routed
+        before = state
+        sample = routed.where("home").join(hot, "shard").where(F.pmod(F.xxhash64("vec"), F.lit(1_000_003)) <= F.least(F.lit(1.0), F.lit(ROUTER_SAMPLE / 2) / F.col("n")) * 1_000_003)
+        trees = sample.select("shard", "vec_id", "vec", "n").groupBy("shard").applyInPandas(_subtree(SHARD_ROWS), "shard long, tree binary")
+        salts = F.ceil(F.col("rows") / _CUT_ROWS)
+        salted = routed.join(hot, "shard").withColumn("salt", F.pmod(F.xxhash64("vec_id"), salts))
+        planted = trees.join(hot, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+        cut = salted.groupBy("shard", "salt").cogroup(planted.groupBy("shard", "salt")).applyInArrow(_cut(cos, factor), _ROUTED)
+        routed = routed.join(hot, "shard", "left_anti").unionByName(cut).checkpoint()
+
+
 def search(x: np.ndarray, q: np.ndarray, k: int, cos: float, factor: float, leaf: int = LEAF_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row, cosine) of up to k most similar rows of x, with a cosine of at least cos, for each row of q."""
+    """(query, row, cosine) of up to k most similar rows of x, with a cosine of at least cos, for each row of q.
+
+    A query's radius shrinks to its k-th best, so what is held at once is k rows a query and one leaf's hits.
+    """
     root = build(x, leaf)
-    out_q, out_r, out_c = [], [], []
+    slack = 1.0 if factor == 1.0 else SLACK
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for begin in range(0, len(q), _QUERY_BLOCK):
         part = q[begin : begin + _QUERY_BLOCK]
-        found_q, found_r, found_c = [], [], []
-        for node, mine in visits(root, part, np.full(len(part), float(np.arccos(cos)), np.float32), factor):
+        n = len(part)
+        best_row, best_cos = np.full((n, k), -1, np.int64), np.full((n, k), np.float32(cos - 1e-5), np.float32)
+        radius = np.full(n, float(np.arccos(min(1.0, max(-1.0, cos)))) + 1e-4, np.float32)
+        for node, mine in visits(root, part, radius, factor):
             for at in range(0, len(node.rows), 2048):
                 rows = node.rows[at : at + 2048]
-                similar = part[mine] @ x[rows].T
-                i, j = np.nonzero(similar >= cos - 1e-5)
-                found_q.append(mine[i])
-                found_r.append(rows[j])
-                found_c.append(similar[i, j])
-        a, b, c = (np.concatenate(f) if f else np.zeros(0, np.int64) for f in (found_q, found_r, found_c))
-        order = np.lexsort((b, -c, a))
-        a, b, c = a[order], b[order], c[order]
-        first = np.searchsorted(a, a)
-        keep = np.arange(len(a)) - first < k
-        out_q.append(a[keep] + begin)
-        out_r.append(b[keep])
-        out_c.append(c[keep])
-    return np.concatenate(out_q) if out_q else np.zeros(0, np.int64), np.concatenate(out_r) if out_r else np.zeros(0, np.int64), np.concatenate(out_c) if out_c else np.zeros(0, np.float32)
+                for low in range(0, len(mine), 4096):
+                    asked = mine[low : low + 4096]
+                    similar = part[asked] @ x[rows].T
+                    i, j = np.nonzero(similar >= best_cos[asked, -1][:, None])
+                    if len(i) == 0:
+                        continue
+                    hit = np.unique(i)
+                    who = asked[hit]
+                    a = np.concatenate([np.repeat(who, k), asked[i]])
+                    b = np.concatenate([best_row[who].ravel(), rows[j]])
+                    c = np.concatenate([best_cos[who].ravel(), similar[i, j]])
+                    order = np.lexsort((b, -c, b < 0, a))
+                    a, b, c = a[order], b[order], c[order]
+                    keep = np.arange(len(a)) - np.searchsorted(a, a) < k
+                    best_row[who], best_cos[who] = b[keep].reshape(-1, k), c[keep].reshape(-1, k)
+                    full = who[best_row[who, -1] >= 0]
+                    radius[full] = np.minimum(radius[full], slack * np.arccos(np.clip(best_cos[full, -1], -1.0, 1.0)) + np.float32(1e-3))
+        a, place = np.nonzero(best_row >= 0)
+        out.append((a + begin, best_row[a, place], best_cos[a, place]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
 
 
 def _shard(k: int, cos: float, factor: float):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        raw = np.stack([np.frombuffer(v, np.int8) for v in rows["vec"]])
-        x, ids, home = unit(raw), rows["vec_id"].to_numpy(np.int64), rows["home"].to_numpy(bool)
+    def run(rows: pa.Table) -> pa.Table:
+        raw, ids, home = _raw(rows.column("vec")), rows.column("vec_id").to_numpy(), rows.column("home").to_numpy(zero_copy_only=False).astype(bool)
+        copies = rows.column("ids").to_pylist()
         order = np.argsort(ids, kind="stable")
-        raw, x, ids, home = raw[order], x[order], ids[order], home[order]
+        raw, ids, home = raw[order], ids[order], home[order]
+        copies = [copies[at] for at in order]
         mine = np.flatnonzero(home)
-        a, b, _ = search(x[mine], x, k + 1, cos, factor)
+        x = unit(raw)
+        # A few more than wanted: they are put in order by their exact cosines.
+        a, b, _ = search(x[mine], x, k + 4, cos, factor) if len(mine) else search(x[:0], x[:0], k, cos, factor)
         b = mine[b]
-        # Exact cosines: whole-number products, so that equal ones are equal.
-        wide = raw.astype(np.int64)
-        norm = (wide * wide).sum(1)
+        # Whole-number products, so that equal cosines are equal.
+        norm = np.array([int((r.astype(np.int64) ** 2).sum()) for r in raw]) if len(raw) < 64 else np.concatenate([(raw[at : at + 65_536].astype(np.int32) ** 2).sum(1) for at in range(0, len(raw), 65_536)])
         exact = np.zeros(len(a))
         for at in range(0, len(a), 65_536):
             i, j = a[at : at + 65_536], b[at : at + 65_536]
-            exact[at : at + 65_536] = (wide[i] * wide[j]).sum(1) / np.sqrt(norm[i].astype(float) * norm[j])
+            exact[at : at + 65_536] = (raw[i].astype(np.int32) * raw[j].astype(np.int32)).sum(1) / np.sqrt(norm[i].astype(float) * norm[j])
         keep = (exact >= cos) & (a != b)
-        return pd.DataFrame({"vec_id": ids[a[keep]], "other_id": ids[b[keep]], "cosine": np.round(exact[keep], 12)})
+        a, b, exact = a[keep], b[keep], np.round(exact[keep], 12)
+        # A class of equal vectors stands for its smallest ids; its own copies are found at home.
+        size = np.array([len(c) for c in copies])
+        times = size[b]
+        others = np.fromiter((i for at in b for i in copies[at]), np.int64, int(times.sum()))
+        several = mine[size[mine] > 1]
+        own = np.fromiter((i for at in several for i in copies[at]), np.int64, int(size[several].sum()))
+        return pa.table({
+            "vec_id": np.concatenate([np.repeat(ids[a], times), np.repeat(ids[several], size[several])]), "other_id": np.concatenate([others, own]),
+            "cosine": np.concatenate([np.repeat(exact, times), np.ones(len(own))])})
 
     return run
 
 
-def similar_vectors(vectors: DataFrame, k: int = K, min_cos: float = MIN_COS, factor: float = FACTOR, dims: int = 128) -> DataFrame:
+def similar_vectors(vectors: DataFrame, k: int = K, min_cos: float = MIN_COS, factor: float | None = None, dims: int = 128) -> DataFrame:
     """(vec_id, other_id, cosine): up to `k` most similar other vectors of each, with a cosine of min_cos or more.
 
     vectors: vec_id (unique), vec (array<tinyint>).  Null, zero and wrongly long vectors count as none.  Equal
     vectors are searched once and share what is found; among equal cosines the smaller vec_id comes first.
-    With factor 1 the search is exact; above, a small share of neighbours is missed.
+    With factor 1 the search is exact; above, a small share of neighbours is missed; `relaxed` chooses it if none is given.
     """
-    valid = vectors.where(F.col("vec_id").isNotNull() & (F.size("vec") == dims) & F.exists("vec", lambda v: v != 0)).select(F.col("vec_id").cast("long"), _packed("vec").alias("vec"))
-    # Copies first: of each distinct vector only its k+1 smallest ids can be among anyone's neighbours.
-    firsts = smallest_per_group(valid, "vec", "vec_id", k + 1)
-    distinct = firsts.select("vec", F.element_at("ids", 1).alias("vec_id"), "ids").checkpoint()
-    n = distinct.count()
+    given = vectors.where(F.col("vec_id").isNotNull() & (F.size("vec") == dims)).select(F.col("vec_id").cast("long").alias("vec_id"), "vec")
+    valid = given.mapInArrow(_pack(dims), "vec_id long, vec binary").select("vec_id", "vec", F.xxhash64("vec").alias("h"), F.xxhash64("vec", F.lit(1)).alias("h2")).checkpoint()
+    n = valid.count()
     if n == 0:
-        return distinct.select("vec_id", F.lit(0).cast("long").alias("other_id"), F.lit(0.0).alias("cosine")).limit(0)
+        return valid.select("vec_id", F.lit(0).cast("long").alias("other_id"), F.lit(0.0).alias("cosine")).limit(0)
+    factor = relaxed(n) if factor is None else factor
     share = min(1.0, ROUTER_SAMPLE / n)
-    sample = distinct.where(F.pmod(F.xxhash64("vec"), F.lit(1_000_003)) <= share * 1_000_003).select("vec_id", "vec").orderBy(F.xxhash64("vec")).limit(ROUTER_SAMPLE).collect()
-    x = unit(np.stack([np.frombuffer(r["vec"], np.int8) for r in sorted(sample, key=lambda r: r["vec_id"])])) if sample else unit(np.ones((1, dims)))
-    shards = max(1, n // SHARD_ROWS)
-    root = build(x, max(1, -(-len(x) // shards)) if shards > 1 else len(x))
-    for leaf in root.leaves:
-        leaf.rows = leaf.rows[:0]
-    routed = distinct.select("vec_id", "vec").mapInPandas(_route(root, min_cos, factor), "shard int, home boolean, vec_id long, vec binary")
-    pairs = routed.groupBy("shard").applyInPandas(_shard(k, min_cos, factor), "vec_id long, other_id long, cosine double")
-    # Neighbours by class of equal vectors, then by id: a class stands for its smallest ids.
-    near = pairs.join(distinct.select(F.col("vec_id").alias("other_id"), F.col("ids").alias("other_ids")), "other_id").select(
-        "vec_id", "cosine", F.explode("other_ids").alias("other_id"))
-    own = distinct.select("vec_id", F.lit(1.0).alias("cosine"), F.explode("ids").alias("other_id"))
-    best = smallest_per_group(near.unionByName(own), "vec_id", F.struct((-F.col("cosine")).alias("far"), F.col("other_id")), k + 1)
-    lists = best.join(distinct.select("vec_id", "vec"), "vec_id").select("vec", "ids")
-    each = valid.join(lists, "vec").select("vec_id", F.slice(F.filter("ids", lambda e: e["other_id"] != F.col("vec_id")), 1, k).alias("ids"))
-    return each.select("vec_id", F.explode("ids").alias("e")).select("vec_id", F.col("e.other_id").alias("other_id"), (-F.col("e.far")).alias("cosine"))
-
-
-def _packed(vector: str):
-    """array<tinyint> as bytes; a null element counts as 0."""
-    return F.unhex(F.array_join(F.transform(vector, lambda v: F.lpad(F.hex(F.coalesce(v, F.lit(0)).cast("int").bitwiseAND(255)), 2, "0")), ""))
+    sample = valid.where(F.pmod("h", F.lit(1_000_003)) <= share * 1_000_003).select("vec").distinct().orderBy(F.xxhash64("vec"), "vec").limit(ROUTER_SAMPLE).collect()
+    x = unit(np.stack([np.frombuffer(r["vec"], np.int8) for r in sample])) if sample else unit(np.ones((1, dims)))
+    root = router(x, n, SHARD_ROWS)
+    # Copies first: of each distinct vector only its k+1 smallest ids can be among anyone's neighbours.  Hot copies are
+    # reduced within parts before they meet.
+    few = F.slice(F.array_sort(F.collect_set("vec_id")), 1, k + 1)
+    copies = valid.groupBy("h", "h2").agg(F.min("vec_id").alias("class"), F.count("*").alias("n")).where("n > 1").select("h", "h2", "class").checkpoint()
+    salt = F.pmod(F.xxhash64("vec_id"), F.lit(_SALTS)).cast("int")
+    salted = copies.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    again = valid.select("vec_id", "h", "h2", salt.alias("salt")).join(salted, ["h", "h2", "salt"]).select("vec_id", "class").checkpoint()
+    parts = again.groupBy("class", F.pmod(F.xxhash64("vec_id"), F.lit(4096)).alias("part")).agg(few.alias("some"))
+    ids = parts.select("class", F.explode("some").alias("vec_id")).groupBy("class").agg(few.alias("ids"))
+    classes = valid.select("vec_id", "vec").join(again.where("vec_id <> class").select("vec_id"), "vec_id", "left_anti").join(ids.withColumnRenamed("class", "vec_id"), "vec_id", "left")
+    distinct = classes.select("vec_id", F.coalesce("ids", F.array("vec_id")).alias("ids"), "vec")
+    routed = distinct.mapInArrow(_route(root, min_cos, factor), _ROUTED)
+    homed = valid.select("vec", "h").mapInArrow(_home_counts(root), "shard long, h long").groupBy("shard").agg(F.approx_count_distinct("h").alias("n"))
+    if len(root.leaves) > 1 and not homed.where(F.col("n") > HOT * SHARD_ROWS).isEmpty() or len(root.leaves) * HOT * SHARD_ROWS < n:
+        routed = cut_hot(routed.checkpoint(), min_cos, factor)
+    pairs = routed.groupBy("shard").applyInArrow(_shard(k, min_cos, factor), "vec_id long, other_id long, cosine double")
+    # A class has at most (k+1) squared rows from each shard that it was sent to.
+    best = pairs.groupBy("vec_id").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("cosine")).alias("far"), "other_id"))), 1, k + 1).alias("ids")).withColumnRenamed("vec_id", "class")
+    members = again.select("vec_id", "class")
+    each = best.join(members, "class", "left").select(F.coalesce("vec_id", "class").alias("vec_id"), "ids")
+    wanted = each.select("vec_id", F.explode(F.slice(F.filter("ids", lambda e: e["other_id"] != F.col("vec_id")), 1, k)).alias("e"))
+    return wanted.select("vec_id", F.col("e.other_id").alias("other_id"), (-F.col("e.far")).alias("cosine"))
 
 
 def p3_found(spark: SparkSession, directory: str) -> DataFrame:

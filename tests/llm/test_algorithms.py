@@ -65,6 +65,25 @@ def test_vantage_tree_with_factor_one_is_exact():
         assert {j for _, j in best} == set(b[a == i].tolist()) or sorted(sims[i, b[a == i]].round(4)) == sorted(-v for v, _ in best)
 
 
+def test_a_dense_cluster_keeps_only_the_best():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    x = V.unit(rng.normal(size=(1, 32)) + rng.normal(size=(3000, 32)) * 0.02)
+    tracemalloc.start()
+    a, b, c = V.search(x, x, 6, 0.8, V.relaxed(3000))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (np.bincount(a) == 6).all() and peak < 150e6
+    best = np.sort(x @ x.T, axis=1)[:, -6:]
+    assert (np.abs(np.sort(c.reshape(-1, 6), axis=1) - best) < 1e-5).mean() > 0.9
+
+
+def test_the_factor_falls_with_the_depth():
+    factors = [V.relaxed(n) for n in (1, 5_000, 10**6, 10**9, 10**12)]
+    assert factors == sorted(factors, reverse=True) and factors[0] == V.FACTOR and factors[-1] > 1
+
+
 def test_equal_vectors_stay_in_one_leaf():
     tree = V.build(V.unit(np.ones((900, 8))), 16)
     assert len(tree.leaves) == 1 and len(tree.leaves[0].rows) == 900

@@ -43,6 +43,26 @@ def test_neighbours_match_brute_force_with_copies_ties_and_bad_rows(spark):
     assert V.similar_vectors(df.limit(0), dims=16).count() == 0
 
 
+def test_hot_shards_are_cut_again(spark, monkeypatch):
+    for name, value in (("SHARD_ROWS", 40), ("ROUTER_SAMPLE", 64), ("LEAF_ROWS", 8), ("_CUT_ROWS", 90)):
+        monkeypatch.setattr(V, name, value)
+    rng = np.random.default_rng(9)
+    x = np.vstack([np.clip(c + rng.integers(-9, 9, (9, 16)), -127, 127) for c in rng.integers(-90, 90, (90, 16))]).astype(int)
+    x[800:] = x[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, vec array<byte>")
+    cuts = []
+    cut_hot = V.cut_hot
+    monkeypatch.setattr(V, "cut_hot", lambda *a: cuts.append(cut_hot(*a)) or cuts[-1])
+    got = {(r["vec_id"], r["other_id"]) for r in V.similar_vectors(df, factor=1.0, dims=16).collect()}
+    q = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sims = np.round(q @ q.T, 12)
+    np.fill_diagonal(sims, -1)
+    want = {(i, j) for i in range(len(x)) for j in sorted(np.flatnonzero(sims[i] >= 0.8), key=lambda j: (-sims[i, j], j))[:5]}
+    sizes = [r["count"] for r in cuts[0].where("home").groupBy("shard").count().collect()]
+    assert sum(sizes) == 800 and max(sizes) <= 80, sizes
+    assert len(got & want) >= 0.995 * len(want) and len(got) == len(want)  # equal rounded cosines may change places
+
+
 def test_packing_over_partitions(spark, monkeypatch):
     monkeypatch.setattr(B, "TASK_PIECES", 40)
     rng = random.Random(2)
