@@ -43,15 +43,23 @@ SHINGLE, PERMUTATIONS, BANDS, LEAST_SHINGLES, SIMILAR = 5, 64, 16, 20, 0.80
 # Signatures only choose what is compared: at a similarity of 0.8, fewer values agree once in some 500,000 pairs.
 LEAST_AGREE = 36
 
-# What generators write at the head of a file.
-_GENERATED = re.compile(
-    r"@generated\b|<auto-?generated|\bauto-?generated file\b|\bcode generated by\b|\bdo not (?:edit|modify)\s*[:.!;]|; do not (?:edit|modify)\b"
-    r"|\b(?:automatically|auto)[ -](?:produced|generated|created) by\b|\bmanual changes will be lost\b|\bchanges are overwritten\b|\bedits here do not survive\b"
-    r"|\bmachine-(?:written|generated)\b|\bregenerate with\b|^\W*generated (?:on|by|from|with|using)\b|\bthis file (?:is|was) (?:auto(?:matically|-)? ?)?generated\b"
-    r"|\bne pas modifier\b|\bfichier (?:produit|g[ée]n[ée]r[ée])\b|\bautomatisch (?:erzeugt|generiert)\b|\bnicht von hand bearbeiten\b"
-    r"|\bno (?:editar|modificar)\b|\bgenerado autom[áa]ticamente\b|\barchivo generado\b", re.I | re.M)
+# Members of a bucket that one task compares with as many others.
+BLOCK = 512
+
+# What generators say at the head of a file, in any words: a tag of their own, or where the file comes from together with
+# a warning not to edit it.  Copies from elsewhere say so, or carry the licence of their authors.
+_TAGGED = re.compile(
+    r"@generated\b|<auto-?generated|\b(?:this|code|file|auto(?:matically|-)?)(?: file)? (?:is |was )?(?:auto(?:matically|-)? ?)?generated (?:by|from|with|using|on)\b|\bthis file (?:is|was) (?:auto(?:matically|-)? ?)?generated\b"
+    r"|\bauto-?generated (?:file|code)\b|\b(?:automatically|auto|machine)[ -](?:produced|generated|created|written)\b(?=[^\n\w]*(?:$|[.;,!:(]|(?:by|from|with|using|on|file|code)\b))"
+    r"|\bre-?(?:generate|build|create) (?:it |this |this file )?(?:with|using|via|by running)\b"
+    r"|^\W*generated (?:on|by|from|with|using|automatically)\b|\b(?:fichier|archivo|datei) (?:\w+ )?(?:produit|g[ée]n[ée]r[ée]|generado|producido|erzeugt|generiert)\b|\bautomatisch (?:erzeugt|generiert)\b|\bgenerado autom[áa]ticamente\b", re.I | re.M)
+_ORIGIN = re.compile(r"\b(?:(?:re-?)?(?:generated?|built|written|produced|created|compiled|emitted|run|made)|output|template|codegen|[\w-]+-gen|erzeugt|generiert|g[ée]n[ée]r[ée]|produit|generado)\b", re.I)
+_WARNED = re.compile(
+    r"\b(?:do not|don't|never) (?:edit|modify|change|alter|touch)\b|\b(?:edits?|changes?|modifications?)\b[^.\n]{0,40}\b(?:lost|overwritten|survive|discarded|ignored|undone|reverted)\b"
+    r"|\bne pas (?:modifier|[ée]diter)\b|\bnicht (?:von hand |manuell )?(?:bearbeiten|[äa]ndern)\b|\bno (?:editar|modificar)\b", re.I)
 _THIRD_PARTY = re.compile(
-    r"\bimported from upstream\b|\bcopied verbatim from the\b|\bthird-party copy\b|^\W*@license\b|\(c\) the \S+ authors\b.*\breleased under\b|^\W*vendored from\b", re.I | re.M)
+    r"\b(?:imported|copied|taken|vendored|bundled|synced|mirrored)\b[^.\n]{0,30}\b(?:upstream|verbatim|from the)\b|\bthird[- ]party (?:copy|code|source)\b|^\W*@license\b|\(c\) [^\n]{0,80}\breleased under\b|^\W*vendored from\b", re.I | re.M)
+# What compilers to another dialect leave in their output.
 _EMITTED = ("__esModule", "/** @class */", "void 0", "(this && this.__")
 # Names that tools give to what they write.
 GENERATED_NAME = r"(?i)(\.pb\.(go|cc|h)|_pb2(_grpc)?\.py|\.pb-c\.[ch]|\.tab\.[ch]|[._]gen\.\w+|\.generated\.\w+|[.-]min\.(js|mjs|css)|\.bundle\.js|[.-][0-9a-f]{7,}\.m?js|\.snap)$"
@@ -70,12 +78,14 @@ _NO_DIGITS = {ord(d): None for d in "0123456789"}
 
 def head(text: str) -> str:
     """The comment lines with which a file begins."""
-    out = []
-    for line in text[:8_000].splitlines():
-        if not _COMMENT.match(line):
+    at = 0
+    while at < len(text):
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end
+        if not _COMMENT.match(text[at:end]):
             break
-        out.append(line)
-    return "\n".join(out)
+        at = end + 1
+    return text[:at]
 
 
 def layout(text: str, words: list[str]) -> dict:
@@ -103,7 +113,7 @@ def layout(text: str, words: list[str]) -> dict:
 def marks(text: str) -> tuple[bool, bool, bool]:
     """(marked as generated, marked as third-party, written by a compiler to another dialect)."""
     top = head(text)
-    return bool(_GENERATED.search(top)), bool(_THIRD_PARTY.search(top)), sum(sign in text for sign in _EMITTED) >= 3
+    return bool(_TAGGED.search(top) or (_WARNED.search(top) and _ORIGIN.search(top))), bool(_THIRD_PARTY.search(top)), sum(sign in text for sign in _EMITTED) >= 3
 
 
 class Sketch:
@@ -191,25 +201,37 @@ _PAIRS = "a long, b long, asked long, more boolean"
 
 
 def _candidates(low: int, high: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """For each open member of a bucket, the members of other repositories at the places low to high by agreement."""
+    """For each open row of a block, the members of other repositories at the places low to high by agreement."""
 
-    def pairs(bucket: pd.DataFrame) -> pd.DataFrame:
-        bucket = bucket.sort_values("content")
-        content, first, last, is_open = (bucket[c].to_numpy() for c in ("content", "low", "high", "open"))
-        signature = np.array(bucket["signature"].tolist(), np.int32)
+    def pairs(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("content", kind="stable")
+        asked, members = (block[block["open"] == side] for side in (True, False))
+        content, first, last = (members[c].to_numpy() for c in ("content", "low", "high"))
+        signature = np.array(members["signature"].tolist(), np.int32).reshape(-1, PERMUTATIONS)
         out = []
-        for at in np.flatnonzero(is_open):
-            agree = (signature == signature[at]).sum(1)
-            apart = (first != first[at]) | (last != last[at]) | (first != last)
-            apart[at] = False
+        for mine, least, most, own in zip(asked["content"], asked["low"], asked["high"], asked["signature"], strict=True):
+            agree = (signature == np.array(own, np.int32)).sum(1)
+            apart = ((first != least) | (last != most) | (first != last)) & (content != mine)
             others = np.flatnonzero(apart & (agree >= LEAST_AGREE))
             best = others[np.argsort(-agree[others], kind="stable")]
-            out += [(*sorted((content[at], content[other])), content[at], len(best) > high) for other in best[low:high]]
+            out += [(*sorted((mine, content[other])), mine, len(best) > high) for other in best[low:high]]
         return pd.DataFrame(out, columns=["a", "b", "asked", "more"])
 
     return pairs
 
 
+def _blocks(met: DataFrame, still: DataFrame) -> DataFrame:
+    """Open members of each bucket against all of its members, in blocks of about BLOCK of either side."""
+    opened = met.join(still, "content", "left_semi")
+    counts = opened.groupBy("band", "value").agg(F.count("*").alias("o"), F.first("n").alias("n"))
+    sized = counts.select("band", "value", F.ceil(F.col("n") / BLOCK).alias("blocks"), F.ceil(F.col("o") / BLOCK).alias("turns"))
+    row = F.xxhash64("content")
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    members = met.join(sized, ["band", "value"]).withColumn("block", F.pmod(row, F.col("blocks"))).withColumn("turn", every("turns")).withColumn("open", F.lit(False))
+    asked = opened.join(sized, ["band", "value"]).withColumn("turn", F.pmod(row, F.col("turns"))).withColumn("block", every("blocks")).withColumn("open", F.lit(True))
+    return members.unionByName(asked)
+
+
 def _shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     sketch = Sketch()
     for batch in batches:
@@ -217,33 +239,50 @@ def _shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"content": batch["content"], "shingles": rows})
 
 
+def _leads(met: DataFrame, still: DataFrame) -> DataFrame:
+    """(a, b) of each open member with one member of another repository of each of its buckets."""
+    one = F.struct("low", "high", "content")
+    ends = met.groupBy("band", "value").agg(F.min(one).alias("first"), F.max(F.struct("high", "low", "content")).alias("last"))
+    lead = F.when((F.col("first.low") != F.col("high")) | (F.col("first.high") != F.col("low")), F.col("first.content")).otherwise(F.col("last.content"))
+    asked = met.join(still, "content", "left_semi").join(ends, ["band", "value"]).select("content", lead.alias("lead")).where(F.col("content") != F.col("lead"))
+    return asked.select(F.least("content", "lead").alias("a"), F.greatest("content", "lead").alias("b")).distinct()
+
+
 def spread_copies(facts: DataFrame, texts: DataFrame) -> DataFrame:
     """`content` of texts that stand, equal or nearly so, in more than one repository.
 
     facts: file_id, content, repo_id, n_words, signature, bands.  texts: file_id, content, the text.  Equal texts are
     grouped first, so that only distinct ones meet in the bands; short ones are compared by their hash alone, and
-    those of less than one shingle say nothing.  Members of a bucket are compared by the shingles of their texts,
-    the likeliest first; those that found no copy go on with the next until none are left.
+    those of less than one shingle say nothing.  Each member of a bucket is first compared, by the shingles of the
+    texts, with one member of another repository; those that are no copy of it go on with the bucket's other members,
+    the likeliest first, until none are left.  Large buckets are compared in blocks, so no task holds a bucket.
     """
     groups = facts.groupBy("content").agg(
         F.min("repo_id").alias("low"), F.max("repo_id").alias("high"), F.first("signature", ignorenulls=True).alias("signature"), F.first("bands", ignorenulls=True).alias("bands"),
         F.max("n_words").alias("n_words"), F.min("file_id").alias("file_id")).checkpoint()
     equal = groups.where((F.col("low") != F.col("high")) & (F.col("n_words") >= SHINGLE)).select("content")
     members = groups.where(F.col("bands").isNotNull()).select("content", "low", "high", F.posexplode("bands").alias("band", "value"))
-    buckets = members.groupBy("band", "value").agg(F.min("low").alias("least"), F.max("high").alias("most"), F.count("*").alias("n")).where("n > 1 AND least <> most").select("band", "value")
-    met = members.join(buckets, ["band", "value"], "left_semi").join(groups.select("content", "signature"), "content").checkpoint()
-    # Equal copies need no partner, but are partners of others.
-    still = met.select("content").distinct().join(equal, "content", "left_anti").checkpoint()
-    found, low, high = equal, 0, 1
-    while not still.isEmpty():
-        asked = met.join(still.withColumn("open", F.lit(True)), "content", "left").fillna(False, ["open"])
-        pairs = asked.groupBy("band", "value").applyInPandas(_candidates(low, high), _PAIRS).distinct().checkpoint()
-        ids = pairs.select(F.col("a").alias("content")).unionByName(pairs.select(F.col("b").alias("content"))).distinct().join(groups.select("content", "file_id"), "content")
+    buckets = members.groupBy("band", "value").agg(F.min("low").alias("least"), F.max("high").alias("most"), F.count("*").alias("n")).where("n > 1 AND least <> most").select("band", "value", "n")
+    met = members.join(buckets, ["band", "value"]).checkpoint()
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        """`content` of the texts of pairs whose shingles are alike."""
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("content")).distinct().join(groups.select("content", "file_id"), "content")
         named = texts.select("file_id", F.col("content").alias("content_text")).join(ids, "file_id").dropDuplicates(["content"])
         sets = named.select("content", "content_text").mapInPandas(_shingled, "content long, shingles array<int>").checkpoint()
-        both = pairs.select("a", "b").distinct().join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+        both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
         shared = F.size(F.array_intersect("sa", "sb"))
-        close = both.where(shared >= F.lit(SIMILAR) * (F.size("sa") + F.size("sb") - shared)).select(F.explode(F.array("a", "b")).alias("content")).distinct().checkpoint()
+        return both.where(shared >= F.lit(SIMILAR) * (F.size("sa") + F.size("sb") - shared)).select(F.explode(F.array("a", "b")).alias("content")).distinct().checkpoint()
+
+    # Equal copies need no partner, but are partners of others.
+    still = met.select("content").distinct().join(equal, "content", "left_anti").checkpoint()
+    close = alike(_leads(met, still).checkpoint())
+    found, still = equal.unionByName(close), still.join(close, "content", "left_anti").checkpoint()
+    low, high = 0, 1
+    signed = met.join(groups.select("content", "signature"), "content")
+    while not still.isEmpty():
+        pairs = _blocks(signed, still).groupBy("band", "value", "block", "turn").applyInPandas(_candidates(low, high), _PAIRS).distinct().checkpoint()
+        close = alike(pairs.select("a", "b").distinct())
         found = found.unionByName(close)
         still = pairs.where("more").select(F.col("asked").alias("content")).distinct().join(close, "content", "left_anti").checkpoint()
         low, high = high, 16 * high
@@ -261,7 +300,7 @@ def not_hand_written(files: DataFrame, texts: DataFrame) -> DataFrame:
     code = paths.where(~F.col("path").rlike(_NEVER))
     extension = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     full = texts.where(F.col("file_id").isNotNull() & (F.length("content") > 0)).select(F.col("file_id").cast("long").alias("file_id"), "repo_id", "content")
-    # Texts are read once and never shuffled; only their facts are.
+    # Texts are read once; only an input of fewer splits than cores is spread first, and candidates' texts are read again.
     facts = spread(full).mapInPandas(_read, _FACTS).dropDuplicates(["file_id"]).checkpoint()
     written = facts.join(code.select("file_id"), "file_id", "left_semi")
     shared = spread_copies(written, full).withColumn("spread", F.lit(True))
