@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphlake.sources.tables import one_each, table
@@ -198,18 +198,22 @@ def spans(hits: list[tuple[int, int]], own: np.ndarray, length: int, width: int)
     hits: (document position, item position) of matching phrases of `width` words.  Matches follow one another
     in both texts, with at most GAP words between and a shift of at most DRIFT.
     """
-    hits = sorted(set(hits))
     chains: list[dict] = []
-    for d, i in hits:
+    live: list[dict] = []
+    at = -1
+    for d, i in sorted(set(hits)):
+        if d != at:
+            # Chains that nothing can continue any more leave the search.
+            live = [c for c in live if d - c["d"] <= GAP + width]
+            at = d
         best = None
-        for c in reversed(chains):
-            if d - c["d"] > GAP + width:
-                continue
+        for c in reversed(live):
             step_d, step_i = d - c["d"], i - c["i"]
             if step_d > 0 and 0 < step_i <= GAP + width and abs(step_d - step_i) <= DRIFT and (best is None or c["n"] > best["n"]):
                 best = c
         if best is None:
-            chains.append({"d": d, "i": i, "d0": d, "i0": i, "n": 1, "words": set(range(i, i + width)), "own": int(own[i])})
+            live.append({"d": d, "i": i, "d0": d, "i0": i, "n": 1, "words": set(range(i, i + width)), "own": int(own[i])})
+            chains.append(live[-1])
         else:
             best["d"], best["i"] = d, i
             best["n"] += 1
@@ -258,12 +262,9 @@ def search_shard(documents: list[list[str]], items: Items) -> list[tuple[int, in
         # Without a phrase peculiar to few items no span counts.
         if not any(own[j] for _, j in found):
             continue
-        best = None
         for i0, i1, d0, d1, matched, own_hits in spans(found, own, length, width):
-            if _judge(i0, i1, own_hits, matched, own, length) and (best is None or matched > best[2]):
-                best = (d0, d1, matched)
-        if best:
-            out += [(copy, items.ids[k], *best) for copy in groups[d][1]]
+            if _judge(i0, i1, own_hits, matched, own, length):
+                out += [(copy, items.ids[k], d0, d1, matched) for copy in groups[d][1]]
     return out
 
 
@@ -273,7 +274,7 @@ def contaminated(documents: DataFrame, items: DataFrame) -> DataFrame:
     documents: doc_id, text.  items: item_id, text; a stated set, searched in blocks of ITEM_BLOCK.  A document
     holds an item if one run of it, in order, spans LEAST_SHARE of the item's words, single words changed or
     left out, and the phrases peculiar to the item agree; text shared by many items alone does not count.  One
-    row per document and item: the longest run.  Null or empty texts hold nothing and are held by nothing;
+    row per run: a document that holds an item twice has two.  Null or empty texts hold nothing and are held by nothing;
     rows with null ids are left out; repeated ids count once.
     """
     docs = one_each(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id").where(F.length("text") > 0)
@@ -316,14 +317,28 @@ def _searcher(rows: list[tuple[int, str]]):
     return run
 
 
+def removal_spans(runs: DataFrame) -> DataFrame:
+    """(doc_id, first_word, last_word, items): the words of each document to take out, runs that overlap or touch merged.
+
+    runs: doc_id, item_id, first_word, last_word.  items: the items that the span holds, in order.
+    """
+    order = Window.partitionBy("doc_id").orderBy("first_word", "last_word", "item_id")
+    before = F.max("last_word").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.when(before.isNull() | (F.col("first_word") > before + 1), 1).otherwise(0)
+    numbered = runs.withColumn("begins", begins).withColumn("span", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy("doc_id", "span").agg(
+        F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word"), F.array_sort(F.collect_set("item_id")).alias("items")).drop("span")
+
+
 def p7_found(spark: SparkSession, directory: str) -> DataFrame:
     """Documents and the evaluation items that stand in them."""
-    return contaminated(table(spark, directory, "documents"), table(spark, directory, "eval_items")).select("doc_id", "item_id")
+    return contaminated(table(spark, directory, "documents"), table(spark, directory, "eval_items")).select("doc_id", "item_id").distinct()
 
 
 def p7_spans(spark: SparkSession, directory: str) -> DataFrame:
-    """The same with the words of each document to take out."""
-    return contaminated(table(spark, directory, "documents"), table(spark, directory, "eval_items"))
+    """The words of each document to take out, and the items that they hold."""
+    runs = contaminated(table(spark, directory, "documents"), table(spark, directory, "eval_items"))
+    return removal_spans(runs).withColumn("items", F.array_join(F.col("items").cast("array<string>"), ","))
 
 
 QUERIES = {"p7_found": p7_found, "p7_spans": p7_spans}

@@ -55,6 +55,19 @@ def test_fm_index_finds_all_places(words, repeat):
     assert sorted(zip(which.tolist(), at.tolist(), strict=True)) == sorted((k, i) for k, p in enumerate(phrases.tolist()) for i in range(len(s) - 1) if s[i : i + 2].tolist() == p)
 
 
+def test_many_hits_of_one_item_are_chained_in_one_pass():
+    import time
+
+    own = np.ones(40, bool)
+    seconds = []
+    for n in (4_000, 32_000):
+        began = time.perf_counter()
+        assert len(K.spans([(20 * d, d % 37) for d in range(n)], own, 40, 4)) == n
+        seconds.append(time.perf_counter() - began)
+    assert seconds[1] < 40 * seconds[0] + 0.2
+    assert K.spans([(d, d) for d in range(30)] + [(500 + d, d) for d in range(30)], own, 40, 4) == [(0, 32, 0, 32, 33, 30), (0, 32, 500, 532, 33, 30)]
+
+
 def test_vantage_tree_with_factor_one_is_exact():
     rng = np.random.default_rng(2)
     x = V.unit(np.vstack([rng.normal(size=(40, 16)) + c for c in rng.normal(size=(12, 16)) * 3]))

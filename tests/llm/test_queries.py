@@ -113,11 +113,22 @@ def test_contamination_cases(spark):
         10: " ".join([*noise(40), *words, *noise(5)]), 11: " ".join([*noise(9), *words[:26]]), 12: " ".join([*noise(9), *words[:10]]), 13: "> " + "\n> ".join(" ".join(words[i : i + 6]).upper() + "," for i in range(0, 60, 6)),
         14: " ".join(changed), 15: shared, 16: None, 17: "", 18: " ".join(noise(9000)) + " " + LEAK, 19: "<p>" + LEAK.replace("beta3", "<b>beta3</b>") + "</p>", 20: " ".join([*noise(40), *words, *noise(5)]), 21: " ".join(reversed(words))}
     df = spark.createDataFrame([(k, v, k) for k, v in docs.items()] + [(10, docs[10], 1), (None, LEAK, 0)], "doc_id long, text string, item_id int")
-    got = sorted((r["doc_id"], r["item_id"]) for r in K.contaminated(df, items).collect())
+    got = sorted({(r["doc_id"], r["item_id"]) for r in K.contaminated(df, items).collect()})
     assert got == [(d, 1) for d in (10, 11, 13, 14, 18, 19, 20)]
     assert K.contaminated(df.limit(0), items).count() == 0 and K.contaminated(df, items.limit(0)).count() == 0
 
 
+def test_every_copy_in_a_document_is_removed(spark):
+    noise = lambda n, k: " ".join(f"n{k}q{i}" for i in range(n))
+    items = spark.createDataFrame([(1, LEAK), (2, " ".join(f"own{i} else{i}" for i in range(20)))], "item_id long, text string")
+    two = " ".join(f"own{i} else{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, f"{noise(30, 1)} {LEAK} {noise(50, 2)} {LEAK} {two}"), (2, noise(9, 3))], "doc_id long, text string")
+    runs = K.contaminated(docs, items)
+    assert sorted((r["item_id"], r["first_word"], r["last_word"]) for r in runs.collect()) == [(1, 30, 89), (1, 140, 199), (2, 200, 239)]
+    assert sorted((r["first_word"], r["last_word"], r["items"]) for r in K.removal_spans(runs).collect()) == [(30, 89, [1]), (140, 239, [1, 2])]
+    assert K.removal_spans(runs.limit(0)).count() == 0
+
+
 def test_items_in_blocks_find_the_same(spark, monkeypatch):
     items = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(30))) for i in range(12)], "item_id long, text string")
     docs = items.selectExpr("item_id + 100 AS doc_id", "text")
