@@ -134,7 +134,7 @@ _JS_LEX = (
     rf"\s+|{_SLASH}|{_CONFLICT}|(?:=>|&&|\|\||\?\?|[=!]==?|[(,=:\[!&|?{{;+~^]|\breturn|\btypeof|\bcase)[ \t]*\n?[ \t]*{_REGEX}|{_DQ}|{_SQ}|{_template(3)}|[#]?(?:[^\W\d]|\$)[\w$]*|{_NUMBER}"
     r"|>>>=|>>=|<<=|\*\*=|&&=|\|\|=|\?\?=|===|!==|\.\.\.|\*\*|==|!=|<=|>=|=>|\+\+|--|&&|\|\||\?\?|\?\.(?!\d)|<<|[+\-*/%&|^]=|[\s\S]")
 _JS_WORDS = "break case catch class const continue debugger default delete do else export extends finally for function if import in instanceof new return super switch this throw try typeof var void while with null true false enum"
-_JS_SOFT = "async await of get set static from as let yield type interface declare namespace module abstract readonly public private protected implements keyof is infer satisfies override accessor asserts unique"
+_JS_SOFT = "async await of get set static from as let yield type interface declare namespace module abstract readonly public private protected implements keyof is infer satisfies override accessor asserts unique target"
 _JS_SIGNS = _SIGNS_C + " >>>= >>= <<= **= &&= ||= ??= === !== ... ** == != <= >= => ++ -- && || ?? ?. << += -= *= /= %= &= |= ^="
 
 
@@ -176,7 +176,7 @@ def _js_arrange(table: dict[str, str]):
 _JS_STATEMENT = """
 Block@ <- "{" Stmts@ "}"
 Stmts@ <- (NL / Stmt@)*
-Stmt@ <- FlatStmt / Block@ / ";" / VarStmt / If@ / For@ / While@ / Do@ / Try@ / Switch@ / Function / Class / ThrowStmt / Jump / Return@ / Labelled@ / TypeDecl / Debugger / ExprStmt
+Stmt@ <- FlatStmt / Block@ / ";" / VarStmt / If@ / For@ / While@ / Do@ / Try@ / Switch@ / NamedFunction / Class / ThrowStmt / Jump / Return@ / Labelled@ / TypeDecl / Debugger / ExprStmt
 If@ <- "if" "(" Exprs ")" NL? Stmt@ (NL? "else" NL? Stmt@)?
 For@ <- "for" "await"? "(" ForHead ")" NL? Stmt@
 While@ <- "while" "(" Exprs ")" NL? Stmt@
@@ -188,7 +188,7 @@ Labelled@ <- ID ":" NL? Stmt@
 _JS_COMMON = """
 Debugger <- "debugger" Semi
 Semi <- ";" / NL / &"}" / !.
-VarStmt <- ("const" ConstDecl ("," ConstDecl)* / ("let" !("=" / "." / "(") / "var") VarDecl ("," VarDecl)*) Semi
+VarStmt <- ("const" !"let" ConstDecl ("," ConstDecl)* / ("let" !("=" / "." / "(" / "let") / "var") VarDecl ("," VarDecl)*) Semi
 ThrowStmt <- "throw" Exprs Semi
 Jump <- ("break" / "continue") ID? Semi
 ReturnF <- "return" FlatExpr ";" / "return" Exprs? Semi
@@ -204,6 +204,7 @@ Binding <- ID / "[" (","* BindingDefault)? ("," BindingDefault?)* ("..." Binding
 BindingDefault <- "..."? Binding ("=" Expr)?
 BindingProp <- "..." ID / PropName ":" Binding ("=" Expr)? / ID ("=" Expr)?
 Function <- "async"? "function" "*"? ID? Signature FBody
+NamedFunction <- "async"? "function" "*"? ID Signature FBody
 FBody <- BlockF
 Params <- "(" (Param ("," Param)* ","?)? ")"
 Class <- Decorator* "abstract"? "class" (!"extends" !"implements" ID)? TypeParams? ("extends" Left TypeArgs?)? ("implements" Type ("," Type)*)? "{" (NL / ";" / Member)* "}"
@@ -213,7 +214,8 @@ Modifier <- ("static" / "public" / "private" / "protected" / "readonly" / "abstr
 PropName <- ID / Word / STR / NUM / "[" Expr "]"
 Word <- "break" / "case" / "catch" / "class" / "const" / "continue" / "default" / "delete" / "do" / "else" / "export" / "extends" / "finally" / "for" / "function" / "if" / "import" / "in" / "instanceof" / "new" / "return" / "super" / "switch" / "this" / "throw" / "try" / "typeof" / "var" / "void" / "while" / "with" / "null" / "true" / "false" / "enum" / "debugger"
 Exprs <- Expr ("," Expr)*
-Expr <- Simple &(")" / "," / ";" / NL / "]" / "}") / Arrow / "yield" "*"? Expr / Cond (AssignOp Expr)? / "yield"
+Expr <- Simple &(")" / "," / ";" / NL / "]" / "}") / Arrow / "yield" "*"? Expr / !Fixed Left AssignOp Expr / Cond / "yield"
+Fixed <- (NUM / STR / "null" / "true" / "false" / "this") AssignOp
 AssignOp <- "=" / ">>>=" / ">>=" / "<<=" / "**=" / "&&=" / "||=" / "??=" / "+=" / "-=" / "*=" / "/=" / "%=" / "&=" / "|=" / "^=" / ">" ">" "="
 Simple <- (ID / "this" / NUM / STR / "null" / "true" / "false") ("." (ID / Word))*
 FlatArgs <- "(" (Simple ("," Simple)*)? ")"
@@ -226,18 +228,18 @@ Left <- Atom Tail*
 Tail <- ("." / "?.") (ID / Word) / FlatArgs / Args / "?." (Args / "[" Exprs "]") / "[" Exprs "]" / STR / Generic
 Args <- "(" ("..."? Expr ("," "..."? Expr)* ","?)? ")"
 Atom <- Function / Class / "new" New / "import" (Args / "." ID) / ID / NUM / STR / "this" / "null" / "true" / "false" / "super" / "(" Exprs ")" / Array / Object
-New <- "." ID / "new" New / (ID / "this" / "(" Exprs ")" / Class / Function) ("." (ID / Word) / "[" Exprs "]")* TypeArgs? Args?
+New <- "." "target" / "new" New / (ID / "this" / "(" Exprs ")" / Class / Function) ("." (ID / Word) / "[" Exprs "]")* TypeArgs? Args?
 Array <- "[" (","* "..."? Expr)? ("," ("..."? Expr)?)* "]"
 Object <- "{" (Property ("," Property)* ","?)? "}"
 Property <- "..." Expr / (("get" / "set") / "async"? "*"?) PropName Signature FBody / PropName ":" Expr / ID ("=" Expr)?
 Import <- "import" (STR / (ID ("," ("*" "as" ID / NamedImports))? / "*" "as" ID / NamedImports) "from" STR) ("with" Object)? Semi
 NamedImports <- "{" ("type"? ImportName ("as" ID)? ("," "type"? ImportName ("as" ID)?)* ","?)? "}"
 ImportName <- ID / Word / STR
-Export <- "export" ("default" (Function / Class / "abstract" Class / Expr Semi / TypeDecl) / "*" ("as" ImportName)? "from" STR Semi / NamedExports ("from" STR)? Semi / VarStmt / Function / Class / TypeDecl)
+Export <- "export" ("default" (Function / Class / "abstract" Class / Expr Semi / TypeDecl) / "*" ("as" ImportName)? "from" STR Semi / NamedExports ("from" STR)? Semi / VarStmt / NamedFunction / Class / TypeDecl)
 NamedExports <- "{" ("type"? ImportName ("as" ImportName)? ("," "type"? ImportName ("as" ImportName)?)* ","?)? "}"
 """
 _JS_ONLY = """
-FlatLead <- ("const" / "let" / "var")? ID
+FlatLead <- ("const" / "let") !"let" ID / "var"? ID
 ConstDecl <- Binding "=" Expr
 VarDecl <- ID ("=" Expr)? / Binding "=" Expr
 Signature <- Params
@@ -253,7 +255,7 @@ Cast <- TypeAnn
 TypeDecl <- TypeAnn
 """
 _TS_ONLY = """
-FlatLead <- ("const" / "let" / "var") ID (":" ID)? / ID
+FlatLead <- ("const" / "let") !"let" ID (":" ID)? / "var" ID (":" ID)? / ID
 ConstDecl <- ID "!"? TypeAnn? "=" Expr / Binding TypeAnn? "=" Expr
 VarDecl <- ID "!"? TypeAnn? ("=" Expr)? / Binding TypeAnn? "=" Expr
 Signature <- TypeParams? Params (":" ReturnType)?
@@ -646,9 +648,15 @@ def _py_extra(token: str) -> str | None:
         return ""
     if token[0] == "\f":
         return ""
+    if token[0] == "0" and _ZEROS.fullmatch(token):
+        return BAD
     return None
 
 
+# A whole number that begins with 0 and isn't 0.
+_ZEROS = re.compile(r"0[0-9_]*[1-9][0-9_]*")
+
+
 def _py_arrange(table: dict[str, str]):
     def width(token: str) -> int:
         n = 0
@@ -715,8 +723,10 @@ Program <- Line*
 Line <- Compound / Simple
 Simple <- Small (";" Small)* ";"? NL
 Small <- Flat &(NL / ";") / Import / "pass" / "break" / "continue" / "return" Tests? / "raise" (Test ("from" Test)?)? / "global" ID ("," ID)* / "nonlocal" ID ("," ID)* / "del" Targets / "assert" Test ("," Test)? / TypeAlias / Assign / Exprs
-Flat <- (ID "=" / "return")? (Dotted "(" (FlatArg2 ("," FlatArg2)*)? ")" / NUM / Dotted)
-FlatArg2 <- (ID "=" !"=")? (NUM / STR / Dotted FlatCall?) &("," / ")")
+Flat <- (ID "=" / "return")? (Dotted "(" (FlatPlain ("," FlatPlain)* ("," FlatNamed)* / FlatNamed ("," FlatNamed)*)? ")" / NUM / Dotted)
+FlatPlain <- !(ID "=") FlatArg2
+FlatNamed <- ID "=" FlatArg2
+FlatArg2 <- (NUM / STR / Dotted FlatCall?) &("," / ")")
 Dotted <- ID ("." ID)*
 FlatCall <- "(" (FlatArg ("," FlatArg)*)? ")"
 FlatArg <- (NUM / STR / Dotted) &("," / ")")
@@ -727,10 +737,10 @@ ImportAs <- ID ("as" ID)?
 Targets <- Target ("," Target)* ","?
 Target <- "*"? (Place / "(" Targets? ")" / "[" Targets? "]")
 Place <- Primary2 &("=" / "," / ")" / "]" / ":" / NL / ";" / AugOp / "in" / "as")
-Primary2 <- Atom Trailer* 
+Primary2 <- ID !After / Atom (Trailer &After)* ("." ID / "[" Slice ("," Slice)* ","? "]")
+After <- "." / "(" / "["
 Assign <- PlaceOne ":" Test ("=" (Yield / Tests))? / PlaceOne AugOp (Yield / Tests) / (Targets "=" !"=")+ (Yield / Tests)
-PlaceOne <- !Literal (ID / Atom) Trailer*
-Literal <- (NUM / STR / "None" / "True" / "False") (":" / AugOp / "=")
+PlaceOne <- Primary2 / "(" PlaceOne ")"
 AugOp <- "+=" / "-=" / "*=" / "/=" / "//=" / "%=" / "&=" / "|=" / "^=" / ">>=" / "<<=" / "**=" / "@="
 Exprs <- Yield / Tests
 Yield <- "yield" ("from" Test / Tests)?
@@ -747,8 +757,10 @@ Or <- Arith (BinOp Arith)*
 BinOp <- "|" / "^" / "&" / "<<" / ">>" / "+" / "-" / "**" / "*" / "//" / "/" / "%" / "@"
 Arith <- ("+" / "-" / "~")* "await"? Atom Trailer*
 Trailer <- "." ID / FlatCall / Call / "[" Slice ("," Slice)* ","? "]"
-Call <- "(" (Arg ("," Arg)* ","?)? ")"
-Arg <- "**" Test / "*" Test / ID "=" !"=" Test / Named CompFor?
+Call <- "(" (Given ("," Given)* ("," NamedArg)* ("," KeyArg)* ","? / NamedArg ("," NamedArg)* ("," KeyArg)* ","? / KeyArg ("," KeyArg)* ","?)? ")"
+Given <- "*" Test / !(ID "=") Named CompFor?
+NamedArg <- ID "=" Test / "*" Test
+KeyArg <- "**" Test / ID "=" Test
 Slice <- "*" Or / Test? ":" Test? (":" Test?)? / Named
 Atom <- ID / NUM / STR+ / "None" / "True" / "False" / "..." / "(" (Yield / Named CompFor / Tests)? ")" / "[" (Named CompFor / Tests)? "]" / "{" (DictItem (CompFor / ("," DictItem)* ","?) / Named CompFor / Tests)? "}"
 DictItem <- "**" Or / Test ":" Test
@@ -768,10 +780,18 @@ With <- "with" ("(" WithItem ("," WithItem)* ","? ")" ":" / WithItem ("," WithIt
 WithItem <- Test ("as" Target)?
 Def <- "def" ID TypeParams? "(" Params? ")" ("->" Test)? ":" Suite
 TypeParams <- "[" ("*" / "**")? ID (":" Test)? ("=" Test)? ("," ("*" / "**")? ID (":" Test)? ("=" Test)?)* ","? "]"
-Params <- Param ("," Param)* ","?
-Param <- "**" ID (":" Test)? / "*" ID (":" StarTest)? / "*" / "/" / ID (":" Test)? ("=" Test)?
-LambdaParams <- LambdaParam ("," LambdaParam)* ","?
-LambdaParam <- "**" ID / "*" ID? / "/" / ID ("=" Test)?
+Params <- Plain ("," Plain)* ("," Preset)* ("," Rest)? ","? / Preset ("," Preset)* ("," Rest)? ","? / Rest ","?
+Plain <- ID (":" Test)? !"=" / "/"
+Preset <- ID (":" Test)? "=" Test / "/"
+Rest <- "*" ID (":" StarTest)? ("," KeyOnly)* ("," Keys)? / "*" ("," KeyOnly)+ ("," Keys)? / Keys
+KeyOnly <- ID (":" Test)? ("=" Test)?
+Keys <- "**" ID (":" Test)?
+LambdaParams <- LPlain ("," LPlain)* ("," LPreset)* ("," LRest)? ","? / LPreset ("," LPreset)* ("," LRest)? ","? / LRest ","?
+LPlain <- ID !"=" / "/"
+LPreset <- ID "=" Test / "/"
+LRest <- "*" ID ("," LKeyOnly)* ("," LKeys)? / "*" ("," LKeyOnly)+ ("," LKeys)? / LKeys
+LKeyOnly <- ID ("=" Test)?
+LKeys <- "**" ID
 Class <- "class" ID TypeParams? Call? ":" Suite
 Decorated <- ("@" Named NL)+ (Def / Class / "async" Def)
 Match <- "match" Tests ":" NL INDENT ("case" PatternTop ("if" Named)? ":" Suite)+ DEDENT

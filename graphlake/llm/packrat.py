@@ -320,6 +320,74 @@ class Grammar:
         exec(compile("\n".join(lines), "grammar", "exec"), env)  # noqa: S102
         return env["run"]
 
+    def deep(self, kinds: str) -> tuple[bool, int]:
+        """(whether the whole string is taken in, the furthest position refused), with a stack of its own.
+
+        Slower than `matches` and `furthest`, but for strings nested however deep.
+        """
+        s = kinds + "\0"
+        memo: dict[tuple[str, int], int] = {}
+        far, looking = 0, 0
+        # A frame is an expression, where it began, where it has got to, and which of its parts is next.
+        stack: list[list] = [[Ref(self.start), 0, 0, 0]]
+        got: int | None = None
+        while stack:
+            frame = stack[-1]
+            e, begin, at, part = frame
+            if isinstance(e, Char | Any_):
+                taken = s[begin] != "\0" if isinstance(e, Any_) else s[begin] in e.chars
+                if not taken and not looking:
+                    far = max(far, begin)
+                got = begin + 1 if taken else -1
+                stack.pop()
+                continue
+            if part == 0 and isinstance(e, Ref):
+                got = memo.get((e.name, begin))
+                if got is not None:
+                    stack.pop()
+                    continue
+            if part and got is not None:
+                # The part before has ended at `got`.
+                if isinstance(e, Seq):
+                    at = frame[2] = got
+                    if got < 0 or part == len(e.items):
+                        stack.pop()
+                        continue
+                elif isinstance(e, Alt):
+                    if got >= 0 or part == len(e.items):
+                        stack.pop()
+                        continue
+                elif isinstance(e, Ref):
+                    memo[e.name, begin] = got
+                    stack.pop()
+                    continue
+                elif isinstance(e, Look):
+                    looking -= 1
+                    got = begin if (got >= 0) == e.wanted else -1
+                    stack.pop()
+                    continue
+                else:
+                    if got > at and e.most is None:
+                        at = frame[2] = got
+                    else:
+                        got = max(got, at) if at > begin or e.least == 0 or got > at else -1
+                        stack.pop()
+                        continue
+            if isinstance(e, Seq | Alt) and not e.items:
+                got = begin
+                stack.pop()
+                continue
+            frame[3] = part + 1
+            if isinstance(e, Seq | Alt):
+                stack.append([e.items[part], at if isinstance(e, Seq) else begin, at if isinstance(e, Seq) else begin, 0])
+            elif isinstance(e, Ref):
+                stack.append([self.rules[e.name], begin, begin, 0])
+            else:
+                looking += isinstance(e, Look)
+                stack.append([e.item, at, at, 0])
+            got = None
+        return got == len(kinds), min(far, len(kinds))
+
     def matches(self, kinds: str) -> bool:
         """Whether the whole string is taken in."""
         return self._run[True](kinds + "\0", None) == len(kinds)

@@ -91,7 +91,7 @@ def _bad_field(language: Language, tokens: list[str]) -> int | None:
                 if inner is None:
                     return line + token.count("\n", 0, at)
                 kinds, parts, _ = language.read(f"({inner}\n)\n" if language.name == "Python" else f"({inner}\n);")
-                if not language.grammar.matches(kinds) or not inner.strip():
+                if not _matches(language, kinds)[0] or not inner.strip():
                     return line + token.count("\n", 0, at)
                 deeper = _bad_field(language, parts)
                 if deeper is not None:
@@ -100,24 +100,146 @@ def _bad_field(language: Language, tokens: list[str]) -> int | None:
     return None
 
 
+def _matches(language: Language, kinds: str) -> tuple[bool, int]:
+    """(whether the grammar takes in all kinds, the furthest position refused)."""
+    try:
+        return (True, 0) if language.grammar.matches(kinds) else (False, language.grammar.furthest(kinds))
+    except RecursionError:
+        return language.grammar.deep(kinds)
+
+
+# An element can begin where an expression can: after these signs and words, or at the start.
+_ELEMENT = re.compile(r"<(?=[A-Za-z_$>])")
+_BEFORE = re.compile(r"(?:^|[(,=?:&|\[{};>!]|\b(?:return|default|case|yield|await))\s*\Z")
+_OPEN = re.compile(r"<\s*([A-Za-z_$][\w$.:-]*)?\s*")
+_ATTRIBUTE = re.compile(r"([A-Za-z_$][\w$:-]*)\s*(?:=\s*(\"[^\"]*\"|'[^']*'))?\s*")
+_CLOSE = re.compile(r"<\s*/\s*([A-Za-z_$][\w$.:-]*)?\s*>")
+
+
+def plain_script(text: str) -> tuple[str, int | None]:
+    """(the text with every JSX element as an array of the expressions in it, None), or (the text, line of a faulty element).
+
+    Lines stay where they are.  Elements within the expressions of elements are replaced in the same way.
+    """
+    language = language_of("js")
+    out: list[str] = []
+    used: set[int] = set()  # parentheses of the script itself, and of expressions that have ended
+    # What is open: the name of an element within its tags, or the depth of brackets within an expression.
+    open_: list[tuple[str, object]] = []
+    at, depth = 0, 0
+
+    def fail() -> tuple[str, int]:
+        return text, 1 + text.count("\n", 0, at)
+
+    def tag() -> bool:
+        """Reads attributes up to the end of a tag, or to an expression among them."""
+        nonlocal at
+        while at < len(text):
+            if text.startswith("/>", at):
+                at += 2
+                open_.pop()
+                out.append("]")
+                return True
+            if text[at] == ">":
+                at += 1
+                open_[-1] = ("inner", open_[-1][1])
+                return True
+            if text[at] == "{":
+                return expression()
+            m = _ATTRIBUTE.match(text, at)
+            if not m:
+                return False
+            out.append("\n" * m.group().count("\n"))
+            at = m.end()
+            if text.startswith("=", at):
+                gap = re.compile(r"=\s*").match(text, at)
+                out.append("\n" * gap.group().count("\n"))
+                at = gap.end()
+                if not text.startswith("{", at):
+                    return False
+        return False
+
+    def expression() -> bool:
+        nonlocal at, depth
+        open_.append(("code", depth))
+        depth = 0
+        at += 1
+        out.append("(")
+        return True
+
+    while at < len(text):
+        kind = open_[-1][0] if open_ else "code"
+        if kind == "tag":
+            space = re.compile(r"\s*").match(text, at)
+            out.append("\n" * space.group().count("\n"))
+            at = space.end()
+            if not tag():
+                return fail()
+        elif kind == "inner":
+            closing = _CLOSE.match(text, at)
+            if closing:
+                if (closing.group(1) or "") != open_[-1][1]:
+                    return fail()
+                open_.pop()
+                out.append("\n" * closing.group().count("\n") + "]")
+                at = closing.end()
+            elif text[at] == "<":
+                begun = _OPEN.match(text, at)
+                out.append("[")
+                open_.append(("tag", begun.group(1) or ""))
+                at = begun.end()
+            elif text[at] == "{":
+                expression()
+            elif text[at] in ">}":
+                return fail()
+            else:
+                out.append("\n" if text[at] == "\n" else "")
+                at += 1
+        elif text[at] == "<" and _ELEMENT.match(text, at) and _BEFORE.search("".join(out[-12:])[-40:]):
+            begun = _OPEN.match(text, at)
+            out.append("[")
+            open_.append(("tag", begun.group(1) or ""))
+            at = begun.end()
+        else:
+            token = language.lexer.match(text, at).group()
+            if token == "}" and open_ and depth == 0:
+                _, depth = open_.pop()
+                # An expression within an element is one part of its array; an empty one, or a comment, is none.
+                begin = max(k for k, part in enumerate(out) if part == "(" and k not in used)
+                used.add(begin)
+                inner = "".join(out[begin + 1 :])
+                kinds, _, _ = language.read(inner)
+                out[begin] = "" if not kinds.strip("N") else "(" if not inner.lstrip().startswith("...") else "["
+                out.append("" if out[begin] == "" else (")," if out[begin] == "(" else "],"))
+            else:
+                depth += (token[:1] in ("{", "(", "[")) - (token in ("}", ")", "]"))
+                if token == "(":
+                    used.add(len(out))
+                out.append(token)
+            at += len(token)
+    return ("".join(out), None) if not open_ else fail()
+
+
 def parse(text: str, extension: str) -> tuple[bool, int | None, str | None]:
     """(valid, line of the furthest failure, cause) of a text in the language of an extension.
 
     An empty text is valid in every language but Go, which wants a package clause.  Causes: 'conflict' for
     merge-conflict markers, 'truncated' when the text ends too early, 'character' for what no token can begin
-    with, else 'unexpected'.  A text nested deeper than any stack allows counts as valid.
+    with, else 'unexpected'.  A text nested too deep for the stack is parsed again with a stack on the heap.
     """
     language = language_of(extension)
     if language is None:
         return True, None, None
-    kinds, tokens, where = language.read(text.removeprefix("\ufeff"))
-    try:
-        if language.grammar.matches(kinds):
-            bad = _bad_field(language, tokens) if language.name in ("Python", "JavaScript", "TypeScript") else None
-            return (True, None, None) if bad is None else (False, bad, "unexpected")
-        far = language.grammar.furthest(kinds)
-    except RecursionError:
-        return True, None, None
+    text = text.removeprefix("\ufeff")
+    if extension == "jsx" and _ELEMENT.search(text):
+        text, bad = plain_script(text)
+        if bad is not None:
+            return False, bad, "unexpected"
+    kinds, tokens, where = language.read(text)
+    valid, far = _matches(language, kinds)
+    if valid:
+        bad = _bad_field(language, tokens) if language.name in ("Python", "JavaScript", "TypeScript") else None
+        return (True, None, None) if bad is None else (False, bad, "unexpected")
     at = where.after(kinds, far)
     line = 1 + sum(t.count("\n") for t in tokens[:at])
     if CONFLICT in kinds:
@@ -134,16 +256,26 @@ def parse(text: str, extension: str) -> tuple[bool, int | None, str | None]:
 def _deep(work):
     """The result of `work` on a thread with a large stack."""
     out: list = []
+    errors: list[BaseException] = []
+
+    def run() -> None:
+        try:
+            out.append(work())
+        except BaseException as error:  # noqa: BLE001 - raised again below, by the thread that asked
+            errors.append(error)
+
     old = threading.stack_size(_STACK)
     limit = sys.getrecursionlimit()
     sys.setrecursionlimit(_DEPTH)
     try:
-        t = threading.Thread(target=lambda: out.append(work()))
+        t = threading.Thread(target=run)
         t.start()
         t.join()
     finally:
         threading.stack_size(old)
         sys.setrecursionlimit(limit)
+    if errors:
+        raise errors[0]
     return out[0]
 
 

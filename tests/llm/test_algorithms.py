@@ -174,6 +174,42 @@ def test_deep_and_long_texts_end():
     assert Y.parse("f(a, 1);\n" * 40_000, "js")[0]
 
 
+def test_nesting_has_no_bound():
+    deep = lambda n: "x = " + "(" * n + "1" + ")" * n + "\n"
+    assert Y._deep(lambda: Y.parse(deep(100_000), "py")) == (True, None, None)
+    assert Y._deep(lambda: Y.parse("(" * 200_000, "py")) == (False, 1, "truncated")
+    with pytest.raises(ZeroDivisionError):
+        Y._deep(lambda: 1 // 0)
+    for ext in VALID:
+        grammar = Y.language_of(ext).grammar
+        for text in VALID[ext] + INVALID[ext]:
+            kinds = Y.language_of(ext).read(text)[0]
+            assert grammar.deep(kinds)[0] == grammar.matches(kinds), text
+            assert grammar.matches(kinds) or grammar.deep(kinds)[1] == grammar.furthest(kinds), text
+
+
+def test_targets_arguments_and_parameters():
+    good = {
+        "py": ["f(a, *b, c=1, *d, **e, g=2)\n", "def f(a, /, b=1, *, c, d=2, **e): pass\n", "def f(*a: int, b, **c): pass\n", "x = lambda a, b=1, *c, d, **e: a\n", "(a).b = c[1] = [d, *e] = f().g = 1\n", "x: int = 00\n", "(x): int = 0_0\n", "f(i for i in a)\n", "a.b().c[1:2] += 1\n", "with f() as a, (yield) as b.c: pass\n", "for a.b, (c[0], *d) in e: pass\n", "x = lambda *, a: a\n"],
+        "js": ["[a, b] = c; ({ a } = b);\n", "a.b[c] ||= d => e = f;\n", "let x = y = 2; x = y += z;\n", "new.target; new a.b(c);\n", "export default function () {}\n", "x = function () {}; (function () {})();\n"]}
+    bad = {
+        "py": ["1 = x\n", "x = 1 = y\n", "f() = 1\n", "f() += 1\n", "'a' += b\n", "None = 1\n", "f(a=1, 2)\n", "f(**a, *b)\n", "x = g(f(a=1, b))\n", "def f(a=1, b): pass\n", "def f(*): pass\n", "def f(**a, b): pass\n", "x = lambda a=1, b: a\n", "x = 08\n", "f'{a b}'\n"],
+        "js": ["1 = 2;\n", "'a' = b;\n", "null += 1;\n", "let let = 1;\n", "const let = 1;\n", "function () { }\n", "new.foo;\n"]}
+    assert [t for ext, texts in good.items() for t in texts if not Y.parse(t, ext)[0]] == []
+    assert [t for ext, texts in bad.items() for t in texts if Y.parse(t, ext)[0]] == []
+
+
+def test_elements_in_scripts():
+    good = [
+        "const a = <b c=\"d\" e={f} {...g}>It's {h ? <i/> : null} text{/* note */}</b>;\n", "function A() {\n  return (\n    <>\n      <A.B x='1' y />\n      {xs.map(x => <li key={x}>{x}</li>)}\n    </>\n  );\n}\n",
+        "const less = a < b, more = c > d;\n", "export default () => <div>{`a${<b/>}`}</div>;\n".replace("`a${<b/>}`", "f(<b/>, {c: 1})")]
+    bad = ["const a = <b>;\n", "const a = <b></c>;\n", "x = <b c=1/>;\n", "x = <b>{a b}</b>;\n", "x = <b>}</b>;\n", "x = <b>{(a}</b>;\n", "x = <b c={}/>{;\n"]
+    assert [t for t in good if not Y.parse(t, "jsx")[0]] == []
+    assert [t for t in bad if Y.parse(t, "jsx")[0]] == []
+    assert Y.parse("x = 1;\ny = <b>\n  {c +}\n</b>;\n", "jsx")[:2] == (False, 3)
+    assert not Y.parse("x = <b/>;\n", "js")[0]
+
+
 def test_python_grammar_agrees_with_the_interpreter():
     import ast
     import sysconfig
