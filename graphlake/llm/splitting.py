@@ -39,7 +39,6 @@ def pieces(start: int, end: int, boundaries: list[int], limit: int = LIMIT, over
     left, right = list(range(-1, n - 1)), [*range(1, n), -1]
     alive = [True] * n
     begins = list(first)  # where the piece begins, overlap included
-    version = [0] * n
 
     def shorten(i: int) -> None:
         """Hard cuts: while the segment is too long alone, a piece of exactly `limit` comes off its front."""
@@ -48,15 +47,13 @@ def pieces(start: int, end: int, boundaries: list[int], limit: int = LIMIT, over
             begins[i] += limit - overlap
 
     out: list[tuple[int, int]] = []
-    heap = [(weight.get(first[i], 0.0), first[i], i, 0) for i in range(1, n)]
+    heap = [(weight.get(first[i], 0.0), first[i], i) for i in range(1, n)]
     heapq.heapify(heap)
     uniform = not weight
     if uniform:
         shorten(0)
     while heap:
-        _, _, i, seen = heapq.heappop(heap)
-        if not alive[i] or seen != version[i]:
-            continue
+        _, _, i = heapq.heappop(heap)
         j = left[i]
         size = last[i] - begins[j] + 1
         carried = 0 if uniform or left[j] < 0 else overlap
@@ -80,15 +77,15 @@ def pieces(start: int, end: int, boundaries: list[int], limit: int = LIMIT, over
             out.append((begins[i], last[i]))
             i = right[i]
     else:
-        i = 0
-        previous = None
+        i, begin = 0, start
         while i >= 0:
-            begin = first[i] if previous is None else max(start, previous + 1 - overlap)
+            while right[i] >= 0 and last[i] - begin + 1 <= overlap:  # too short to end here: it goes on into the next one
+                i = right[i]
             while last[i] - begin + 1 > limit:
                 out.append((begin, begin + limit - 1))
                 begin += limit - overlap
             out.append((begin, last[i]))
-            previous = last[i]
+            begin = last[i] + 1 - overlap
             i = right[i]
     return sorted(out)
 
@@ -98,7 +95,9 @@ def _cut(limit: int, overlap: int):
         for batch in batches:
             item, a, b = [], [], []
             for key, start, end, cuts in zip(batch["item"], batch["first"], batch["last"], batch["cuts"], strict=True):
-                for p, q in pieces(int(start), int(end), [int(c) for c in cuts], limit, overlap):
+                strength = {int(c["at"]): float(c["strength"]) for c in cuts}
+                weighted = strength if any(strength.values()) else None
+                for p, q in pieces(int(start), int(end), list(strength), limit, overlap, weighted):
                     item.append(key)
                     a.append(p)
                     b.append(q)
@@ -110,18 +109,21 @@ def _cut(limit: int, overlap: int):
 def split_oversized(items: DataFrame, boundaries: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """(item, piece_start, piece_end) of each item longer than `limit`.
 
-    items: item, place, first, last (inclusive).  boundaries: place, at; those of the same place inside the
-    item, after its first position, are natural.  Items with a null in any of the four columns, or not longer
-    than the limit, have no row.  Repeated boundaries count once.
+    items: item, place, first, last (inclusive).  boundaries: place, at, and perhaps strength; those of the same place
+    inside the item, after its first position, are natural.  With strengths (null counts as 0) the weakest boundaries
+    give way first; where all are equal, pieces are as long as fits, from the left.  Items with a null in any of the four
+    columns, or not longer than the limit, have no row.  Repeated boundaries count once, the strongest of them.
     """
     long = items.where((F.col("last") - F.col("first") + 1) > limit).select(
         F.col("item").cast("long"), "place", F.col("first").cast("long"), F.col("last").cast("long")).where(F.col("item").isNotNull())
     blocks = long.withColumn("block", F.explode(F.sequence(F.floor(F.col("first") / _BLOCK), F.floor(F.col("last") / _BLOCK))))
+    strength = F.coalesce(F.col("strength").cast("double"), F.lit(0.0)) if "strength" in boundaries.columns else F.lit(0.0)
     marks = boundaries.where(F.col("at").isNotNull() & F.col("place").isNotNull()).select(
-        "place", F.col("at").cast("long").alias("at"), F.floor(F.col("at") / _BLOCK).alias("block"))
+        "place", F.col("at").cast("long").alias("at"), F.floor(F.col("at") / _BLOCK).alias("block"), strength.alias("strength"))
     inside = blocks.join(marks, ["place", "block"]).where((F.col("at") > F.col("first")) & (F.col("at") <= F.col("last")))
-    cuts = inside.groupBy("item").agg(F.collect_set("at").alias("cuts"))
-    ready = long.join(cuts, "item", "left").select("item", "first", "last", F.coalesce("cuts", F.array().cast("array<long>")).alias("cuts"))
+    once = inside.groupBy("item", "at").agg(F.max("strength").alias("strength"))
+    cuts = once.groupBy("item").agg(F.collect_list(F.struct("at", "strength")).alias("cuts"))
+    ready = long.join(cuts, "item", "left").select("item", "first", "last", F.coalesce("cuts", F.array().cast("array<struct<at:long,strength:double>>")).alias("cuts"))
     return ready.mapInPandas(_cut(limit, overlap), "item long, piece_start long, piece_end long")
 
 
@@ -134,7 +136,18 @@ def p2_found(spark: SparkSession, directory: str) -> DataFrame:
     return split.select(F.col("item").alias("chunk_id"), F.col("piece_start").cast("int").alias("piece_start"), F.col("piece_end").cast("int").alias("piece_end"))
 
 
-QUERIES = {"p2_found": p2_found}
+def p2_outer(spark: SparkSession, directory: str) -> DataFrame:
+    """The same chunks cut by the heap: where the outermost definitions begin before the ones nested in them."""
+    chunks = latest(table(spark, directory, "chunks"), "chunk_id", ["file_id", "start_line", "end_line"], "indexed_at")
+    items = chunks.select(F.col("chunk_id").alias("item"), F.col("file_id").alias("place"), F.col("start_line").alias("first"), F.col("end_line").alias("last"))
+    symbols = table(spark, directory, "symbols")
+    # A definition without an enclosing one is the strongest boundary, a type is stronger than what stands in it.
+    strength = F.when(F.col("parent").isNull() & F.col("owner").isNull(), 2.0).when(F.col("kind").isin("class", "struct", "interface", "trait", "enum", "module"), 1.5).otherwise(1.0)
+    split = split_oversized(items, symbols.select(F.col("file_id").alias("place"), F.col("start_line").alias("at"), strength.alias("strength")))
+    return split.select(F.col("item").alias("chunk_id"), F.col("piece_start").cast("int").alias("piece_start"), F.col("piece_end").cast("int").alias("piece_end"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_outer": p2_outer}
 ORACLES = {
     "p2_found": """WITH RECURSIVE c AS (SELECT chunk_id, arg_max(file_id, indexed_at) file_id, arg_max(start_line, indexed_at) s, arg_max(end_line, indexed_at) e FROM chunks GROUP BY chunk_id),
 big AS (SELECT * FROM c WHERE e - s + 1 > 150),

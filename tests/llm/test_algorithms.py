@@ -36,7 +36,12 @@ def test_pieces_are_the_greedy_ones(start, span, cuts):
 def test_weighted_pieces_cover_and_fit(span, strength):
     got = C.pieces(1, 1 + span, list(strength), 60, 5, strength)
     assert got[0][0] == 1 and got[-1][1] == 1 + span and all(b - a + 1 <= 60 for a, b in got)
-    assert all(q[0] <= p[1] + 1 for p, q in zip(got, got[1:], strict=False))
+    assert all(q[0] == p[1] + 1 - 5 for p, q in zip(got, got[1:], strict=False))
+
+
+def test_weak_boundaries_give_way_first():
+    assert C.pieces(1, 80, [31, 51], 60, 5, {31: 3.0, 51: 1.0}) == [(1, 30), (26, 80)] and C.pieces(1, 80, [31, 51], 60, 5) == [(1, 50), (46, 80)]
+    assert C.pieces(1, 100, [31, 51, 81], 60, 5, {31: 1.0, 51: 3.0, 81: 2.0}) == [(1, 50), (46, 100)]
 
 
 def test_pieces_of_nothing():

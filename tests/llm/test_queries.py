@@ -246,12 +246,12 @@ def test_queries_run_on_files(spark, tmp_path):
     spark.createDataFrame([(1, "a", "x.py", T), (2, None, None, None)], "file_id int, repo_id string, path string, indexed_at timestamp").write.parquet(f"{d}/files.parquet")
     spark.createDataFrame([(1, "a", "x = ("), (2, None, None)], "file_id int, repo_id string, content string").write.parquet(f"{d}/file_texts.parquet")
     spark.createDataFrame([(1, 1, 1, 400, None, None, T), (2, None, None, None, None, None, None)], "chunk_id long, file_id int, start_line int, end_line int, vec_q array<byte>, vec_s float, indexed_at timestamp").write.parquet(f"{d}/chunks.parquet")
-    spark.createDataFrame([(1, 1, 5)], "symbol_id int, file_id int, start_line int").write.parquet(f"{d}/symbols.parquet")
+    spark.createDataFrame([(1, 1, 5, None, None, "class")], "symbol_id int, file_id int, start_line int, parent int, owner string, kind string").write.parquet(f"{d}/symbols.parquet")
     spark.createDataFrame([(1, "some text", "s"), (2, None, None)], "doc_id long, text string, source string").write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([(1, "some text")], "item_id long, text string").write.parquet(f"{d}/eval_items.parquet")
     got = {name: query(spark, d).count() for name, query in L.QUERIES.items()}
     assert got["p2_found"] == 3 and got["p5_found"] == 1 and got["p6_windows"] == 2 and got["p3_found"] == 0
-    assert set(got) == {"p1_found", "p1_reasons", "p2_found", "p3_found", "p5_found", "p5_failures", "p5_rates", "p6_windows", "p6_checks", "p7_found", "p7_spans", "p8_found"}
+    assert set(got) == {"p1_found", "p1_reasons", "p2_found", "p2_outer", "p3_found", "p5_found", "p5_failures", "p5_rates", "p6_windows", "p6_checks", "p7_found", "p7_spans", "p8_found"}
 
 
 @pytest.mark.parametrize("k", [1, 3])
