@@ -155,26 +155,22 @@ class Sketch:
 
 
 _FACTS = (
-    "file_id long, repo_id string, n_chars long, n_lines long, max_line long, mean_line double, white_share double, alnum_share double, number_share double, "
-    "run_share double, numbered_share double, n_words long, marked boolean, copied boolean, emitted boolean, content long, signature array<int>, bands array<long>")
+    "file_id long, repo long, n_chars long, n_lines long, max_line long, mean_line double, white_share double, alnum_share double, number_share double, "
+    "run_share double, numbered_share double, n_words long, marked boolean, copied boolean, emitted boolean, content long, signature array<int>")
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     sketch = Sketch()
-    rows_per_band = PERMUTATIONS // BANDS
     for batch in batches:
         rows = []
-        for file_id, repo, text in zip(batch["file_id"], batch["repo_id"], batch["content"], strict=True):
+        for file_id, repo, text in zip(batch["file_id"], batch["repo"], batch["content"], strict=True):
             words = _WORDS.findall(text)
             content, signature = sketch.signature(words)
-            bands = None
-            if signature is not None:
-                bands = [xxhash.xxh64_intdigest(signature[k * rows_per_band : (k + 1) * rows_per_band].tobytes(), seed=k) - (1 << 63) for k in range(BANDS)]
             marked, copied, emitted = marks(text)
             rows.append({
-                "file_id": file_id, "repo_id": repo, **layout(text, words), "n_words": len(words), "marked": marked, "copied": copied, "emitted": emitted, "content": content,
-                "signature": None if signature is None else signature.view(np.int32).tolist(), "bands": bands})
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in _FACTS.split(", ")])
+                "file_id": file_id, "repo": repo, **layout(text, words), "n_words": len(words), "marked": marked, "copied": copied, "emitted": emitted, "content": content,
+                "signature": None if signature is None else signature.view(np.int32).tolist()})
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in _FACTS.split(", ")]).astype({"repo": "Int64"})
 
 
 def layout_reasons(extension: Column) -> Column:
@@ -200,24 +196,47 @@ def _plain_path(path: Column) -> Column:
 _PAIRS = "a long, b long, asked long, more boolean"
 
 
-def _candidates(low: int, high: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """For each open row of a block, the members of other repositories at the places low to high by agreement."""
+_KEY = ["band", "value", "block", "turn"]
 
-    def pairs(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values("content", kind="stable")
-        asked, members = (block[block["open"] == side] for side in (True, False))
-        content, first, last = (members[c].to_numpy() for c in ("content", "low", "high"))
-        signature = np.array(members["signature"].tolist(), np.int32).reshape(-1, PERMUTATIONS)
-        out = []
-        for mine, least, most, own in zip(asked["content"], asked["low"], asked["high"], asked["signature"], strict=True):
-            agree = (signature == np.array(own, np.int32)).sum(1)
-            apart = ((first != least) | (last != most) | (first != last)) & (content != mine)
-            others = np.flatnonzero(apart & (agree >= LEAST_AGREE))
-            best = others[np.argsort(-agree[others], kind="stable")]
-            out += [(*sorted((mine, content[other])), mine, len(best) > high) for other in best[low:high]]
-        return pd.DataFrame(out, columns=["a", "b", "asked", "more"])
 
-    return pairs
+def _candidates(low: int, high: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """For each open row of a block, the members of other repositories at the places low to high by agreement.
+
+    Rows come sorted by block, many blocks in a batch.
+    """
+
+    def pairs(rows: pd.DataFrame) -> list[tuple]:
+        key = rows[_KEY].to_numpy(np.int64)
+        content, first, last, is_open = (rows[c].to_numpy() for c in ("content", "low", "high", "open"))
+        signature = np.array(rows["signature"].tolist(), np.int32).reshape(-1, PERMUTATIONS)
+        begins = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)]))
+        out = []
+        for begin, end in zip(begins, np.append(begins[1:], len(rows)), strict=True):
+            here = np.arange(begin, end)
+            members = here[~is_open[here]]
+            for at in here[is_open[here]]:
+                agree = (signature[members] == signature[at]).sum(1)
+                apart = ((first[members] != first[at]) | (last[members] != last[at]) | (first[members] != last[members])) & (content[members] != content[at])
+                fit = apart & (agree >= LEAST_AGREE)
+                others, agree = members[fit], agree[fit]
+                best = others[np.lexsort((content[others], -agree))]
+                out += [(*sorted((content[at], content[other])), content[at], len(best) > high) for other in best[low:high]]
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            # The last block of a batch may go on in the next one.
+            last = (held[_KEY] == held[_KEY].iloc[-1]).all(axis=1).to_numpy()
+            yield pd.DataFrame(pairs(held[~last]) if not last.all() else [], columns=["a", "b", "asked", "more"])
+            held = held[last].reset_index(drop=True)
+        if held is not None:
+            yield pd.DataFrame(pairs(held), columns=["a", "b", "asked", "more"])
+
+    return run
 
 
 def _blocks(met: DataFrame, still: DataFrame) -> DataFrame:
@@ -241,27 +260,30 @@ def _shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _leads(met: DataFrame, still: DataFrame) -> DataFrame:
     """(a, b) of each open member with one member of another repository of each of its buckets."""
-    one = F.struct("low", "high", "content")
-    ends = met.groupBy("band", "value").agg(F.min(one).alias("first"), F.max(F.struct("high", "low", "content")).alias("last"))
-    lead = F.when((F.col("first.low") != F.col("high")) | (F.col("first.high") != F.col("low")), F.col("first.content")).otherwise(F.col("last.content"))
-    asked = met.join(still, "content", "left_semi").join(ends, ["band", "value"]).select("content", lead.alias("lead")).where(F.col("content") != F.col("lead"))
-    return asked.select(F.least("content", "lead").alias("a"), F.greatest("content", "lead").alias("b")).distinct()
+    one = F.struct("low", "high", "content", "signature")
+    ends = met.groupBy("band", "value").agg(F.min(one).alias("first"), F.max(F.struct("high", "low", "content", "signature")).alias("last"))
+    lead = lambda c: F.when((F.col("first.low") != F.col("high")) | (F.col("first.high") != F.col("low")), F.col(f"first.{c}")).otherwise(F.col(f"last.{c}"))
+    asked = met.join(still, "content", "left_semi").join(ends, ["band", "value"]).select("content", "signature", lead("content").alias("lead"), lead("signature").alias("lead_signature"))
+    agree = F.aggregate(F.zip_with("signature", "lead_signature", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+    return asked.where((F.col("content") != F.col("lead")) & (agree >= LEAST_AGREE)).select(F.least("content", "lead").alias("a"), F.greatest("content", "lead").alias("b")).distinct()
 
 
 def spread_copies(facts: DataFrame, texts: DataFrame) -> DataFrame:
     """`content` of texts that stand, equal or nearly so, in more than one repository.
 
-    facts: file_id, content, repo_id, n_words, signature, bands.  texts: file_id, content, the text.  Equal texts are
+    facts: file_id, content, repo (a number for each repository), n_words, signature; repeated rows change nothing.  texts: file_id, content, the text.  Equal texts are
     grouped first, so that only distinct ones meet in the bands; short ones are compared by their hash alone, and
-    those of less than one shingle say nothing.  Each member of a bucket is first compared, by the shingles of the
-    texts, with one member of another repository; those that are no copy of it go on with the bucket's other members,
-    the likeliest first, until none are left.  Large buckets are compared in blocks, so no task holds a bucket.
+    those of less than one shingle say nothing.  Members of a bucket are compared by the shingles of their texts, the
+    likeliest partner first; those that found no copy go on with the next until none are left.  In buckets of more than
+    BLOCK texts all are first compared with one member of another repository, which settles families of copies; what is
+    left is compared in blocks, so no task holds a bucket.
     """
     groups = facts.groupBy("content").agg(
-        F.min("repo_id").alias("low"), F.max("repo_id").alias("high"), F.first("signature", ignorenulls=True).alias("signature"), F.first("bands", ignorenulls=True).alias("bands"),
-        F.max("n_words").alias("n_words"), F.min("file_id").alias("file_id")).checkpoint()
+        F.min("repo").alias("low"), F.max("repo").alias("high"), F.first("signature", ignorenulls=True).alias("signature"), F.max("n_words").alias("n_words"), F.min("file_id").alias("file_id")).checkpoint()
     equal = groups.where((F.col("low") != F.col("high")) & (F.col("n_words") >= SHINGLE)).select("content")
-    members = groups.where(F.col("bands").isNotNull()).select("content", "low", "high", F.posexplode("bands").alias("band", "value"))
+    size = PERMUTATIONS // BANDS
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(F.slice("signature", k * size + 1, size), k))
+    members = groups.where(F.col("signature").isNotNull()).select("content", "low", "high", F.posexplode(bands).alias("band", "value"))
     buckets = members.groupBy("band", "value").agg(F.min("low").alias("least"), F.max("high").alias("most"), F.count("*").alias("n")).where("n > 1 AND least <> most").select("band", "value", "n")
     met = members.join(buckets, ["band", "value"]).checkpoint()
 
@@ -276,12 +298,16 @@ def spread_copies(facts: DataFrame, texts: DataFrame) -> DataFrame:
 
     # Equal copies need no partner, but are partners of others.
     still = met.select("content").distinct().join(equal, "content", "left_anti").checkpoint()
-    close = alike(_leads(met, still).checkpoint())
-    found, still = equal.unionByName(close), still.join(close, "content", "left_anti").checkpoint()
-    low, high = 0, 1
     signed = met.join(groups.select("content", "signature"), "content")
+    large = signed.where(F.col("n") > BLOCK)
+    found = equal
+    if not large.isEmpty():
+        close = alike(_leads(large, still).checkpoint())
+        found, still = found.unionByName(close), still.join(close, "content", "left_anti").checkpoint()
+    low, high = 0, 1
     while not still.isEmpty():
-        pairs = _blocks(signed, still).groupBy("band", "value", "block", "turn").applyInPandas(_candidates(low, high), _PAIRS).distinct().checkpoint()
+        blocks = _blocks(signed, still).select(*_KEY, "content", "low", "high", "signature", "open").repartition(*_KEY).sortWithinPartitions(*_KEY)
+        pairs = blocks.mapInPandas(_candidates(low, high), _PAIRS).distinct().checkpoint()
         close = alike(pairs.select("a", "b").distinct())
         found = found.unionByName(close)
         still = pairs.where("more").select(F.col("asked").alias("content")).distinct().join(close, "content", "left_anti").checkpoint()
@@ -299,12 +325,14 @@ def not_hand_written(files: DataFrame, texts: DataFrame) -> DataFrame:
     paths = latest(files, "file_id", ["path"], "indexed_at").where(F.col("path").isNotNull()).select(F.col("file_id").cast("long").alias("file_id"), _plain_path(F.col("path")).alias("path"))
     code = paths.where(~F.col("path").rlike(_NEVER))
     extension = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
-    full = texts.where(F.col("file_id").isNotNull() & (F.length("content") > 0)).select(F.col("file_id").cast("long").alias("file_id"), "repo_id", "content")
+    repo = F.when(F.col("repo_id").isNotNull(), F.xxhash64("repo_id"))
+    full = texts.where(F.col("file_id").isNotNull() & (F.length("content") > 0)).select(F.col("file_id").cast("long").alias("file_id"), repo.alias("repo"), "content")
     # Texts are read once; only an input of fewer splits than cores is spread first, and candidates' texts are read again.
-    facts = spread(full).mapInPandas(_read, _FACTS).dropDuplicates(["file_id"]).checkpoint()
+    facts = spread(full).mapInPandas(_read, _FACTS).checkpoint()
     written = facts.join(code.select("file_id"), "file_id", "left_semi")
     shared = spread_copies(written, full).withColumn("spread", F.lit(True))
-    judged = code.join(facts.drop("signature", "bands", "repo_id", "n_words"), "file_id", "left").withColumn("reasons", layout_reasons(extension)).join(shared, "content", "left")
+    once = facts.drop("signature", "repo", "n_words").dropDuplicates(["file_id"])
+    judged = code.join(once, "file_id", "left").withColumn("reasons", layout_reasons(extension)).join(shared, "content", "left")
     named = F.when(F.col("path").rlike(GENERATED_NAME), F.array(F.lit("named"))).otherwise(F.array().cast("array<string>"))
     housed = F.when(F.col("path").rlike(VENDOR_PATH), F.array(F.lit("vendored"))).otherwise(F.array().cast("array<string>"))
     copied = F.when(F.col("spread"), F.array(F.lit("spread"))).otherwise(F.array().cast("array<string>"))

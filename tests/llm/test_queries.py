@@ -180,6 +180,20 @@ def test_near_copies_are_compared_by_their_shingles(spark):
     assert got == want - {n - 1, n - 2} and n - 6 in got
 
 
+def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
+    base = [f"w{i}" for i in range(300)]
+    rows = [(" ".join([*base[:k], f"v{k}", *base[k + 1 :]]), "p") for k in range(10, 40)] + [(" ".join([*base[:99], "z", *base[100:]]), "q")]
+    rows += [(" ".join(f"alone{i}" for i in range(300)), "p")]
+    files = spark.createDataFrame([(i, r, f"src/f{i}.c", T, 0, 0) for i, (_, r) in enumerate(rows)], FILES)
+    texts = spark.createDataFrame([(i, r, t, 0) for i, (t, r) in enumerate(rows)], TEXTS)
+    found = lambda: {r["file_id"] for r in S.not_hand_written(files, texts).collect() if "spread" in r["reasons"]}
+    whole = found()
+    monkeypatch.setattr(S, "BLOCK", 4)
+    assert found() == whole == set(range(31))
+    monkeypatch.setattr(S, "_leads", lambda met, still: met.sparkSession.createDataFrame([], "a long, b long"))
+    assert found() == whole
+
+
 def test_syntax(spark):
     rows = [(1, "a", "x.py", "x = (\n"), (2, "a", "y.py", "x = 1\n"), (3, "a", "z.md", "x = (\n"), (4, "b", "w.js", None), (5, "b", "v.js", ""), (6, "b", "u.go", ""), (7, None, "t.c", "int x = ;\n"), (8, "a", None, "x"), (9, "a", "s.JAVA", "class {\n")]
     files = spark.createDataFrame([(i, r, p, T, 0, 0) for i, r, p, _ in rows] + [(1, "a", "x.py", T, 0, 0)], FILES)
