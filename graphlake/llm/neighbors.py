@@ -28,7 +28,7 @@ ROUTER_SAMPLE, ROUTER_LEAST = 20_000, 16
 SHARD_ROWS, LEAF_ROWS, HOT = 12_288, 96, 2
 # Lower bounds from the triangle inequality are multiplied by this before they prune; 1 gives exact search.  Every level
 # of the trees loses a little, so the factor falls with their depth: see `relaxed`.
-FACTOR, FACTOR_LEVELS = 8.0, 6
+FACTOR, FACTOR_LEVELS = 8.0, 8
 # A radius shrunk to the k-th best is as near as the neighbours themselves, so it is relaxed by less.
 SLACK = 3.0
 K, MIN_COS = 5, 0.80

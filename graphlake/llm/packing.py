@@ -213,7 +213,9 @@ def pack_documents(sizes: DataFrame, capacity: int = CAPACITY, share: dict[str,
         least = close[level] if level < len(close) and parts > 1 else 0.0
         # Pieces are spread by a hash; a debt goes to the part that continues its part's open windows.
         part = F.when(F.col("doc_id").isNull(), F.pmod(F.col("part"), F.lit(parts))).otherwise(F.pmod(F.xxhash64("doc_id", "piece", F.lit(level)), F.lit(parts)))
-        packed = todo.withColumn("to_part", part).groupBy("to_part").applyInPandas(_pack_part(capacity, share, level, least), _PIECES).checkpoint()
+        # An explicit number, since the rows are few bytes but much work.
+        tasks = min(parts, max(4 * todo.sparkSession.sparkContext.defaultParallelism, int(todo.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+        packed = todo.withColumn("to_part", part).repartition(tasks, "to_part").groupBy("to_part").applyInPandas(_pack_part(capacity, share, level, least), _PIECES).checkpoint()
         rows = packed.where(F.col("doc_id").isNotNull())
         is_open = F.col("used") < F.lit(least * capacity)
         before, left = left, rows.where(is_open).count() if least else 0
