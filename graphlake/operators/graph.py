@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import defaultdict, deque
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -110,55 +112,68 @@ def shortest_paths(reached: DataFrame, targets: DataFrame) -> DataFrame:
     return hops if hops is not None else first.select("query_id", "hop", F.col("node").alias("from_node"), F.col("node").alias("to_node"), F.lit(0).cast("long").alias("ord")).limit(0)
 
 
-def louvain(n: int, edges: list[tuple[int, int, float]], levels: int = 10, passes: int = 20) -> np.ndarray:
-    """Communities of an undirected weighted graph over 0..n-1 by greedy modularity, in node order; numbered by first appearance."""
-    mapping = np.arange(n)
-    size, current = n, edges
-    for _ in range(levels):
-        near: list[dict[int, float]] = [{} for _ in range(size)]
-        degree = [0.0] * size
-        twice = 0.0
-        for a, b, w in current:
-            degree[a] += w
-            degree[b] += w
-            twice += 2 * w
-            if a != b:
-                near[a][b] = near[a].get(b, 0.0) + w
-                near[b][a] = near[b].get(a, 0.0) + w
-        if twice == 0:
+# Modularity that a move, and a level, must add to count.
+_LEAST_MOVE, _LEAST_LEVEL = 1e-10, 1e-6
+
+
+def _settled(start: np.ndarray, near: np.ndarray, weight: np.ndarray, degree: np.ndarray) -> np.ndarray:
+    """The community of each node once no single move raises the modularity: nodes wait in a queue, and a node that
+    moves calls back those of its neighbours that are not in its new community."""
+    whole = float(degree.sum())
+    home, volume = np.arange(len(degree)).tolist(), degree.tolist()
+    waiting, queue = bytearray(b"\1" * len(home)), deque(range(len(home)))
+    while queue:
+        v = queue.popleft()
+        waiting[v] = 0
+        span = slice(start[v], start[v + 1])
+        others, mass = near[span].tolist(), float(degree[v])
+        pull: defaultdict[int, float] = defaultdict(float, {home[v]: 0.0})
+        for u, w in zip(others, weight[span].tolist(), strict=True):
+            pull[home[u]] += w
+        volume[home[v]] -= mass
+        worth = {c: p - mass * volume[c] / whole for c, p in pull.items()}
+        target = max(worth, key=lambda c: (worth[c], -c))
+        if worth[target] - worth[home[v]] <= _LEAST_MOVE * whole:
+            target = home[v]
+        volume[target] += mass
+        if target != home[v]:
+            home[v] = target
+            for u in others:
+                if home[u] != target and not waiting[u]:
+                    waiting[u] = 1
+                    queue.append(u)
+    return np.array(home, np.int64)
+
+
+def louvain(n: int, edges: list[tuple[int, int, float]]) -> np.ndarray:
+    """Communities of an undirected weighted graph over 0..n-1, numbered by their smallest node.
+
+    Modularity is raised by moves of single nodes, then the communities become nodes, until a level adds less than
+    _LEAST_LEVEL.
+    """
+    a, b, w = (np.array([e[k] for e in edges], t) for k, t in ((0, np.int64), (1, np.int64), (2, float)))
+    member, size, reached = np.arange(n), n, -1.0
+    while len(w) and w.sum() > 0:
+        apart = a != b
+        src, dst = np.concatenate([a[apart], b[apart]]), np.concatenate([b[apart], a[apart]])
+        by = np.lexsort((dst, src))
+        both = np.concatenate([w[apart], w[apart]])[by]
+        degree = np.bincount(a, w, size) + np.bincount(b, w, size)
+        home = _settled(np.searchsorted(src[by], np.arange(size + 1)), dst[by], both, degree)
+        _, home = np.unique(home, return_inverse=True)
+        few = int(home.max()) + 1
+        pair, at = np.unique(np.minimum(home[a], home[b]) * few + np.maximum(home[a], home[b]), return_inverse=True)
+        a, b, w = pair // few, pair % few, np.bincount(at, w)
+        volume = np.bincount(home, degree)
+        now = float(w[a == b].sum() / w.sum() - (volume**2).sum() / volume.sum() ** 2)
+        if now - reached < _LEAST_LEVEL:
             break
-        label, total = list(range(size)), list(degree)
-        improved = False
-        for _ in range(passes):
-            moved = False
-            for i in range(size):
-                mine = label[i]
-                links: dict[int, float] = {}
-                for j, w in near[i].items():
-                    links[label[j]] = links.get(label[j], 0.0) + w
-                total[mine] -= degree[i]
-                best, gain = mine, links.get(mine, 0.0) - total[mine] * degree[i] / twice
-                for c in sorted(links):
-                    g = links[c] - total[c] * degree[i] / twice
-                    if g > gain + 1e-12:
-                        best, gain = c, g
-                total[best] += degree[i]
-                if best != mine:
-                    label[i] = best
-                    moved = improved = True
-            if not moved:
-                break
-        if not improved:
+        member, reached = home[member], now
+        if few == size:
             break
-        order: dict[int, int] = {}
-        label = [order.setdefault(c, len(order)) for c in label]
-        mapping = np.asarray(label)[mapping]
-        merged: dict[tuple[int, int], float] = {}
-        for a, b, w in current:
-            x, y = sorted((label[a], label[b]))
-            merged[x, y] = merged.get((x, y), 0.0) + w
-        size, current = len(order), [(a, b, w) for (a, b), w in sorted(merged.items())]
-    return mapping
+        size = few
+    _, first, member = np.unique(member, return_index=True, return_inverse=True)
+    return np.argsort(np.argsort(first))[member]
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -171,22 +186,26 @@ def _communities_of(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     linked = rows[rows["weight"] > 0].sort_values(["a", "b"])
     a, b = np.searchsorted(nodes, linked["a"]), np.searchsorted(nodes, linked["b"])
     label = louvain(len(nodes), list(zip(a.tolist(), b.tolist(), linked["weight"].tolist(), strict=True)))
-    return pd.DataFrame({"repo_id": key[0], "node": nodes, "community": nodes[[np.flatnonzero(label == c)[0] for c in range(label.max() + 1)]][label] if len(nodes) else nodes})
+    _, first = np.unique(label, return_index=True)
+    return pd.DataFrame({"repo_id": key[0], "node": nodes, "community": nodes[first[label]]})
 
 
 def communities(nodes: DataFrame, edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(repo_id, node, community): Louvain communities per repository, named by their smallest node.
 
-    A repository of up to local_edges edges is solved by one task, exactly in node order.  A larger one is first
-    shrunk: rounds in which every node joins the neighbour community with the greatest gain, half of the nodes
-    at a time, until its communities have few enough edges between them.  Isolated nodes are their own community.
+    A repository of up to local_edges edges is solved by one task.  A larger one is first shrunk: rounds in which
+    every node joins the neighbour community with the greatest gain, half of the nodes at a time, until its communities
+    have few enough edges between them, or two rounds move nothing any more; then it stays as it is, so no task ever holds
+    more.  Isolated nodes are their own community.
     """
     # Weight within a contracted node stays, as an edge to itself: gains depend on it.
     pairs = undirected(edges)
     label = nodes.select("repo_id", "node", F.col("node").alias("community"))
-    for attempt in range(8):
-        large = pairs.where(F.col("a") != F.col("b")).groupBy("repo_id").agg(F.count("*").alias("n")).where(F.col("n") > local_edges).select("repo_id")
-        if large.isEmpty():
+    attempt, sizes = 0, []
+    while True:
+        large = pairs.where(F.col("a") != F.col("b")).groupBy("repo_id").agg(F.count("*").alias("n")).where(F.col("n") > local_edges).checkpoint()
+        sizes.append(large.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+        if sizes[-1] == 0 or sizes[-3:] == [sizes[-1]] * 3:
             break
         moved = _shrink(pairs.join(large, "repo_id", "left_semi"), attempt)
         label = label.join(moved.withColumnRenamed("community", "to").withColumnRenamed("node", "community"), ["repo_id", "community"], "left").select(
@@ -194,7 +213,8 @@ def communities(nodes: DataFrame, edges: DataFrame, local_edges: int = LOCAL_EDG
         ends = lambda c, name: moved.select("repo_id", F.col("node").alias(c), F.col("community").alias(name))
         joined = pairs.join(ends("a", "x"), ["repo_id", "a"], "left").join(ends("b", "y"), ["repo_id", "b"], "left").select("repo_id", F.coalesce("x", "a").alias("src"), F.coalesce("y", "b").alias("dst"), "weight")
         pairs = undirected(joined).checkpoint()
-    solved = pairs.groupBy("repo_id").applyInPandas(_communities_of, "repo_id string, node long, community long")
+        attempt += 1
+    solved = pairs.join(large, "repo_id", "left_anti").groupBy("repo_id").applyInPandas(_communities_of, "repo_id string, node long, community long")
     last = label.join(solved.select("repo_id", F.col("node").alias("community"), F.col("community").alias("to")), ["repo_id", "community"], "left").select(
         "repo_id", "node", F.coalesce("to", "community").alias("community"))
     least = last.groupBy("repo_id", "community").agg(F.min("node").alias("least"))

@@ -47,10 +47,27 @@ _INDEXES: OrderedDict[tuple[str, str, str], object] = OrderedDict()
 INDEXES = 8
 
 
+def _state(spark: SparkSession, directory: str) -> int:
+    """A hash of the names, sizes and times of the files in and one level below a directory, on any file system."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(directory)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(path):
+        return 0
+    seen = []
+    for status in system.listStatus(path):
+        inner = system.listStatus(status.getPath()) if status.isDirectory() else [status]
+        seen += [(s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in inner]
+    return hash(tuple(sorted(seen)))
+
+
 def kept_index(spark: SparkSession, directory: str, name: str, build: Callable[[], Index]) -> Index:
-    """An index of a data directory: built by the first query of the application that needs it, then read by others."""
+    """An index of a data directory: built by the first query of the application that needs it, then read by others.
+
+    Files that were added, rewritten or removed since make another index: names, sizes and times are part of the key.
+    """
     shared_folder(spark)
-    key = (spark.sparkContext.applicationId, directory, name)
+    key = (spark.sparkContext.applicationId, directory, f"{name} {_state(spark, directory)}")
     if key not in _INDEXES:
         _INDEXES[key] = build()
     _INDEXES.move_to_end(key)
