@@ -59,6 +59,21 @@ def symbol_rank(symbols: DataFrame, edges: DataFrame, file_rank: DataFrame, file
     return placed.join(got, placed["symbol_id"] == got["dst"], "left").select("symbol_id", (F.coalesce("got", F.lit(0.0)) + F.col("rank") * 0.05).alias("rank"))
 
 
+def hot(ranks: DataFrame, part: int = 50) -> DataFrame:
+    """`ranks` (repo_id, symbol_id, rank) of the symbols whose rank is that of the one at a fiftieth of the descending order, or more; 0 is never hot.
+
+    Ranks are counted by value first, so no task sorts a repository's symbols.
+    """
+    from pyspark.sql import Window
+
+    values = ranks.groupBy("repo_id", "rank").agg(F.count("*").alias("c"))
+    order = Window.partitionBy("repo_id").orderBy(F.desc("rank"))
+    upto = values.withColumn("upto", F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    total = values.groupBy("repo_id").agg(F.sum("c").alias("n"))
+    cut = upto.join(total, "repo_id").where(F.col("upto") > F.floor(F.col("n") / part)).groupBy("repo_id").agg(F.max("rank").alias("cut"))
+    return ranks.join(cut, "repo_id").where((F.col("rank") >= F.col("cut")) & (F.col("rank") > 0)).select("repo_id", "symbol_id", "rank")
+
+
 def breadth_first(edges: DataFrame, sources: DataFrame, depth: int, fan_out: int | None = None, targets: DataFrame | None = None, stop_rows: int | None = None) -> DataFrame:
     """(query_id, node, depth, parent, ord): what can be reached from each query's sources, level by level.
 

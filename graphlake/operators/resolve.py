@@ -251,6 +251,18 @@ def overlapping(hunks: DataFrame, symbols: DataFrame) -> DataFrame:
     return asked.join(hits, ["file_id", "first", "last"], "left")
 
 
+def changed_targets(hunks: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(query_id, node): the symbols that changed lines stand for: those they touch, or, if none, all of the file.
+
+    hunks: query_id, file_id, first, last; the lines of a file that is changed as a whole are those from its first on.
+    """
+    touched = overlapping(hunks, symbols)
+    asked = hunks.select("query_id", "file_id", "first", "last").distinct().join(touched, ["file_id", "first", "last"])
+    own = asked.where("symbol_id IS NOT NULL").select("query_id", F.col("symbol_id").alias("node"))
+    whole = asked.where("symbol_id IS NULL").select("query_id", "file_id").distinct().join(symbols.select("file_id", F.col("symbol_id").alias("node")), "file_id").select("query_id", "node")
+    return own.unionByName(whole).distinct()
+
+
 def resolve_targets(queries: DataFrame, files: DataFrame, symbols: DataFrame, ranks: DataFrame) -> DataFrame:
     """(query, at, file_id, symbol_id): what names and paths mean; at 0 is the best, 1..5 are alternatives.
 

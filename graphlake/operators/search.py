@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphlake.functions import paths as P
@@ -156,6 +156,28 @@ def dense(vectors: DataFrame, queries: DataFrame, unit: str, k: int) -> DataFram
     return out
 
 
+# Letters of the pieces of names by which parts of names are looked up.
+_GRAM = 3
+
+
+def _grams(text: Column, n: int) -> Column:
+    """The distinct pieces of n letters of a text; none of a shorter one."""
+    return F.when(F.length(text) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+
+
+def _name_candidates(names: DataFrame, q: DataFrame) -> DataFrame:
+    """`names` with the queries that they may match: equal names, a common piece of letters, or two common words."""
+    keys = lambda *parts: F.explode(F.array_distinct(F.flatten(F.array(*parts))))
+    tagged = lambda tag, array: F.transform(array, lambda v: F.concat(F.lit(tag), v))
+    nothing = F.array().cast("array<string>")
+    qualified = F.when(F.col("qualified").isNotNull(), F.array("qualified")).otherwise(nothing)
+    named = names.withColumn("key", keys(F.array(F.concat(F.lit("="), "nl")), tagged(".", qualified), tagged("~", _grams(F.col("nl"), _GRAM)), tagged(" ", F.col("nt"))))
+    part = F.when(F.col("single") & (F.length("ql") >= _GRAM), F.array(F.substring("ql", 1, _GRAM))).otherwise(nothing)
+    words = F.when(F.size("qt") > 1, F.col("qt")).otherwise(nothing)
+    asked = q.withColumn("key", keys(F.array(F.concat(F.lit("="), "ql")), tagged(".", F.array("ql")), tagged("~", part), tagged(" ", words)))
+    return named.join(asked, "key").drop("key").distinct()
+
+
 def name_scores(symbols: DataFrame, queries: DataFrame, ranks: DataFrame, k: int = 60) -> DataFrame:
     """(query_id, symbol_id, score, at): symbols by name.
 
@@ -165,7 +187,7 @@ def name_scores(symbols: DataFrame, queries: DataFrame, ranks: DataFrame, k: int
     """
     q = queries.select("query_id", F.lower(F.trim("text")).alias("ql"), X.tokens(F.trim("text")).alias("qt"), (~F.trim("text").rlike(r"\s")).alias("single"))
     names = symbols.select("name", F.when(F.col("owner").isNotNull(), F.lower(F.concat_ws(".", "owner", "name"))).alias("qualified")).distinct()
-    met = names.crossJoin(F.broadcast(q)).withColumn("nl", F.lower("name")).withColumn("nt", X.tokens(F.col("name")))
+    met = _name_candidates(names.withColumn("nl", F.lower("name")).withColumn("nt", X.tokens(F.col("name"))), q)
     hits = F.size(F.filter("qt", lambda t: F.array_contains(F.col("nt"), t)))
     score = (
         F.when((F.col("nl") == F.col("ql")) | (F.col("ql").contains(".") & (F.col("qualified") == F.col("ql"))), 3.0)
@@ -247,7 +269,11 @@ def popup_match(symbols: DataFrame, queries: DataFrame, callers: DataFrame, rank
     """(query_id, symbol_id, score, at): symbols as one types: 100 the name, 60 its beginning, 30 less a tenth of the place in
     it; plus callers, at most 20, plus ten times the rank."""
     q = queries.select("query_id", F.lower(F.trim("text")).alias("ql")).where("ql <> ''")
-    met = symbols.select("symbol_id", F.lower("name").alias("nl")).crossJoin(F.broadcast(q)).withColumn("pos", F.instr("nl", F.col("ql")) - 1).where("pos >= 0")
+    # Names meet queries over the first letters of the query, as many as it has up to _GRAM.
+    names = symbols.where("name IS NOT NULL").select(F.lower("name").alias("nl")).distinct()
+    named = names.select("nl", F.explode(F.flatten(F.array(*[_grams(F.col("nl"), n) for n in range(1, _GRAM + 1)]))).alias("key"))
+    found = named.join(q.withColumn("key", F.substring("ql", 1, _GRAM)), "key").withColumn("pos", F.instr("nl", F.col("ql")) - 1).where("pos >= 0").drop("key")
+    met = symbols.select("symbol_id", F.lower("name").alias("nl")).join(found, "nl")
     base = F.when(F.col("nl") == F.col("ql"), 100.0).when(F.col("pos") == 0, 60.0).otherwise(30.0 - F.col("pos") * 0.1)
     full = met.join(callers, "symbol_id", "left").join(ranks, "symbol_id", "left")
     return top(full.select("query_id", "symbol_id", (base + F.least(F.lit(20), F.coalesce("callers", F.lit(0))) + 10 * F.coalesce("rank", F.lit(0.0))).alias("score")), "symbol_id", k)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphlake.functions import paths as P
@@ -112,6 +112,66 @@ def impact_sites(spark: SparkSession, directory: str) -> DataFrame:
     return reached.join(lines, ["node", "parent"]).select("query_id", "node", "depth", "parent", "line")
 
 
+def import_scenario(spark: SparkSession, directory: str) -> DataFrame:
+    """Files imported by specs that lead somewhere: every code file imports, as its language writes it, the next one by path."""
+    shared_folder(spark)
+    files = facts.files(spark, directory)
+    following = Window.partitionBy("repo_id", "lang").orderBy("path", "file_id")
+    pairs = files.where(F.col("lang").isin("TypeScript", "Tsx", "JavaScript", "Python", "C", "Java", "Go")).withColumn("goal", F.lead("path").over(following)).where("goal IS NOT NULL")
+    bare, ups = P.strip_ext(F.col("goal")), F.size(F.split("path", "/")) - 1
+    spec = (
+        F.when(F.col("lang") == "Go", F.concat(F.lit("forge.example/"), P.parent_dir(F.col("goal")))).when(F.col("lang") == "C", F.col("goal"))
+        .when(F.col("lang").isin("Python", "Java"), F.replace(bare, F.lit("/"), F.lit("."))).otherwise(F.concat(F.lit("./"), F.repeat(F.lit("../"), ups), bare)))
+    return R.resolve_imports(files, pairs.select("repo_id", "file_id", spec.alias("spec")))
+
+
+def _changes(spark: SparkSession, directory: str) -> DataFrame:
+    """Every fiftieth chunk taken as a change of its lines."""
+    chunks = facts.chunks(spark, directory).where("chunk_id % 50 = 0 AND end_line >= start_line")
+    return chunks.select(F.col("chunk_id").alias("query_id"), "file_id", F.col("start_line").alias("first"), F.col("end_line").alias("last"))
+
+
+def impact_changed(spark: SparkSession, directory: str) -> DataFrame:
+    """What reaches the symbols of each change through calls in at most three steps."""
+    linked = index(spark, directory)
+    sources = R.changed_targets(_changes(spark, directory), linked.symbols)
+    return G.breadth_first(G.reverse(linked.edges), sources, 3).where("depth > 0").select("query_id", "node", "depth")
+
+
+def impact_files(spark: SparkSession, directory: str) -> DataFrame:
+    """The files that depend, in at most three steps, on every fiftieth file."""
+    linked = index(spark, directory)
+    start = linked.files.where("lang IS NOT NULL AND file_id % 50 = 0").select(F.col("file_id").alias("query_id"), F.col("file_id").alias("node"))
+    back = G.reverse(linked.file_edges).withColumn("ord", F.col("dst"))
+    return G.breadth_first(back, start, 3).where("depth > 0").select("query_id", "node", "depth")
+
+
+def _symbol_ranks(linked: Linked) -> DataFrame:
+    return linked.symbol_rank().select("symbol_id", F.round("rank", 6).alias("rank")).join(linked.symbols.select("symbol_id", "repo_id"), "symbol_id")
+
+
+def hot_symbols(spark: SparkSession, directory: str) -> DataFrame:
+    """The fiftieth part of each repository's symbols that ranks highest."""
+    return G.hot(_symbol_ranks(index(spark, directory)))
+
+
+def change_risk(spark: SparkSession, directory: str) -> DataFrame:
+    """The risk of each change: direct callers, everything within three steps, directories, files importing it, and whether it is hot."""
+    linked = index(spark, directory)
+    changes = _changes(spark, directory)
+    sources = R.changed_targets(changes, linked.symbols).checkpoint()
+    reached = G.breadth_first(G.reverse(linked.edges), sources, 3)
+    dirs = linked.files.select("file_id", P.parent_dir(F.col("path")).alias("dir"))
+    placed = reached.join(linked.symbols.select(F.col("symbol_id").alias("node"), "file_id"), "node").join(dirs, "file_id")
+    sums = placed.groupBy("query_id").agg(F.count_if(F.col("depth") == 1).alias("direct"), F.count_if(F.col("depth") > 0).alias("total"), F.countDistinct("dir").alias("modules"))
+    importers = linked.file_edges.where("imports > 0").groupBy(F.col("dst").alias("file_id")).agg(F.countDistinct("src").alias("importers"))
+    hot = sources.join(G.hot(_symbol_ranks(linked)).select(F.col("symbol_id").alias("node")), "node", "left_semi").select("query_id", F.lit(True).alias("hot")).distinct()
+    full = changes.select("query_id", "file_id").join(sums, "query_id").join(importers, "file_id", "left").join(hot, "query_id", "left").fillna({"importers": 0, "hot": False})
+    high = (F.col("direct") >= 20) | (F.col("total") >= 60) | (F.col("modules") >= 6) | (F.col("hot") & (F.col("direct") >= 5))
+    medium = (F.col("direct") >= 5) | (F.col("total") >= 15) | (F.col("modules") >= 3) | (F.col("importers") >= 10)
+    return full.select("query_id", "direct", "total", "modules", "importers", "hot", F.when(high, "high").when(medium, "medium").otherwise("low").alias("risk"))
+
+
 def shortest_path(spark: SparkSession, directory: str) -> DataFrame:
     """From each repository's symbol with most callees to its most called one: the length of the shortest call path."""
     reached, goals = _routes(spark, directory)
@@ -260,7 +320,7 @@ def target_resolve(spark: SparkSession, directory: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    import_edges, call_edges, edge_aggregate, undirected_edges, caller_counts, pagerank, pagerank_converged, symbol_rank, khop_impact, impact_sites, shortest_path, shortest_path_hops,
+    import_edges, import_scenario, impact_changed, impact_files, hot_symbols, change_risk, call_edges, edge_aggregate, undirected_edges, caller_counts, pagerank, pagerank_converged, symbol_rank, khop_impact, impact_sites, shortest_path, shortest_path_hops,
     file_path, call_tree, tests_reaching, direct_tests, untested_files, risk_level, communities, modularity, dir_vote, dir_coverage, module_dependencies, cohesion_share,
     innermost_interval, interval_overlap, target_resolve)}
 
@@ -330,11 +390,29 @@ FROM sedges e JOIN symbols1 a ON a.symbol_id = e.src JOIN symbols1 b ON b.symbol
     return ", ".join(parts)
 
 
+_SCENARIO = f"""imports1 AS (SELECT repo_id, file_id, CASE WHEN lang = 'Go' THEN 'forge.example/' || {S.parent('goal')} WHEN lang = 'C' THEN goal WHEN lang IN ('Python', 'Java') THEN replace({S.strip('goal')}, '/', '.')
+  ELSE './' || repeat('../', len(string_split(path, '/')) - 1) || {S.strip('goal')} END AS spec FROM (SELECT *, lead(path) OVER (PARTITION BY repo_id, lang ORDER BY path, file_id) AS goal FROM files2
+  WHERE lang IN ('TypeScript', 'Tsx', 'JavaScript', 'Python', 'C', 'Java', 'Go')) WHERE goal IS NOT NULL)"""
+_CHANGED = f"""{S.CHUNKS}, hunks AS (SELECT chunk_id AS query_id, file_id, start_line AS first, end_line AS last FROM chunks1 WHERE chunk_id % 50 = 0 AND end_line >= start_line),
+touched AS (SELECT h.query_id, h.file_id, s.symbol_id FROM hunks h LEFT JOIN symbols1 s ON s.file_id = h.file_id AND h.first <= s.end_line AND h.last >= s.start_line AND s.end_line >= s.start_line AND s.kind NOT IN ('class', 'struct', 'interface', 'trait', 'enum', 'module')),
+sources AS (SELECT query_id, symbol_id AS node FROM touched WHERE symbol_id IS NOT NULL UNION SELECT t.query_id, s.symbol_id FROM touched t JOIN symbols1 s ON s.file_id = t.file_id WHERE t.symbol_id IS NULL),
+walk AS (SELECT query_id, node, 0 AS depth FROM sources UNION SELECT w.query_id, e.src, w.depth + 1 FROM walk w JOIN sedges e ON e.dst = w.node WHERE w.depth < 3),
+hit AS (SELECT query_id, node, min(depth) AS depth FROM walk GROUP BY ALL)"""
+_HOT = """hots AS (SELECT repo_id, symbol_id, rank FROM (SELECT *, list_sort(list(rank) OVER (PARTITION BY repo_id), 'DESC')[(count(*) OVER (PARTITION BY repo_id)) // 50 + 1] AS cut FROM (SELECT s.repo_id, r.symbol_id, round(r.rank, 6) AS rank FROM sranks r JOIN symbols1 s USING (symbol_id))) WHERE rank >= cut AND rank > 0)"""
 _L = f"WITH {LINKED}"
 _LR = f"WITH RECURSIVE {LINKED}"
 _TOP = "tops AS (SELECT file_id, string_split(path, '/')[1] AS m FROM files2), cross_w AS (SELECT e.repo_id, a.m AS x, b.m AS y, sum(weight) AS w FROM fedges e JOIN tops a ON a.file_id = e.src JOIN tops b ON b.file_id = e.dst GROUP BY ALL)"
 ORACLES = {
     "import_edges": f"{_L} SELECT repo_id, src, dst FROM imp",
+    "import_scenario": f"WITH {S.FILES}, {_SCENARIO}, {_IMPORTS} SELECT repo_id, src, dst FROM imp",
+    "impact_changed": f"{_LR}, {_CHANGED} SELECT query_id, CAST(node AS BIGINT) AS node, depth FROM hit WHERE depth > 0",
+    "impact_files": f"""{_LR}, walk AS (SELECT file_id AS query_id, file_id AS node, 0 AS depth FROM files2 WHERE lang IS NOT NULL AND file_id % 50 = 0 UNION SELECT w.query_id, e.src, w.depth + 1 FROM walk w JOIN fedges e ON e.dst = w.node WHERE w.depth < 3)
+SELECT query_id, CAST(node AS BIGINT) AS node, min(depth) AS depth FROM walk GROUP BY query_id, node HAVING min(depth) > 0""",
+    "hot_symbols": f"{_L}, {ranks()}, {_HOT} SELECT repo_id, symbol_id, rank FROM hots",
+    "change_risk": f"""{_LR}, {ranks()}, {_HOT}, {_CHANGED}, sums AS (SELECT query_id, count(*) FILTER (depth = 1) AS direct, count(*) FILTER (depth > 0) AS total, count(DISTINCT {S.parent('path')}) AS modules FROM hit r JOIN symbols1 s ON s.symbol_id = r.node JOIN files2 f USING (file_id) GROUP BY query_id),
+users AS (SELECT dst AS file_id, count(DISTINCT src) AS importers FROM fedges WHERE imports > 0 GROUP BY dst), full_ AS (SELECT s.*, coalesce(u.importers, 0) AS importers, EXISTS (SELECT 1 FROM sources x JOIN hots h ON h.symbol_id = x.node WHERE x.query_id = s.query_id) AS hot
+  FROM sums s JOIN hunks k USING (query_id) LEFT JOIN users u ON u.file_id = k.file_id)
+SELECT query_id, direct, total, modules, importers, hot, CASE WHEN direct >= 20 OR total >= 60 OR modules >= 6 OR (hot AND direct >= 5) THEN 'high' WHEN direct >= 5 OR total >= 15 OR modules >= 3 OR importers >= 10 THEN 'medium' ELSE 'low' END AS risk FROM full_""",
     "call_edges": f"{_L} SELECT repo_id, src, dst, kind, line FROM sedges",
     "edge_aggregate": f"{_L} SELECT repo_id, src, dst, imports, calls, weight, round(weight / sum(weight) OVER (PARTITION BY src), 6) AS share FROM fedges",
     "undirected_edges": f"{_L} SELECT repo_id, least(src, dst) AS a, greatest(src, dst) AS b, sum(weight) AS weight FROM fedges GROUP BY ALL",

@@ -297,10 +297,13 @@ def weighted_quality(spark: SparkSession, directory: str) -> DataFrame:
 
 def _gold(spark: SparkSession, directory: str) -> DataFrame:
     """Documents that hold the first ten words of an evaluation text, as words."""
-    joined = F.concat(F.lit(" "), F.array_join(X.tokens(F.col("text")), " "), F.lit(" "))
-    items = one_each(table(spark, directory, "eval_items"), "item_id").select(F.col("item_id").alias("query_id"), F.concat(F.lit(" "), F.array_join(F.slice(X.tokens(F.col("text")), 1, 10), " "), F.lit(" ")).alias("lead"))
-    documents = _documents(spark, directory).select(F.col("doc_id").alias("item"), joined.alias("words"))
-    return documents.crossJoin(F.broadcast(items)).where(F.col("words").contains(F.col("lead"))).select("query_id", "item")
+    items = one_each(table(spark, directory, "eval_items"), "item_id").select(F.col("item_id").alias("query_id"), F.slice(X.tokens(F.col("text")), 1, 10).alias("lead")).where(F.size("lead") > 0)
+    # Leads of each length that there is meet the documents' runs of that length.
+    lengths = items.select(F.size("lead").alias("n")).distinct()
+    words = _documents(spark, directory).select(F.col("doc_id").alias("item"), X.tokens(F.col("text")).alias("ws")).join(F.broadcast(lengths), F.size("ws") >= F.col("n"))
+    starts = F.sequence(F.lit(1), F.size("ws") - F.col("n") + 1)
+    runs = words.select("item", F.explode(F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice("ws", i, F.col("n")), " ")))).alias("run"))
+    return runs.join(items.select("query_id", F.array_join("lead", " ").alias("run")), "run").select("query_id", "item").distinct()
 
 
 def ndcg10(spark: SparkSession, directory: str) -> DataFrame:
