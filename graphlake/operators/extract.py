@@ -33,6 +33,9 @@ _JS = [
     (r"^\s*(?:export\s+)?(?:const\s+)?enum\s+" + _NAME, "enum"), (r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*" + _NAME, "function"),
     (r"^\s*(?:export\s+)?(?:const|let|var)\s+" + _NAME + r"\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^()]*\)|[\w$]+)\s*(?::\s*[^=]+)?=>", "function"),
     (r"^\s+(?:(?:public|private|protected|static|async|get|set|readonly|override)\s+)*\*?(?!if\b|for\b|while\b|switch\b|catch\b|return\b|function\b)" + _NAME + r"\s*(?:<[^>]*>)?\([^;]*\)\s*(?::\s*[^;{]+)?\{", "method")]
+_CS = r"^\s*(?:\[[^\]]*\]\s*)*(?:(?:public|private|protected|internal|static|sealed|abstract|partial|virtual|override|async|extern|unsafe|readonly|new|file)\s+)*"
+_KT = r"^\s*(?:@\w+(?:\([^)]*\))?\s+)*(?:(?:public|private|protected|internal|open|abstract|sealed|final|data|enum|annotation|inner|value|inline|override|suspend|operator|infix|tailrec|external|companion|expect|actual|const|lateinit)\s+)*"
+_SW = r"^\s*(?:@\w+(?:\([^)]*\))?\s+)*(?:(?:public|private|fileprivate|internal|open|final|static|class|override|mutating|nonmutating|required|convenience|indirect|async|isolated|nonisolated|prefix|postfix)\s+)*"
 _DEFINITIONS = {
     "JavaScript": _JS, "TypeScript": _JS, "Tsx": _JS,
     "Python": [(r"^\s*class\s+" + _NAME, "class"), (r"^\s*(?:async\s+)?def\s+" + _NAME, "function")],
@@ -44,16 +47,36 @@ _DEFINITIONS = {
         (r"^\s*(?:(?:public|private|protected|static|final|abstract|sealed)\s+)*(?:class|record)\s+" + _NAME, "class"), (r"^\s*(?:(?:public|private|protected|static)\s+)*@?interface\s+" + _NAME, "interface"),
         (r"^\s*(?:(?:public|private|protected|static)\s+)*enum\s+" + _NAME, "enum"),
         (r"^\s+(?:(?:public|private|protected|static|final|abstract|synchronized|native|default)\s+)*(?!return\b|new\b|else\b|throw\b)[\w<>\[\], ?.]+\s+(?!if\b|for\b|while\b|switch\b|catch\b)" + _NAME + r"\s*\([^;]*\)\s*(?:throws [\w., ]+)?\{", "method")],
-    "C": [(r"^(?:typedef\s+)?struct\s+" + _NAME + r"\s*\{", "struct"), (r"^(?:typedef\s+)?enum\s+" + _NAME + r"\s*\{", "enum"), (r"^(?!return\b|else\b|typedef\b|#)[A-Za-z_][\w\s*]*?[\s*]" + _NAME + r"\s*\([^;]*\)\s*(?:\{|$)", "function")]}
+    "C": [(r"^(?:typedef\s+)?struct\s+" + _NAME + r"\s*\{", "struct"), (r"^(?:typedef\s+)?enum\s+" + _NAME + r"\s*\{", "enum"), (r"^(?!return\b|else\b|typedef\b|#)[A-Za-z_][\w\s*]*?[\s*]" + _NAME + r"\s*\([^;]*\)\s*(?:\{|$)", "function")],
+    "CSharp": [
+        (_CS + r"namespace\s+([\w.]+)\s*(?:\{|$)", "module"), (_CS + r"(?:class|record(?:\s+class)?)\s+" + _NAME, "class"), (_CS + r"(?:record\s+)?struct\s+" + _NAME, "struct"), (_CS + r"interface\s+" + _NAME, "interface"), (_CS + r"enum\s+" + _NAME, "enum"),
+        (r"^\s+" + _CS[1:] + r"(?!return\b|new\b|else\b|throw\b|await\b|using\b|yield\b)(?:[\w<>\[\],?.]+\s+)?(?!if\b|for\b|foreach\b|while\b|switch\b|catch\b|lock\b|using\b)" + _NAME + r"\s*(?:<[^>()]*>)?\([^;]*\)\s*(?:where [^{]+|:\s*(?:base|this)\b[^{]*)?(?:\{.*|=>.*)?$", "method")],
+    "Ruby": [(r"^\s*class\s+(?:\w+::)*" + _NAME, "class"), (r"^\s*module\s+(?:\w+::)*" + _NAME, "module"), (r"^\s*def\s+(?:self\.)?([A-Za-z_]\w*[?!=]?)", "method")],
+    "Php": [
+        (r"^\s*(?:(?:abstract|final|readonly)\s+)*class\s+" + _NAME, "class"), (r"^\s*interface\s+" + _NAME, "interface"), (r"^\s*trait\s+" + _NAME, "trait"), (r"^\s*enum\s+" + _NAME, "enum"),
+        (r"^\s*(?:(?:abstract|final|public|private|protected|static)\s+)+function\s+&?\s*" + _NAME, "method"), (r"^\s*function\s+&?\s*" + _NAME, "function")],
+    "Kotlin": [
+        (_KT + r"(?:class|object)\s+" + _NAME, "class"), (_KT + r"(?:fun\s+)?interface\s+" + _NAME, "interface"), (_KT + r"fun\s+(?:<[^>]*>\s*)?(?:(?P<owner>\w+)(?:<[^>]*>)?\??\.)?`?" + _NAME, "function")],
+    "Swift": [
+        (_SW + r"(?:class(?!\s+func)|actor)\s+" + _NAME, "class"), (_SW + r"struct\s+" + _NAME, "struct"), (_SW + r"protocol\s+" + _NAME, "interface"), (_SW + r"enum\s+" + _NAME, "enum"),
+        (_SW + r"func\s+" + _NAME, "function"), (_SW + r"(init)[?!]?\s*(?:<[^>]*>)?\(", "method")]}
 _COMPILED = {k: [(re.compile(p), kind) for p, kind in v] for k, v in _DEFINITIONS.items()}
 _CALL = re.compile(r"(?:([\w$]+)?\s*(\.|->|::)\s*)?([A-Za-z_$][\w$]*)!?\s*\(")
 _NO_CALL = frozenset("if for while switch catch return function def class match when elif with and or not in is lambda sizeof fn func typeof new await throw super constructor".split())
 _IMPORTS = {
     "JavaScript": re.compile(r"""(?:^|\n)\s*(?:import|export)\b[^;\n]*?["']([^"'\n]+)["']|\brequire\(\s*["']([^"'\n]+)["']"""), "Go": re.compile(r'^\s*(?:import\s+)?(?:[\w.]+\s+)?"([^"\n]+)"\s*$', re.M),
     "Rust": re.compile(r"^\s*(?:pub\s+)?use\s+([^;]+);", re.M), "Java": re.compile(r"^\s*import\s+(?:static\s+)?([\w.*]+)\s*;", re.M), "C": re.compile(r'^\s*#\s*include\s*[<"]([^>"\n]+)[>"]', re.M)}
+_IMPORTS |= {
+    "CSharp": re.compile(r"^\s*(?:global\s+)?using\s+(?:static\s+)?(?:\w+\s*=\s*)?([\w.]+)\s*;", re.M), "Ruby": re.compile(r"""^\s*require(?:_relative)?\s*\(?\s*["']([^"'\n]+)["']""", re.M),
+    "Php": re.compile(r"""^\s*use\s+(?:function\s+|const\s+)?([\w\\]+)|\b(?:require|include)(?:_once)?\s*\(?\s*(?:__DIR__\s*\.\s*)?["']([^"'\n]+)["']""", re.M),
+    "Kotlin": re.compile(r"^\s*import\s+([\w.*]+)", re.M), "Swift": re.compile(r"^\s*(?:@\w+\s+)?import\s+(?:(?:class|struct|enum|protocol|func|var|let|typealias)\s+)?([\w.]+)", re.M)}
 _IMPORTS["TypeScript"] = _IMPORTS["Tsx"] = _IMPORTS["JavaScript"]
 _HERITAGE = {
     "JavaScript": re.compile(r"\bclass\s+\w+\s+extends\s+([\w.$]+)"), "Java": re.compile(r"\b(?:extends|implements)\s+([\w., <>]+)"), "Rust": re.compile(r"\bimpl(?:<[^>]*>)?\s+([\w:]+)(?:<[^>]*>)?\s+for\b")}
+_HERITAGE |= {
+    "CSharp": re.compile(r"\b(?:class|struct|interface|record)\s+\w+(?:<[^>]*>)?(?:\([^)]*\))?\s*:\s*([\w., <>]+)"), "Ruby": re.compile(r"\bclass\s+[\w:]+\s*<\s*([\w:]+)"),
+    "Php": re.compile(r"\b(?:extends|implements)\s+([\w\\, ]+)"), "Kotlin": re.compile(r"\b(?:class|object|interface)\s+\w+(?:<[^>]*>)?(?:\s*\([^)]*\))?\s*:\s*([\w., <>]+)"),
+    "Swift": re.compile(r"\b(?:class|struct|enum|protocol|actor|extension)\s+[\w.]+(?:<[^>]*>)?\s*:\s*([\w., <>&]+)")}
 _HERITAGE["TypeScript"] = _HERITAGE["Tsx"] = re.compile(r"\b(?:extends|implements)\s+([\w.,$ ]+)")
 
 
@@ -165,6 +188,24 @@ def _end(masked: list[str], first: int, lang: str) -> int:
                     break
                 last = k
         return last
+    if lang == "Ruby":
+        indent = len(masked[first]) - len(masked[first].lstrip())
+        if re.search(r"\bend\s*$", masked[first]):
+            return first
+        return next((k for k in range(first + 1, len(masked)) if re.match(r"\s{%d}end\b" % indent, masked[k])), len(masked) - 1)
+    if lang in ("Kotlin", "Swift") and "{" not in masked[first]:
+        # No body, or an expression: it ends where the parentheses of its head do, unless the next line opens a body.
+        depth = 0
+        for k in range(first, len(masked)):
+            depth += masked[k].count("(") - masked[k].count(")")
+            if depth <= 0 and "{" not in masked[k]:
+                return k if not masked[k + 1 : k + 2] or not masked[k + 1].lstrip().startswith("{") else _braces(masked, k + 1)
+            if "{" in masked[k]:
+                return _braces(masked, k)
+    return _braces(masked, first)
+
+
+def _braces(masked: list[str], first: int) -> int:
     depth, opened = 0, False
     for k in range(first, len(masked)):
         for c in masked[k]:
@@ -189,7 +230,7 @@ def extract(text: str, lang: str) -> dict:
         except (SyntaxError, ValueError, RecursionError):
             imports = [m for m in re.findall(r"^\s*(?:from\s+([.\w]+)\s+import|import\s+([.\w]+))", text, re.M) for m in m if m]
     if found is None:
-        style = "hash" if lang == "Python" else "rust" if lang == "Rust" else "slash"
+        style = "hash" if lang in ("Python", "Ruby") else "rust" if lang == "Rust" else "slash"
         masked_text = _MASK[style].sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text)
         masked = masked_text.split("\n")
         found = []
@@ -200,6 +241,8 @@ def extract(text: str, lang: str) -> dict:
                     name = m.group(m.lastindex)
                     found.append({"name": name, "kind": kind, "start_line": k + 1, "end_line": _end(masked, k, lang) + 1, "signature": lines[k].strip()[:SIGNATURE], "owner": m.groupdict().get("owner")})
                     break
+            if lang == "Swift" and (m := re.match(r"^\s*(?:\w+\s+)*extension\s+(?:\w+\.)*([A-Za-z_]\w*)", line)):
+                scopes.append((k + 1, _end(masked, k, lang) + 1, m.group(1)))
             if lang == "Rust" and (m := re.match(r"^\s*impl(?:<[^>]*>)?\s+(?:[\w:<>, ]+\s+for\s+)?([A-Za-z_]\w*)", line)):
                 scopes.append((k + 1, _end(masked, k, lang) + 1, m.group(1)))
         heads = {(d["start_line"], d["name"]) for d in found}
@@ -212,8 +255,8 @@ def extract(text: str, lang: str) -> dict:
                 calls.append((m.group(3), line, False, qualifier(m.group(1) or "") if m.group(2) else None, bool(m.group(2))))
         if lang in _HERITAGE:
             for m in _HERITAGE[lang].finditer(masked_text):
-                for base in re.split(r"\s*,\s*", re.sub(r"<[^>]*>", "", m.group(1)).strip()):
-                    name = re.split(r"\.|::", base.strip())[-1]
+                for base in re.split(r"\s*[,&]\s*|\s+(?:extends|implements)\s+", re.sub(r"<[^>]*>", "", m.group(1)).strip()):
+                    name = re.split(r"\.|::|\\", base.strip())[-1]
                     if name.isidentifier() and name not in ("implements", "extends"):
                         calls.append((name, bisect.bisect_right(starts, m.start()), True, None, False))
         if lang in _IMPORTS:

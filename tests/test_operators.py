@@ -79,6 +79,24 @@ def test_python_and_brace_extraction():
     assert E.extract("", "Go") == {"symbols": [], "calls": [], "imports": [], "chunks": []}
 
 
+def test_extraction_of_further_languages():
+    def facts(text, lang):
+        got = E.extract(text, lang)
+        return {(s["name"], s["kind"], s["owner"], s["start_line"], s["end_line"]) for s in got["symbols"]}, {(c["name"], c["heritage"]) for c in got["calls"]}, got["imports"]
+
+    symbols, calls, imports = facts("using System.Text;\nnamespace Shop\n{\n    public class Cart : Base, IThing\n    {\n        public async Task<int> Add(Item x)\n        {\n            return Total(x);\n        }\n        int Twice(int n) => n * 2;\n    }\n}\n", "CSharp")
+    assert {(n, a, b) for n, _, _, a, b in symbols} == {("Shop", 2, 12), ("Cart", 4, 11), ("Add", 6, 9), ("Twice", 10, 10)} and {("Base", True), ("IThing", True), ("Total", False)} <= calls and imports == ["System.Text"]
+    symbols, calls, imports = facts("require_relative 'lib/a'\nmodule M\n  class A < B\n    def run!(x)\n      go(x) # end\n    end\n    def self.one; 1; end\n  end\nend\n", "Ruby")
+    assert {(n, o, a, b) for n, _, o, a, b in symbols} == {("M", None, 2, 9), ("A", "M", 3, 8), ("run!", "A", 4, 6), ("one", "A", 7, 7)} and {("B", True), ("go", False)} <= calls and imports == ["lib/a"]
+    symbols, calls, imports = facts("<?php\nuse App\\Models\\User;\nfinal class A extends B implements C\n{\n    public function run(int $x): int\n    {\n        return $this->go($x);\n    }\n}\nfunction f() { return 1; }\n", "Php")
+    assert {(n, k, a, b) for n, k, _, a, b in symbols} == {("A", "class", 3, 9), ("run", "method", 5, 8), ("f", "function", 10, 10)} and {("B", True), ("C", True), ("go", False)} <= calls and imports == ["App\\Models\\User"]
+    symbols, calls, imports = facts("import a.b.C\n\nsealed class A(val x: Int) : B(), D {\n    override fun run(\n        y: Int,\n    ): Int {\n        return go(y)\n    }\n    fun twice(n: Int) = n * 2\n}\nfun A.more() = run(1)\n", "Kotlin")
+    assert {(n, a, b) for n, _, _, a, b in symbols} == {("A", 3, 10), ("run", 4, 8), ("twice", 9, 9), ("more", 11, 11)} and ("go", False) in calls and ("B", True) in calls and imports == ["a.b.C"]
+    assert ("more", "A") in {(n, o) for n, _, o, _, _ in symbols}
+    symbols, calls, imports = facts("import UIKit\npublic final class A: B, C {\n    init(x: Int) {\n        go(x)\n    }\n    static func make() -> A {\n        return A(x: 1)\n    }\n}\nprotocol P {\n    func must()\n}\nextension A {\n    func more() {\n    }\n}\n", "Swift")
+    assert {(n, o, a, b) for n, _, o, a, b in symbols} == {("A", None, 2, 9), ("init", "A", 3, 5), ("make", "A", 6, 8), ("P", None, 10, 12), ("must", "P", 11, 11), ("more", "A", 14, 15)} and {("B", True), ("C", True), ("go", False)} <= calls and imports == ["UIKit"]
+
+
 def test_chunks_cover_every_line_with_text():
     text = "x = 1\n" * 70 + "def f():\n" + "    y = 2\n" * 200 + "z = 3\n"
     facts = E.extract(text, "Python")
