@@ -131,7 +131,8 @@ def _template(depth: int) -> str:
 
 _REGEX = r"/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-zA-Z]*"
 _JS_LEX = (
-    rf"\s+|{_SLASH}|{_CONFLICT}|(?:=>|&&|\|\||\?\?|[=!]==?|[(,=:\[!&|?{{;+~^]|\breturn|\btypeof|\bcase)[ \t]*\n?[ \t]*{_REGEX}|{_DQ}|{_SQ}|{_template(3)}|[#]?(?:[^\W\d]|\$)[\w$]*|{_NUMBER}"
+    # Names first, the most frequent tokens, but for the words that a regular expression can follow.
+    rf"\s+|(?!(?:return|typeof|case)\b)[#]?(?:[^\W\d]|\$)[\w$]*|{_SLASH}|{_CONFLICT}|(?:=>|&&|\|\||\?\?|[=!]==?|[(,=:\[!&|?{{;+~^]|\breturn|\btypeof|\bcase)[ \t]*\n?[ \t]*{_REGEX}|{_DQ}|{_SQ}|{_template(3)}|[#]?(?:[^\W\d]|\$)[\w$]*|{_NUMBER}"
     r"|>>>=|>>=|<<=|\*\*=|&&=|\|\|=|\?\?=|===|!==|\.\.\.|\*\*|==|!=|<=|>=|=>|\+\+|--|&&|\|\||\?\?|\?\.(?!\d)|<<|[+\-*/%&|^]=|[\s\S]")
 _JS_WORDS = "break case catch class const continue debugger default delete do else export extends finally for function if import in instanceof new return super switch this throw try typeof var void while with null true false enum"
 _JS_SOFT = "async await of get set static from as let yield type interface declare namespace module abstract readonly public private protected implements keyof is infer satisfies override accessor asserts unique target"
@@ -214,7 +215,7 @@ Modifier <- ("static" / "public" / "private" / "protected" / "readonly" / "abstr
 PropName <- ID / Word / STR / NUM / "[" Expr "]"
 Word <- "break" / "case" / "catch" / "class" / "const" / "continue" / "default" / "delete" / "do" / "else" / "export" / "extends" / "finally" / "for" / "function" / "if" / "import" / "in" / "instanceof" / "new" / "return" / "super" / "switch" / "this" / "throw" / "try" / "typeof" / "var" / "void" / "while" / "with" / "null" / "true" / "false" / "enum" / "debugger"
 Exprs <- Expr ("," Expr)*
-Expr <- Simple &(")" / "," / ";" / NL / "]" / "}") / Arrow / "yield" "*"? Expr / !Fixed Left AssignOp Expr / Cond / "yield"
+Expr <- Simple &(")" / "," / ";" / NL / "]" / "}") / Arrow / "yield" "*"? Expr / Cond !AssignOp / !Fixed Left AssignOp Expr / "yield"
 Fixed <- (NUM / STR / "null" / "true" / "false" / "this") AssignOp
 AssignOp <- "=" / ">>>=" / ">>=" / "<<=" / "**=" / "&&=" / "||=" / "??=" / "+=" / "-=" / "*=" / "/=" / "%=" / "&=" / "|=" / "^=" / ">" ">" "="
 Simple <- (ID / "this" / NUM / STR / "null" / "true" / "false") ("." (ID / Word))*
@@ -290,7 +291,7 @@ def _js(name: str, only: str) -> Language:
 
 # Go -----------------------------------------------------------------------------------------------------------
 
-_GO_LEX = rf"[ \t\r]+|\n|{_SLASH}|{_CONFLICT}|{_DQ}|`[^`]*`|{_SQ}|{_NAME}|{_NUMBER}|\.\.\.|<<=|>>=|&\^=|&\^|<-|:=|<<|>>|\+\+|--|&&|\|\||[=!<>+\-*/%&|^]=|[\s\S]"
+_GO_LEX = rf"[ \t\r]+|\n|{_NAME}|{_SLASH}|{_CONFLICT}|{_DQ}|`[^`]*`|{_SQ}|{_NAME}|{_NUMBER}|\.\.\.|<<=|>>=|&\^=|&\^|<-|:=|<<|>>|\+\+|--|&&|\|\||[=!<>+\-*/%&|^]=|[\s\S]"
 _GO_WORDS = "break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var"
 _GO_SIGNS = _SIGNS_C + " ... <<= >>= &^= &^ <- := << >> ++ -- && || == != <= >= += -= *= /= %= &= |= ^="
 
@@ -381,7 +382,7 @@ CallArg <- Expr / Type
 
 # Java ---------------------------------------------------------------------------------------------------------
 
-_JAVA_LEX = rf'\s+|{_SLASH}|{_CONFLICT}|"""(?:[^\\"]|\\[\s\S]|"(?!""))*"""|{_DQ}|{_SQ}|(?:[^\W\d]|\$)[\w$]*|{_NUMBER}|>>>=|>>=|<<=|\.\.\.|::|->|\+\+|--|&&|\|\||<<|[=!<+\-*/%&|^]=|[\s\S]'
+_JAVA_LEX = rf'\s+|(?:[^\W\d]|\$)[\w$]*|{_SLASH}|{_CONFLICT}|"""(?:[^\\"]|\\[\s\S]|"(?!""))*"""|{_DQ}|{_SQ}|(?:[^\W\d]|\$)[\w$]*|{_NUMBER}|>>>=|>>=|<<=|\.\.\.|::|->|\+\+|--|&&|\|\||<<|[=!<+\-*/%&|^]=|[\s\S]'
 _JAVA_WORDS = "abstract assert boolean break byte case catch char class const continue default do double else enum extends final finally float for goto if implements import instanceof int interface long native new package private protected public return short static strictfp super switch synchronized this throw throws transient try void volatile while true false null"
 _JAVA_SOFT = "var record sealed permits yield when module open"
 _JAVA_SIGNS = _SIGNS_C + " >>>= >>= <<= ... :: -> ++ -- && || << == != <= += -= *= /= %= &= |= ^="

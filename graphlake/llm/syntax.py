@@ -23,6 +23,7 @@ _DEPTH, _STACK = 60_000, 512 * 1024 * 1024
 _SCHEMA = "file_id long, valid boolean, line int, cause string"
 
 
+_F_PREFIX = re.compile(r"[fF][rR]?[\"']")
 _F_STRING = re.compile(r"(?i)(f|fr|rf)(\"\"\"|\'\'\'|\"|\')")
 
 
@@ -83,20 +84,19 @@ def _fields(language: Language, token: str) -> Iterator[tuple[int, str | None]]:
 
 def _bad_field(language: Language, tokens: list[str]) -> int | None:
     """The line of the first field of a template or formatted string that holds no expression."""
-    line = 1
-    for token in tokens:
-        if "{" in token:
-            for at, inner in _fields(language, token):
-                # Brackets balance within a field, so the parentheses around it are a pair.
-                if inner is None:
-                    return line + token.count("\n", 0, at)
+    # Strings with fields are few: lines are counted only where one is faulty.
+    for k in [k for k, token in enumerate(tokens) if len(token) > 2 and "{" in token]:
+        token = tokens[k]
+        for at, inner in _fields(language, token):
+            # Brackets balance within a field, so the parentheses around it are a pair.
+            deeper = None
+            if inner is not None:
                 kinds, parts, _ = language.read(f"({inner}\n)\n" if language.name == "Python" else f"({inner}\n);")
-                if not _matches(language, kinds)[0] or not inner.strip():
-                    return line + token.count("\n", 0, at)
-                deeper = _bad_field(language, parts)
-                if deeper is not None:
-                    return line + token.count("\n", 0, at) + deeper - 1
-        line += token.count("\n")
+                if inner.strip() and _matches(language, kinds)[0]:
+                    deeper = _bad_field(language, parts)
+                    if deeper is None:
+                        continue
+            return 1 + sum(t.count("\n") for t in tokens[:k]) + token.count("\n", 0, at) + (deeper - 1 if deeper else 0)
     return None
 
 
@@ -238,7 +238,8 @@ def parse(text: str, extension: str) -> tuple[bool, int | None, str | None]:
     kinds, tokens, where = language.read(text)
     valid, far = _matches(language, kinds)
     if valid:
-        bad = _bad_field(language, tokens) if language.name in ("Python", "JavaScript", "TypeScript") else None
+        fields = _F_PREFIX.search(text) if language.name == "Python" else "${" in text and language.name in ("JavaScript", "TypeScript")
+        bad = _bad_field(language, tokens) if fields else None
         return (True, None, None) if bad is None else (False, bad, "unexpected")
     at = where.after(kinds, far)
     line = 1 + sum(t.count("\n") for t in tokens[:at])
