@@ -1,22 +1,27 @@
 """Most similar vectors for every vector, by vantage-point trees with relaxed triangle-inequality pruning.
 
 A router tree, fitted on a bounded sample, cuts the sphere into shards; shards that turn out too large are cut again
-by trees of their own.  Every vector lives in one shard and is sent, as a query, to each shard that the (relaxed)
-triangle inequality does not rule out.  Each shard then builds its own tree over its vectors and answers all of its
-queries together, keeping for each only its best so far and ruling out what is farther than those.
+by trees of their own.  Every vector lives in one shard.  Each shard is written once, with a tree over its vectors, to
+the folder that all executors share.  A task takes the vectors of a few neighbouring shards as queries and reads, one
+after the other, every shard that the (relaxed) triangle inequality does not rule out, keeping for each query only its
+best so far and ruling out what is farther than those.  So no vector is copied to the shards that it asks.
 """
 
 from __future__ import annotations
 
+import atexit
 import math
 import pickle
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from urllib.parse import urlparse
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphlake.llm.shards import shared_folder
@@ -33,8 +38,12 @@ FACTOR, FACTOR_LEVELS = 8.0, 8
 SLACK = 3.0
 K, MIN_COS = 5, 0.80
 _QUERY_BLOCK = 16_384
-# Rows of a group that a cut of a hot shard takes at once, and groups that the copies of one vector are spread over.
+# Neighbouring shards whose vectors one task takes as queries, at most.
+GROUP_SHARDS = 8
+# Rows that one task fits a tree for a hot shard on, and groups that the copies of one vector are spread over.
 _CUT_ROWS, _SALTS = 20_000, 32
+# Keys that occur once are told from others by this many buckets of their hashes, without a shuffle of their rows.
+_BUCKETS = 1 << 20
 
 
 def relaxed(n: int) -> float:
@@ -68,6 +77,14 @@ def angle(x: np.ndarray, points: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(x @ points, -1.0, 1.0))
 
 
+def _axes(spread: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """About the three directions in which the data vary most, by a few rounds of subspace iteration."""
+    axes = start
+    for _ in range(5):
+        axes, _ = np.linalg.qr(spread @ (spread @ axes))
+    return axes @ np.linalg.eigh(axes.T @ spread @ axes)[1][:, -3:]
+
+
 def _vantage(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """The candidate whose angles spread most: points of the data, and the directions in which the data vary most.
 
@@ -75,8 +92,7 @@ def _vantage(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """
     some = x[rng.choice(len(x), min(len(x), 1024), replace=False)]
     centred = some - some.mean(0)
-    _, axes = np.linalg.eigh(centred.T @ centred)
-    candidates = np.vstack([axes[:, -3:].T, some[:5]])
+    candidates = np.vstack([_axes(centred.T @ centred, some[:6].T).T, some[:5]])
     spread = angle(some, candidates.T).std(0)
     return candidates[int(spread.argmax())].astype(np.float32)
 
@@ -109,13 +125,14 @@ def build(x: np.ndarray, leaf: int, seed: int = 7) -> Node:
     return root
 
 
-def visits(root: Node, q: np.ndarray, radius: np.ndarray, factor: float) -> Iterator[tuple[Node, np.ndarray]]:
-    """Each leaf with the queries (indices) that it cannot be ruled out for.
+def visits(root: Node, q: np.ndarray, radius: np.ndarray, factor: float) -> Iterator[tuple[Node, np.ndarray, np.ndarray]]:
+    """Each leaf with the queries (indices) that it cannot be ruled out for, and the least angle to it of each.
 
     A side is ruled out where the least angle that the triangle inequality leaves, times factor, exceeds the
     query's radius.  The caller may lower radius in place between two leaves.
     """
-    angles = angle(q, np.array(root.points).T) if root.points else None
+    # All at once where the tree is small; else few queries reach most of its points.
+    angles = angle(q, np.array(root.points).T) if 0 < len(root.points) <= 256 else None
     todo = [(root, np.arange(len(q)), np.zeros(len(q), np.float32))]
     while todo:
         node, mine, least = todo.pop()
@@ -125,9 +142,9 @@ def visits(root: Node, q: np.ndarray, radius: np.ndarray, factor: float) -> Iter
         if len(mine) == 0:
             continue
         if node.rows is not None:
-            yield node, mine
+            yield node, mine, least
             continue
-        beyond = angles[mine, node.number] - np.float32(node.median)
+        beyond = (angle(q[mine], node.vantage) if angles is None else angles[mine, node.number]) - np.float32(node.median)
         # The side that a query is on comes first: its radius may have shrunk when the other one is asked.
         todo += [(node.near, mine, np.maximum(least, beyond)), (node.far, mine, np.maximum(least, -beyond))]
 
@@ -135,7 +152,7 @@ def visits(root: Node, q: np.ndarray, radius: np.ndarray, factor: float) -> Iter
 def homes(root: Node, x: np.ndarray) -> np.ndarray:
     """The number of the one leaf that each row belongs to."""
     home = np.zeros(len(x), np.int64)
-    for node, mine in visits(root, x, np.zeros(len(x), np.float32), 1.0):
+    for node, mine, _ in visits(root, x, np.zeros(len(x), np.float32), 1.0):
         home[mine] = node.number  # at radius 0 only ties on a median reach two leaves; one is kept
     return home
 
@@ -149,6 +166,27 @@ def router(sample: np.ndarray, n: int, shard_rows: int) -> Node:
     return root
 
 
+def graft(root: Node, number: int, branch: Node) -> None:
+    """Puts the tree `branch` in the place of a leaf; its first leaf takes that leaf's number, the others follow the last one."""
+    points, todo = len(root.points), [branch]
+    root.points += branch.points
+    while todo:
+        node = todo.pop()
+        if node.rows is None:
+            node.number += points
+            todo += [node.near, node.far]
+    for at, leaf in enumerate(branch.leaves):
+        leaf.number = len(root.leaves) if at else number
+        if at:
+            root.leaves.append(leaf)
+    place = root.leaves[number]
+    root.leaves[number] = branch.leaves[0]
+    if branch.rows is None:
+        place.rows, place.vantage, place.median, place.near, place.far, place.number = None, branch.vantage, branch.median, branch.near, branch.far, branch.number
+    else:
+        root.leaves[number] = place
+
+
 def _raw(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """A column of equally long byte strings as rows of signed bytes."""
     array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -179,54 +217,15 @@ def _pack(dims: int):
     return run
 
 
-_ROUTED = "shard long, home boolean, vec_id long, ids array<long>, vec binary"
-
-
-def _spread(root: Node, x: np.ndarray, limit: float, factor: float, home: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, leaf, whether it lives there) of every row in each leaf that it has to be sent to; those not at home live nowhere."""
-    lives = homes(root, x)
-    rows, leaves = [np.arange(len(x))], [lives]
-    for node, mine in visits(root, x, np.full(len(x), limit, np.float32), factor):
-        other = mine[lives[mine] != node.number]
-        rows.append(other)
-        leaves.append(np.full(len(other), node.number))
-    row, leaf = np.concatenate(rows), np.concatenate(leaves)
-    at_home = np.arange(len(row)) < len(x)
-    if home is None:
-        return row, leaf, at_home
-    # A query from elsewhere goes only where it can find something.
-    asked = np.zeros((len(x), len(root.leaves)), bool)
-    for node, mine in visits(root, x, np.full(len(x), limit, np.float32), factor):
-        asked[mine, node.number] = True
-    keep = home[row] | asked[row, leaf]
-    return row[keep], leaf[keep], (at_home & home[row])[keep]
+_PLACED = "shard long, vec_id long, ids array<long>, vec binary"
 
 
-def _routed_table(shard: np.ndarray, at_home: np.ndarray, row: np.ndarray, ids: pa.Array, copies: pa.Array, raw: np.ndarray) -> pa.Table:
-    take = pa.array(row)
-    # Only at home is it needed which other rows have the same vector.
-    listed = pa.compute.if_else(pa.array(at_home), copies.take(take), pa.scalar([], copies.type))
-    return pa.table([pa.array(shard.astype(np.int64)), pa.array(at_home), ids.take(take), listed, _bytes(raw[row])], ["shard", "home", "vec_id", "ids", "vec"])
-
-
-def _route(root: Node, cos: float, factor: float):
-    limit = float(np.arccos(cos))
-
+def _place(root: Node):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                raw = _raw(batch.column("vec"))
-                row, leaf, at_home = _spread(root, unit(raw), limit, factor)
-                yield from _routed_table(leaf, at_home, row, batch.column("vec_id"), batch.column("ids"), raw).to_batches()
-
-    return run
-
-
-def _home_counts(root: Node):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(homes(root, unit(_raw(batch.column("vec"))))), batch.column("h")], ["shard", "h"])
+                home = pa.array(homes(root, unit(_raw(batch.column("vec")))))
+                yield pa.RecordBatch.from_arrays([home, *(batch.column(c) for c in ("vec_id", "ids", "vec"))], ["shard", "vec_id", "ids", "vec"])
 
     return run
 
@@ -239,41 +238,68 @@ def _subtree(shard_rows: int):
     return run
 
 
-def _cut(cos: float, factor: float):
-    limit = float(np.arccos(cos))
+def cut_hot(distinct: DataFrame, root: Node) -> DataFrame:
+    """`distinct` (vec_id, ids, vec) with the shard that each vector lives in.
+
+    Every shard of more than HOT x SHARD_ROWS vectors is cut by a tree fitted on a sample of its own, which is grafted
+    onto `root`.  Goes on until no shard is too large, or those that are left can't be cut further.
+    """
+    before = None
+    while True:
+        placed = distinct.mapInArrow(_place(root), _PLACED)
+        hot = [tuple(r) for r in placed.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > HOT * SHARD_ROWS).orderBy("shard").collect()]
+        if not hot or hot == before:
+            return placed.withColumn("home", F.lit(True))
+        before = hot
+        sizes = F.broadcast(distinct.sparkSession.createDataFrame(hot, "shard long, n long"))
+        sample = placed.join(sizes, "shard").where(F.pmod(F.xxhash64("vec"), F.lit(1_000_003)) <= F.least(F.lit(1.0), F.lit(min(_CUT_ROWS, ROUTER_SAMPLE / 2)) / F.col("n")) * 1_000_003)
+        trees = sample.select("shard", "vec_id", "vec", "n").groupBy("shard").applyInPandas(_subtree(SHARD_ROWS), "shard long, tree binary")
+        for r in sorted(trees.collect()):
+            graft(root, r["shard"], pickle.loads(r["tree"]))  # noqa: S301
 
-    def run(rows: pa.Table, trees: pa.Table) -> pa.Table:
-        raw = _raw(rows.column("vec"))
-        root = pickle.loads(trees.column("tree")[0].as_py())  # noqa: S301
-        row, leaf, at_home = _spread(root, unit(raw), limit, factor, rows.column("home").to_numpy(zero_copy_only=False).astype(bool))
-        shard = (rows.column("shard").to_numpy()[row] + 1) * (1 << 16) + leaf
-        flat = {c: rows.column(c).combine_chunks() for c in ("vec_id", "ids")}
-        return _routed_table(shard, at_home, row, flat["vec_id"], flat["ids"], raw)
 
-    return run
+class Nearest:
+    """The up to k best answers of each of n queries so far, and the radius in which better ones can be."""
 
+    def __init__(self, n: int, k: int, cos: float, least: float, slack: float):
+        self.k, self.slack = k, slack
+        self.label, self.cos = np.full((n, k), -1, np.int64), np.full((n, k), least)
+        self.radius = np.full(n, float(np.arccos(min(1.0, max(-1.0, cos)))) + 1e-4, np.float32)
 
-def cut_hot(routed: DataFrame, cos: float, factor: float) -> DataFrame:
-    """`routed` with every shard of more than HOT x SHARD_ROWS vectors cut by a tree fitted on a sample of its own.
+    def add(self, query: np.ndarray, label: np.ndarray, cosine: np.ndarray) -> None:
+        who, k = np.unique(query), self.k
+        a = np.concatenate([np.repeat(who, k), query])
+        b = np.concatenate([self.label[who].ravel(), label])
+        c = np.concatenate([self.cos[who].ravel(), cosine])
+        order = np.lexsort((b, -c, b < 0, a))
+        a, b, c = a[order], b[order], c[order]
+        keep = np.arange(len(a)) - np.searchsorted(a, a) < k
+        self.label[who], self.cos[who] = b[keep].reshape(-1, k), c[keep].reshape(-1, k)
+        full = who[self.label[who, -1] >= 0]
+        self.radius[full] = np.minimum(self.radius[full], self.slack * np.arccos(np.clip(self.cos[full, -1], -1.0, 1.0)) + np.float32(1e-3))
 
-    Goes on until no shard is too large, or those that are left can't be cut further.  The rows of a hot shard are cut in
-    groups of bounded size.
+
+def _places(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.nonzero of a matrix in which little is true, faster."""
+    return np.divmod(np.flatnonzero(mask), mask.shape[1])
+
+
+def ask(root: Node, q: np.ndarray, who: np.ndarray, nearest: Nearest, factor: float, similar: Callable) -> None:
+    """Adds what the rows of a tree have to the answers of the queries `who`.
+
+    similar(queries, rows, least) gives (place among the queries, label, cosine) of the pairs whose cosine is at least
+    the query's `least`.
     """
-    before = None
-    while True:
-        sizes = routed.groupBy("shard").agg(F.count_if("home").alias("n"), F.count("*").alias("rows")).checkpoint()
-        hot = sizes.where(F.col("n") > HOT * SHARD_ROWS)
-        state = tuple(hot.agg(F.count("*"), F.max("n"), F.sum("n")).first())
-        if state[0] == 0 or state == before:
-            return routed
-        before = state
-        sample = routed.where("home").join(hot, "shard").where(F.pmod(F.xxhash64("vec"), F.lit(1_000_003)) <= F.least(F.lit(1.0), F.lit(ROUTER_SAMPLE / 2) / F.col("n")) * 1_000_003)
-        trees = sample.select("shard", "vec_id", "vec", "n").groupBy("shard").applyInPandas(_subtree(SHARD_ROWS), "shard long, tree binary")
-        salts = F.ceil(F.col("rows") / _CUT_ROWS)
-        salted = routed.join(hot, "shard").withColumn("salt", F.pmod(F.xxhash64("vec_id"), salts))
-        planted = trees.join(hot, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-        cut = salted.groupBy("shard", "salt").cogroup(planted.groupBy("shard", "salt")).applyInArrow(_cut(cos, factor), _ROUTED)
-        routed = routed.join(hot, "shard", "left_anti").unionByName(cut).checkpoint()
+    radius = nearest.radius[who]
+    for node, mine, _ in visits(root, q[who], radius, factor):
+        for at in range(0, len(node.rows), 2048):
+            for low in range(0, len(mine), 4096):
+                part = mine[low : low + 4096]
+                asked = who[part]
+                i, label, cosine = similar(asked, node.rows[at : at + 2048], nearest.cos[asked, -1])
+                if len(i):
+                    nearest.add(asked[i], label, cosine)
+                    radius[part] = nearest.radius[asked]
 
 
 def search(x: np.ndarray, q: np.ndarray, k: int, cos: float, factor: float, leaf: int = LEAF_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -282,71 +308,181 @@ def search(x: np.ndarray, q: np.ndarray, k: int, cos: float, factor: float, leaf
     A query's radius shrinks to its k-th best, so what is held at once is k rows a query and one leaf's hits.
     """
     root = build(x, leaf)
-    slack = 1.0 if factor == 1.0 else SLACK
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for begin in range(0, len(q), _QUERY_BLOCK):
         part = q[begin : begin + _QUERY_BLOCK]
-        n = len(part)
-        best_row, best_cos = np.full((n, k), -1, np.int64), np.full((n, k), np.float32(cos - 1e-5), np.float32)
-        radius = np.full(n, float(np.arccos(min(1.0, max(-1.0, cos)))) + 1e-4, np.float32)
-        for node, mine in visits(root, part, radius, factor):
-            for at in range(0, len(node.rows), 2048):
-                rows = node.rows[at : at + 2048]
-                for low in range(0, len(mine), 4096):
-                    asked = mine[low : low + 4096]
-                    similar = part[asked] @ x[rows].T
-                    i, j = np.nonzero(similar >= best_cos[asked, -1][:, None])
-                    if len(i) == 0:
-                        continue
-                    hit = np.unique(i)
-                    who = asked[hit]
-                    a = np.concatenate([np.repeat(who, k), asked[i]])
-                    b = np.concatenate([best_row[who].ravel(), rows[j]])
-                    c = np.concatenate([best_cos[who].ravel(), similar[i, j]])
-                    order = np.lexsort((b, -c, b < 0, a))
-                    a, b, c = a[order], b[order], c[order]
-                    keep = np.arange(len(a)) - np.searchsorted(a, a) < k
-                    best_row[who], best_cos[who] = b[keep].reshape(-1, k), c[keep].reshape(-1, k)
-                    full = who[best_row[who, -1] >= 0]
-                    radius[full] = np.minimum(radius[full], slack * np.arccos(np.clip(best_cos[full, -1], -1.0, 1.0)) + np.float32(1e-3))
-        a, place = np.nonzero(best_row >= 0)
-        out.append((a + begin, best_row[a, place], best_cos[a, place]))
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
-
-
-def _shard(k: int, cos: float, factor: float):
+        nearest = Nearest(len(part), k, cos, cos - 1e-5, 1.0 if factor == 1.0 else SLACK)
+
+        def similar(asked: np.ndarray, rows: np.ndarray, least: np.ndarray, part: np.ndarray = part) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            products = part[asked] @ x[rows].T
+            i, j = _places(products >= least[:, None].astype(np.float32))
+            return i, rows[j], products[i, j]
+
+        ask(root, part, np.arange(len(part)), nearest, factor, similar)
+        a, place = np.nonzero(nearest.label >= 0)
+        out.append((a + begin, nearest.label[a, place], nearest.cos[a, place]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
+def _system(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder that Spark names, and its path there."""
+    url = urlparse(folder)
+    return (fs.LocalFileSystem(), url.path) if url.scheme in ("", "file") else fs.FileSystem.from_uri(folder)
+
+
+def _write(system: fs.FileSystem, path: str, content: tuple) -> None:
+    # Under another name first: a task that is tried again leaves a whole file.
+    draft = f"{path}.{uuid.uuid4().hex}"
+    with system.open_output_stream(draft) as f:
+        f.write(pickle.dumps(content, 5))
+    system.move(draft, path)
+
+
+def _read(system: fs.FileSystem, path: str) -> tuple:
+    with system.open_input_file(path) as f:
+        return pickle.loads(f.read())  # noqa: S301
+
+
+def _store(folder: str):
+    """Writes a shard: its tree, the ids and the bytes of its vectors in the order of the leaves; and the ids of equal vectors."""
+
     def run(rows: pa.Table) -> pa.Table:
-        raw, ids, home = _raw(rows.column("vec")), rows.column("vec_id").to_numpy(), rows.column("home").to_numpy(zero_copy_only=False).astype(bool)
-        copies = rows.column("ids").to_pylist()
+        system, path = _system(folder)
+        shard = rows.column("shard")[0].as_py()
+        raw, ids = _raw(rows.column("vec")), rows.column("vec_id").to_numpy()
         order = np.argsort(ids, kind="stable")
-        raw, ids, home = raw[order], ids[order], home[order]
-        copies = [copies[at] for at in order]
-        mine = np.flatnonzero(home)
-        x = unit(raw)
-        # A few more than wanted: they are put in order by their exact cosines.
-        a, b, _ = search(x[mine], x, k + 4, cos, factor) if len(mine) else search(x[:0], x[:0], k, cos, factor)
-        b = mine[b]
-        # Whole-number products, so that equal cosines are equal.
-        norm = np.array([int((r.astype(np.int64) ** 2).sum()) for r in raw]) if len(raw) < 64 else np.concatenate([(raw[at : at + 65_536].astype(np.int32) ** 2).sum(1) for at in range(0, len(raw), 65_536)])
-        exact = np.zeros(len(a))
-        for at in range(0, len(a), 65_536):
-            i, j = a[at : at + 65_536], b[at : at + 65_536]
-            exact[at : at + 65_536] = (raw[i].astype(np.int32) * raw[j].astype(np.int32)).sum(1) / np.sqrt(norm[i].astype(float) * norm[j])
-        keep = (exact >= cos) & (a != b)
-        a, b, exact = a[keep], b[keep], np.round(exact[keep], 12)
-        # A class of equal vectors stands for its smallest ids; its own copies are found at home.
-        size = np.array([len(c) for c in copies])
-        times = size[b]
-        others = np.fromiter((i for at in b for i in copies[at]), np.int64, int(times.sum()))
-        several = mine[size[mine] > 1]
-        own = np.fromiter((i for at in several for i in copies[at]), np.int64, int(size[several].sum()))
-        return pa.table({
-            "vec_id": np.concatenate([np.repeat(ids[a], times), np.repeat(ids[several], size[several])]), "other_id": np.concatenate([others, own]),
-            "cosine": np.concatenate([np.repeat(exact, times), np.ones(len(own))])})
+        raw, ids = raw[order], ids[order]
+        tree = build(unit(raw), LEAF_ROWS)
+        order, at = np.concatenate([leaf.rows for leaf in tree.leaves]), 0
+        for leaf in tree.leaves:
+            leaf.rows, at = np.arange(at, at + len(leaf.rows), dtype=np.int32), at + len(leaf.rows)
+        several = rows.filter(rows.column("ids").is_valid()).sort_by("vec_id").select(["vec_id", "ids"])
+        lists = several.column("ids").combine_chunks()
+        sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        _write(system, f"{path}/{shard}.ids", (several.column("vec_id").to_numpy(), sizes, lists.flatten().to_numpy(zero_copy_only=False)))
+        _write(system, f"{path}/{shard}.vectors", (tree, ids[order], raw[order]))
+        return pa.table({"shard": pa.array([shard], pa.int64()), "n": pa.array([len(ids)], pa.int64())})
+
+    return run
+
+
+def _norms(raw: np.ndarray) -> np.ndarray:
+    """Squared lengths of rows of bytes."""
+    parts = [np.einsum("ij,ij->i", part, part) for at in range(0, len(raw), 65_536) for part in [raw[at : at + 65_536].astype(np.int32)]]
+    return np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
+
+
+def _expand(ids: np.ndarray, nearest: Nearest, k: int, copies: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.Table:
+    """The answers of the queries `ids` with equal vectors put in.
+
+    A class of equal vectors stands for its smallest ids.  Queries that have no equals get their k best; the others,
+    marked `several`, one more, since each of the class leaves itself out.
+    """
+    known, sizes, flat = copies
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+
+    def listed(labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each label how many ids it stands for, and those ids."""
+        if len(known) == 0:
+            return np.ones(len(labels), np.int64), labels
+        at = np.minimum(np.searchsorted(known, labels), len(known) - 1)
+        has = known[at] == labels
+        times = np.where(has, sizes[at], 1)
+        inside = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+        return times, np.where(np.repeat(has, times), flat[np.minimum(np.repeat(begin[at], times) + inside, len(flat) - 1)], np.repeat(labels, times))
+
+    a, place = np.nonzero(nearest.label >= 0)
+    times, others = listed(nearest.label[a, place])
+    a, cosine = np.repeat(a, times), np.repeat(nearest.cos[a, place], times)
+    several = np.isin(ids, known)
+    mine = np.flatnonzero(several)
+    times, own = listed(ids[mine])
+    a, others, cosine = np.concatenate([a, np.repeat(mine, times)]), np.concatenate([others, own]), np.concatenate([cosine, np.ones(len(own))])
+    order = np.lexsort((others, -cosine, a))
+    a, others, cosine = a[order], others[order], cosine[order]
+    keep = np.arange(len(a)) - np.searchsorted(a, a) < k + several[a]
+    a = a[keep]
+    return pa.table({"vec_id": ids[a], "other_id": others[keep], "cosine": cosine[keep], "several": several[a]})
+
+
+def _answer(root: Node, folder: str, present: np.ndarray, group: int, k: int, cos: float, factor: float):
+    """The answers of all vectors of the shards `present[group * g : group * (g + 1)]`, for each g of the rows."""
+
+    def one(g: int) -> pa.Table:
+        system, path = _system(folder)
+        own = [int(s) for s in present[group * g : group * (g + 1)]]
+        parts = [_read(system, f"{path}/{s}.vectors")[1:] for s in own]
+        ids, raw = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        exact = np.float32 if raw.shape[1] < 1024 else np.float64  # whole-number products are exact in it, so equal cosines are equal
+        norm, q = _norms(raw), unit(raw)
+        length = np.sqrt(norm).astype(exact)
+        # A few more than wanted: a radius should not shrink too soon.
+        nearest = Nearest(len(ids), k + 3, cos, cos, 1.0 if factor == 1.0 else SLACK)
+        reached: dict[int, list] = {}
+        for node, mine, least in visits(root, q, nearest.radius, factor):
+            reached[node.number] = [mine, least]
+        hit: list[int] = []
+        there = set(present.tolist())
+        for shard in [*own, *sorted(reached.keys() - set(own))]:
+            if shard not in reached or shard not in there:
+                continue
+            who, least = reached.pop(shard)
+            who = who[least * factor <= nearest.radius[who]]
+            if len(who) == 0:
+                continue
+            tree, labels, x = _read(system, f"{path}/{shard}.vectors")
+            norm_x = _norms(x)
+            length_x = np.sqrt(norm_x).astype(exact)
+            found = 0
+
+            def similar(asked: np.ndarray, rows: np.ndarray, least: np.ndarray, x=x, labels=labels, norm_x=norm_x, length_x=length_x) -> tuple[np.ndarray, np.ndarray, np.ndarray]:  # noqa: ANN001
+                nonlocal found
+                products = raw[asked].astype(exact) @ x[rows].astype(exact).T
+                i, j = _places(products >= ((least - 1e-6).astype(exact) * length[asked])[:, None] * length_x[rows])
+                cosine = products[i, j].astype(float) / np.sqrt(norm[asked[i]].astype(float) * norm_x[rows[j]])
+                keep = (cosine >= cos) & (labels[rows[j]] != ids[asked[i]])
+                i, j, cosine = i[keep], j[keep], np.round(cosine[keep], 12)
+                found += len(i)
+                return i, labels[rows[j]], cosine
+
+            ask(tree, q, who, nearest, factor, similar)
+            if found:
+                hit.append(shard)
+        wanted = np.unique(np.concatenate([nearest.label.ravel(), ids]))
+        copies: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for shard in {*own, *hit}:
+            known, sizes, flat = _read(system, f"{path}/{shard}.ids")
+            some = np.isin(known, wanted)
+            copies.append((known[some], sizes[some], flat[np.repeat(some, sizes)]))
+        known, sizes, flat = (np.concatenate(c) for c in zip(*copies, strict=True))
+        order = np.argsort(known)
+        begin = np.cumsum(sizes) - sizes
+        flat = flat[np.repeat(begin[order], sizes[order]) + np.arange(len(flat)) - np.repeat(np.cumsum(sizes[order]) - sizes[order], sizes[order])] if len(flat) else flat
+        return _expand(ids, nearest, k, (known[order], sizes[order], flat))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for g in batch.column(0).to_pylist():
+                yield from one(g).to_batches(max_chunksize=20_000)
 
     return run
 
 
+def _remove(folder: str) -> None:
+    system, path = _system(folder)
+    if system.get_file_info(path).type == fs.FileType.Directory:
+        system.delete_dir(path)
+
+
+def repeated_buckets(df: DataFrame, key: str) -> DataFrame:
+    """(bucket): those of the _BUCKETS buckets that hold a key which occurs several times; only keys are shuffled."""
+    return df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(_bucket(key)).distinct()
+
+
+def _bucket(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(_BUCKETS)).cast("int").alias("bucket")
+
+
 def similar_vectors(vectors: DataFrame, k: int = K, min_cos: float = MIN_COS, factor: float | None = None, dims: int = 128) -> DataFrame:
     """(vec_id, other_id, cosine): up to `k` most similar other vectors of each, with a cosine of min_cos or more.
 
@@ -354,8 +490,12 @@ def similar_vectors(vectors: DataFrame, k: int = K, min_cos: float = MIN_COS, fa
     vectors are searched once and share what is found; among equal cosines the smaller vec_id comes first.
     With factor 1 the search is exact; above, a small share of neighbours is missed; `relaxed` chooses it if none is given.
     """
+    spark = vectors.sparkSession
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/vectors-{uuid.uuid4().hex}"
+    atexit.register(_remove, folder)  # the result is read from it until then
     given = vectors.where(F.col("vec_id").isNotNull() & (F.size("vec") == dims)).select(F.col("vec_id").cast("long").alias("vec_id"), "vec")
-    valid = given.mapInArrow(_pack(dims), "vec_id long, vec binary").select("vec_id", "vec", F.xxhash64("vec").alias("h"), F.xxhash64("vec", F.lit(1)).alias("h2")).checkpoint()
+    given.mapInArrow(_pack(dims), "vec_id long, vec binary").write.parquet(f"{folder}/valid")
+    valid = spark.read.parquet(f"{folder}/valid").select("vec_id", "vec", F.xxhash64("vec").alias("h"), F.xxhash64("vec", F.lit(1)).alias("h2"))
     n = valid.count()
     if n == 0:
         return valid.select("vec_id", F.lit(0).cast("long").alias("other_id"), F.lit(0.0).alias("cosine")).limit(0)
@@ -364,34 +504,47 @@ def similar_vectors(vectors: DataFrame, k: int = K, min_cos: float = MIN_COS, fa
     sample = valid.where(F.pmod("h", F.lit(1_000_003)) <= share * 1_000_003).select("vec").distinct().orderBy(F.xxhash64("vec"), "vec").limit(ROUTER_SAMPLE).collect()
     x = unit(np.stack([np.frombuffer(r["vec"], np.int8) for r in sample])) if sample else unit(np.ones((1, dims)))
     root = router(x, n, SHARD_ROWS)
-    # Copies first: of each distinct vector only its k+1 smallest ids can be among anyone's neighbours.  Hot copies are
-    # reduced within parts before they meet.
+    # Copies first: of each distinct vector only its k+1 smallest ids can be among anyone's neighbours.  Vectors without a
+    # copy are told by their hashes and stay where they are; hot copies are reduced within parts before they meet.
+    buckets = repeated_buckets(valid, "h").checkpoint()
+    single = valid.withColumn("bucket", _bucket("h")).join(F.broadcast(buckets), "bucket", "left_anti")
+    some = valid.withColumn("bucket", _bucket("h")).join(F.broadcast(buckets), "bucket", "left_semi").drop("bucket")
     few = F.slice(F.array_sort(F.collect_set("vec_id")), 1, k + 1)
-    copies = valid.groupBy("h", "h2").agg(F.min("vec_id").alias("class"), F.count("*").alias("n")).where("n > 1").select("h", "h2", "class").checkpoint()
+    copies = some.groupBy("h", "h2").agg(F.min("vec_id").alias("class"), F.count("*").alias("n")).where("n > 1").select("h", "h2", "class").checkpoint()
     salt = F.pmod(F.xxhash64("vec_id"), F.lit(_SALTS)).cast("int")
     salted = copies.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    again = valid.select("vec_id", "h", "h2", salt.alias("salt")).join(salted, ["h", "h2", "salt"]).select("vec_id", "class").checkpoint()
+    again = some.select("vec_id", "h", "h2", salt.alias("salt")).join(salted, ["h", "h2", "salt"]).select("vec_id", "class").checkpoint()
     parts = again.groupBy("class", F.pmod(F.xxhash64("vec_id"), F.lit(4096)).alias("part")).agg(few.alias("some"))
     ids = parts.select("class", F.explode("some").alias("vec_id")).groupBy("class").agg(few.alias("ids"))
-    classes = valid.select("vec_id", "vec").join(again.where("vec_id <> class").select("vec_id"), "vec_id", "left_anti").join(ids.withColumnRenamed("class", "vec_id"), "vec_id", "left")
-    distinct = classes.select("vec_id", F.coalesce("ids", F.array("vec_id")).alias("ids"), "vec")
-    routed = distinct.mapInArrow(_route(root, min_cos, factor), _ROUTED)
-    homed = valid.select("vec", "h").mapInArrow(_home_counts(root), "shard long, h long").groupBy("shard").agg(F.approx_count_distinct("h").alias("n"))
-    if len(root.leaves) > 1 and not homed.where(F.col("n") > HOT * SHARD_ROWS).isEmpty() or len(root.leaves) * HOT * SHARD_ROWS < n:
-        routed = cut_hot(routed.checkpoint(), min_cos, factor)
-    pairs = routed.groupBy("shard").applyInArrow(_shard(k, min_cos, factor), "vec_id long, other_id long, cosine double")
-    # A class has at most (k+1) squared rows from each shard that it was sent to.
-    best = pairs.groupBy("vec_id").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("cosine")).alias("far"), "other_id"))), 1, k + 1).alias("ids")).withColumnRenamed("vec_id", "class")
-    members = again.select("vec_id", "class")
-    each = best.join(members, "class", "left").select(F.coalesce("vec_id", "class").alias("vec_id"), "ids")
+    classes = some.select("vec_id", "vec").join(again.where("vec_id <> class").select("vec_id"), "vec_id", "left_anti").join(ids.withColumnRenamed("class", "vec_id"), "vec_id", "left")
+    distinct = single.select("vec_id", F.lit(None).cast("array<long>").alias("ids"), "vec").unionByName(classes.select("vec_id", "ids", "vec"))
+    placed = cut_hot(distinct, root)
+    stored = placed.select("shard", "vec_id", "ids", "vec").groupBy("shard").applyInArrow(_store(f"{folder}/shards"), "shard long, n long")
+    system, path = _system(f"{folder}/shards")
+    system.create_dir(path, recursive=True)
+    present = np.array(sorted(r["shard"] for r in stored.collect()))
+    group = max(1, min(GROUP_SHARDS, len(present) // (3 * spark.sparkContext.defaultParallelism)))
+    groups = -(-len(present) // group)
+    answers = spark.range(0, groups, 1, groups).mapInArrow(_answer(root, f"{folder}/shards", present, group, k, min_cos, factor), "vec_id long, other_id long, cosine double, several boolean")
+    answers.write.parquet(f"{folder}/answers")
+    system.delete_dir(path)
+    found = spark.read.parquet(f"{folder}/answers")
+    best = found.where("several").groupBy(F.col("vec_id").alias("class")).agg(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("far"), "other_id"))).alias("ids"))
+    each = best.join(again, "class").select("vec_id", "ids")
     wanted = each.select("vec_id", F.explode(F.slice(F.filter("ids", lambda e: e["other_id"] != F.col("vec_id")), 1, k)).alias("e"))
-    return wanted.select("vec_id", F.col("e.other_id").alias("other_id"), (-F.col("e.far")).alias("cosine"))
+    shared = wanted.select("vec_id", F.col("e.other_id").alias("other_id"), (-F.col("e.far")).alias("cosine"))
+    return found.where("NOT several").select("vec_id", "other_id", "cosine").unionByName(shared)
 
 
 def p3_found(spark: SparkSession, directory: str) -> DataFrame:
     """Pairs of chunks with cosine 0.80 or more of which one is among the other's five most similar."""
     shared_folder(spark)
-    chunks = latest(table(spark, directory, "chunks"), "chunk_id", ["vec_q", "vec_s"], "indexed_at")
+    given = table(spark, directory, "chunks").where(F.col("chunk_id").isNotNull()).select("chunk_id", "vec_q", "vec_s", "indexed_at").withColumn("bucket", _bucket("chunk_id"))
+    # Chunks delivered once need no shuffle; all others, and the few that share a bucket with one, are cleaned as usual.
+    buckets = repeated_buckets(given, "chunk_id").checkpoint()
+    once = given.join(F.broadcast(buckets), "bucket", "left_anti").select("chunk_id", "vec_q", "vec_s")
+    several = latest(given.join(F.broadcast(buckets), "bucket", "left_semi"), "chunk_id", ["vec_q", "vec_s"], "indexed_at")
+    chunks = once.unionByName(several)
     vectors = chunks.where((F.col("vec_s") > 0) & F.col("vec_q").isNotNull()).select(F.col("chunk_id").alias("vec_id"), F.col("vec_q").alias("vec"))
     found = similar_vectors(vectors)
     return found.select(F.least("vec_id", "other_id").alias("chunk_a"), F.greatest("vec_id", "other_id").alias("chunk_b")).distinct()

@@ -1,5 +1,6 @@
 import random
 from datetime import datetime
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -63,6 +64,31 @@ def test_hot_shards_are_cut_again(spark, monkeypatch):
     assert len(got & want) >= 0.995 * len(want) and len(got) == len(want)  # equal rounded cosines may change places
 
 
+def _written(spark):
+    """Bytes of the shuffle files of a local session and of its checkpoint folder."""
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    folders = [Path(f.toString()) for f in manager.localDirs()] + [Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"))]
+    return sum(p.stat().st_size for f in folders for p in f.rglob("*") if p.is_file())
+
+
+def test_vectors_are_not_copied_to_the_shards_that_they_ask(spark, monkeypatch):
+    monkeypatch.setattr(V, "SHARD_ROWS", 300)
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(size=(3000, 128)), 4, axis=0) + rng.normal(size=(12_000, 128)) * 0.4
+    x = (x / np.abs(x).max(1, keepdims=True) * 127).astype(np.int8)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, vec array<byte>")
+    before = _written(spark)
+    assert V.similar_vectors(df).count() > 30_000
+    assert _written(spark) - before < 4 * x.size
+
+
+def test_the_newest_vector_of_a_chunk_counts(spark, tmp_path):
+    a, b, c = ([d if i == at else 1 for i in range(128)] for at, d in ((3, 120), (3, 110), (90, 120)))
+    rows = [(1, a, 0.1, datetime(2024, 1, 1)), (2, b, 0.1, T), (2, b, 0.1, datetime(2024, 2, 1)), (3, a, 0.1, T), (3, c, 0.1, datetime(2024, 3, 1)), (4, a, 0.1, T), (4, None, 0.1, datetime(2024, 3, 1)), (5, a, 0.0, T), (None, a, 0.1, T)]
+    spark.createDataFrame(rows, "chunk_id long, vec_q array<byte>, vec_s float, indexed_at timestamp").write.parquet(f"{tmp_path}/chunks.parquet")
+    assert [tuple(r) for r in V.p3_found(spark, str(tmp_path)).collect()] == [(1, 2)]
+
+
 def test_packing_over_partitions(spark, monkeypatch):
     monkeypatch.setattr(B, "TASK_PIECES", 40)
     rng = random.Random(2)
