@@ -174,6 +174,50 @@ def descendant_counts(tree: DataFrame, node: str) -> DataFrame:
     return tree.join(counts, tree[node] == counts[f"{node}__v"], "left").select(*tree.columns, "n_descendants")
 
 
+def _circular(tree: DataFrame, links: DataFrame, node: str, parent: str) -> DataFrame:
+    """(v, up, root_id): the links of all nodes whose way up never ends."""
+    ends = tree.where("in_cycle").select(F.col(node).alias("v"), "root_id")
+    return links.where(F.col(node).isNotNull()).select(F.col(node).cast("long").alias("v"), F.col(parent).cast("long").alias("up")).join(ends, "v").checkpoint()
+
+
+def _twice(hop: DataFrame) -> DataFrame:
+    """(v, up) twice as far up."""
+    return hop.join(hop.select(F.col("v").alias("up"), F.col("up").alias("far")), "up").select("v", F.col("far").alias("up")).checkpoint()
+
+
+def circles(tree: DataFrame, links: DataFrame, node: str, parent: str) -> DataFrame:
+    """(node, parent, root_id): the links that go in circles, without those that only lead to one; root_id as in `hierarchy`.
+
+    Going up from all nodes at once ends on the circles: the distance doubles until no fewer nodes are reached than before.
+    """
+    ways = _circular(tree, links, node, parent)
+    hop = ways.select("v", "up")
+    before, now = ways.count(), hop.select("up").distinct().count()
+    while now < before:
+        hop = _twice(hop)
+        before, now = now, hop.select("up").distinct().count()
+    on = hop.select(F.col("up").alias("v")).distinct()
+    return ways.join(on, "v").select(F.col("v").alias(node), F.col("up").alias(parent), "root_id")
+
+
+def circle_descendants(tree: DataFrame, links: DataFrame, node: str, parent: str) -> DataFrame:
+    """As `descendants`, for the nodes that it leaves out: those on circles and those whose way up leads to one.
+
+    No node is above itself; the others of a circle are above and below each other, at the least distance.
+    """
+    hop = _circular(tree, links, node, parent).select("v", "up")
+    pairs = hop.where("v <> up").select(F.col("up").alias("ancestor_id"), F.col("v").alias("descendant_id"), F.lit(1).cast("long").alias("distance"))
+    covered, known = 1, pairs.count()
+    while True:
+        ahead = pairs.select("ancestor_id", F.col("descendant_id").alias("up"), (F.col("distance") + covered).alias("distance"))
+        beyond = hop.join(ahead, "up").select("ancestor_id", F.col("v").alias("descendant_id"), "distance").where("ancestor_id <> descendant_id")
+        pairs = pairs.unionByName(beyond).groupBy("ancestor_id", "descendant_id").agg(F.min("distance").alias("distance")).checkpoint()
+        before, known = known, pairs.count()
+        if known == before:
+            return pairs
+        hop, covered = _twice(hop), 2 * covered
+
+
 CONTAINERS = ("class", "struct", "interface", "trait", "enum", "module")
 
 

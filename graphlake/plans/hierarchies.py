@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlake.operators.hierarchy import descendant_counts, hierarchy, symbol_links
+from graphlake.operators.hierarchy import circle_descendants, circles, descendant_counts, descendants, hierarchy, symbol_links
 from graphlake.plans.session import shared_folder
 from graphlake.sources.tables import table
 
@@ -29,6 +29,18 @@ def p4_hierarchy(spark: SparkSession, directory: str) -> DataFrame:
     return tree.select("symbol_id", "root_id", "depth", F.array_join(F.col("path").cast("array<string>"), "/").alias("path"), "n_descendants", "in_cycle")
 
 
+def p4_descendants(spark: SparkSession, directory: str) -> DataFrame:
+    """Every symbol with each symbol below it and the steps between them, on circles too."""
+    links, tree = symbol_links(table(spark, directory, "symbols")), _tree(spark, directory, paths=True)
+    return descendants(tree, "symbol_id").unionByName(circle_descendants(tree, links, "symbol_id", "parent"))
+
+
+def p4_circles(spark: SparkSession, directory: str) -> DataFrame:
+    """The links that go in circles, with the circle's least id."""
+    links, tree = symbol_links(table(spark, directory, "symbols")), _tree(spark, directory, paths=False)
+    return circles(tree, links, "symbol_id", "parent")
+
+
 _LINKS = """
 one AS (SELECT symbol_id, max(file_id) file_id, max(name) AS name, max(kind) kind, max(owner) AS owner, max(parent) parent FROM symbols
   WHERE symbol_id IS NOT NULL GROUP BY symbol_id),
@@ -49,5 +61,9 @@ ORACLES = {
 below AS (SELECT CAST(a AS BIGINT) a, count(*) n FROM (SELECT u.top AS a, u.symbol_id FROM up u JOIN placed p USING (symbol_id) WHERE NOT p.looped AND u.depth > 0) GROUP BY a)
 SELECT CAST(p.symbol_id AS BIGINT) symbol_id, CAST(root_id AS BIGINT) root_id, CASE WHEN NOT looped THEN CAST(depth AS BIGINT) END AS depth, CASE WHEN NOT looped THEN path END AS path,
   CASE WHEN NOT looped THEN coalesce(n, 0) END AS n_descendants, looped AS in_cycle FROM placed p LEFT JOIN below b ON b.a = p.symbol_id""",
+    "p4_descendants": f"""WITH RECURSIVE {_LINKS} SELECT CAST(top AS BIGINT) ancestor_id, CAST(symbol_id AS BIGINT) descendant_id, CAST(depth AS BIGINT) distance
+FROM up WHERE depth > 0 AND NOT looped""",
+    "p4_circles": f"""WITH RECURSIVE {_LINKS} SELECT CAST(symbol_id AS BIGINT) symbol_id, CAST(parent AS BIGINT) parent, CAST(root_id AS BIGINT) root_id
+FROM placed JOIN links USING (symbol_id) JOIN (SELECT symbol_id FROM last WHERE looped AND top = symbol_id) USING (symbol_id)""",
 }
-QUERIES = {"p4_found": p4_found, "p4_hierarchy": p4_hierarchy}
+QUERIES = {"p4_found": p4_found, "p4_hierarchy": p4_hierarchy, "p4_descendants": p4_descendants, "p4_circles": p4_circles}

@@ -88,6 +88,24 @@ def test_descendants_of_chains_and_stars(spark):
     assert got == want
 
 
+def test_circles_and_what_is_below_each_node(spark):
+    parent = {0: None, 1: 0, 2: 1, 3: 99, 5: 5, 6: 5, 7: 6, 10: 11, 11: 10, 12: 10} | {20 + i: 20 + (i + 1) % 7 for i in range(7)} | {30: 23} | {30 + i: 29 + i for i in range(1, 20)}
+    links = spark.createDataFrame([*parent.items(), (None, 5)], "id int, up int")
+    tree = H.hierarchy(links, "id", "up")
+    above = {}
+    for v in parent:
+        at, steps = parent[v], 1
+        while at in parent and at != v and (at, v) not in above:
+            above[at, v] = steps
+            at, steps = parent[at], steps + 1
+    got = [tuple(r) for r in H.descendants(tree, "id").unionByName(H.circle_descendants(tree, links, "id", "up")).collect()]
+    assert len(got) == len(above) and {(a, d): n for a, d, n in got} == above
+    want = [(5, 5, 5), (10, 11, 10), (11, 10, 10)] + [(20 + i, 20 + (i + 1) % 7, 20) for i in range(7)]
+    assert sorted(map(tuple, H.circles(tree, links, "id", "up").collect())) == want
+    some = links.where("id < 4")
+    assert H.circles(H.hierarchy(some, "id", "up"), some, "id", "up").count() == H.circle_descendants(H.hierarchy(some, "id", "up"), some, "id", "up").count() == 0
+
+
 def test_circles_of_many_lengths_over_partitions(spark):
     parent, at = {}, 0
     for length in (1, 2, 3, 5, 8, 13, 31):
