@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -12,7 +13,7 @@ from graphlake.llm.packrat import Grammar
 ID, NUM, STR, BAD, CONFLICT, LINE, INDENT, DEDENT = "a", "0", "s", "X", "M", "N", "I", "D"
 
 # Marks of two kinds in one token, and of line ends that count; neither is a kind itself.
-_PAIR, _KEPT = "\ue000", "\ue001"
+_PAIR, _KEPT = "\ue000", "\x01"
 
 _CONFLICT = r"(?m:^(?:<{7}|>{7}|\|{7})(?:[ \t][^\n]*)?$|^={7}$)"
 _NAME = r"[^\W\d]\w*"
@@ -36,13 +37,23 @@ class Kinds(dict):
 class Language:
     name: str
     lexer: re.Pattern
+    quick: re.Pattern  # finds the same tokens, but for most of those that have no kind
     kinds: Kinds
     grammar: Grammar
     arrange: Callable[[list[str], list[str]], tuple[str, object]]
 
     def read(self, text: str) -> tuple[str, list[str], object]:
         """(kind string, token texts, and what tells the token of a kind)."""
-        tokens = self.lexer.findall(text)
+        return self._arranged(self.lexer.findall(text))
+
+    def read_quick(self, text: str) -> tuple[str, list[str], object]:
+        """The same kind string as `read`, without all tokens that have no kind.
+
+        No line end is left out of Python, JavaScript and TypeScript.
+        """
+        return self._arranged(self.quick.findall(text))
+
+    def _arranged(self, tokens: list[str]) -> tuple[str, list[str], object]:
         kinds = list(map(self.kinds.__getitem__, tokens))
         string, where = self.arrange(tokens, kinds)
         return string, tokens, where
@@ -51,12 +62,15 @@ class Language:
 class _Lazy:
     """For each kind that was kept, the index of its token; worked out only when a failure is reported."""
 
-    def __init__(self, kinds: list[str], string: str | None = None):
-        self.kinds, self.string = kinds, string
+    def __init__(self, kinds: list[str], keep: re.Pattern | None = None):
+        self.kinds, self.keep = kinds, keep
 
     def after(self, string: str, at: int) -> int:
         flat = [k for k, v in enumerate(self.kinds) for _ in v]
-        kept = flat if self.string is None else [k for k, c in zip(flat, self.string, strict=True) if c != LINE]
+        kept = flat
+        if self.keep is not None:
+            marked = self.keep.sub(lambda m: _KEPT + LINE * (len(m.group()) - 1), "".join(self.kinds))
+            kept = [k for k, c in zip(flat, marked, strict=True) if c != LINE]
         return kept[at] if at < len(kept) else len(self.kinds)
 
 
@@ -68,7 +82,7 @@ def _table(words: str, soft: str, signs: str) -> tuple[dict[str, str], str]:
     """Kinds of keywords, of words that are also names, and of signs; and the class of all names."""
     table: dict[str, str] = {}
     names = ID
-    at = 0x100
+    at = 0x80  # up to 0xff a kind is one byte
     for w in words.split():
         table[w] = chr(at)
         at += 1
@@ -106,18 +120,25 @@ def _tell(comments: tuple[str, ...], quotes: str, extra: Callable[[str], str | N
     return tell
 
 
-def _build(name: str, lexer: str, words: str, soft: str, signs: str, grammar: str, comments: tuple[str, ...], quotes: str, extra=lambda t: None, arrange=_plain, drop: str = "") -> Language:
+def _quick(lexer: str, early: str, skipped: str) -> re.Pattern:
+    """Tokens together with the blanks and comments after them; `early` finds frequent tokens as `lexer` would."""
+    return re.compile(rf"({early}|{lexer})(?:{skipped})*+")
+
+
+def _build(name: str, lexer: str, early: str, skipped: str, words: str, soft: str, signs: str, grammar: str, comments: tuple[str, ...], quotes: str, extra=lambda t: None, arrange=_plain, drop: str = "") -> Language:
     table, names = _table(words, soft, signs)
     classes = {"ID": names, "NUM": NUM, "STR": STR, "NL": LINE, "INDENT": INDENT, "DEDENT": DEDENT}
     kinds = dict(table)
-    return Language(name, re.compile(lexer), Kinds(table, _tell(comments, quotes, extra)), Grammar(grammar, kinds, classes), arrange(table) if arrange is not _plain else _plain)
+    return Language(name, re.compile(lexer), _quick(lexer, early, skipped), Kinds(table, _tell(comments, quotes, extra)), Grammar(grammar, kinds, classes), arrange(table) if arrange is not _plain else _plain)
 
 
 _SIGNS_C = "( ) [ ] { } , ; : . ? @ # ~ ! + - * / % & | ^ = < >"
 _NUMBER = r"(?:0[xX][0-9a-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*)?\.?\d[\d_]*\.?(?:[eEpP][+-]?\d[\d_]*)?)[a-zA-Z0-9_]*"
-_DQ = r'"(?:[^"\\\n]|\\[\s\S])*"'
-_SQ = r"'(?:[^'\\\n]|\\[\s\S])*'"
-_SLASH = r"//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/"
+_DQ = r'"[^"\\\n]*+(?:\\[\s\S][^"\\\n]*+)*+"'
+_SQ = r"'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+'"
+_SLASH = r"//[^\n]*|/\*[^*]*+(?:\*(?!/)[^*]*+)*+\*/"
+# Signs that begin no longer token, and points before a name.
+_SINGLE, _POINT = r"[()\[\]{},;]", r"\.(?=[A-Za-z_$])"
 
 
 # JavaScript and TypeScript ------------------------------------------------------------------------------------
@@ -134,12 +155,19 @@ _JS_LEX = (
     # Names first, the most frequent tokens, but for the words that a regular expression can follow.
     rf"\s+|(?!(?:return|typeof|case)\b)[#]?(?:[^\W\d]|\$)[\w$]*|{_SLASH}|{_CONFLICT}|(?:=>|&&|\|\||\?\?|[=!]==?|[(,=:\[!&|?{{;+~^]|\breturn|\btypeof|\bcase)[ \t]*\n?[ \t]*{_REGEX}|{_DQ}|{_SQ}|{_template(3)}|[#]?(?:[^\W\d]|\$)[\w$]*|{_NUMBER}"
     r"|>>>=|>>=|<<=|\*\*=|&&=|\|\|=|\?\?=|===|!==|\.\.\.|\*\*|==|!=|<=|>=|=>|\+\+|--|&&|\|\||\?\?|\?\.(?!\d)|<<|[+\-*/%&|^]=|[\s\S]")
+# A bracket or sign that a regular expression may follow is left to the lexer, and so are three words.
+_JS_EARLY = rf"(?![rtc](?:eturn|ypeof|ase)\b)[A-Za-z_$][\w$]*|[)\]}}]|[(,;{{](?![ \t\n]*/)|{_POINT}"
 _JS_WORDS = "break case catch class const continue debugger default delete do else export extends finally for function if import in instanceof new return super switch this throw try typeof var void while with null true false enum"
 _JS_SOFT = "async await of get set static from as let yield type interface declare namespace module abstract readonly public private protected implements keyof is infer satisfies override accessor asserts unique target"
 _JS_SIGNS = _SIGNS_C + " >>>= >>= <<= **= &&= ||= ??= === !== ... ** == != <= >= => ++ -- && || ?? ?. << += -= *= /= %= &= |= ^="
 
 
+_JS_PAIRED = re.compile(rf"(?s)(=>|&&|\|\||\?\?|[=!]==?|[(,=:\[!&|?{{;+~^]|return|typeof|case)\s*({_REGEX})")
+
+
 def _js_extra(token: str) -> str | None:
+    if token[0] in "\"'`":
+        return None
     if token[0] == "\n" or (token[0].isspace() and "\n" in token):
         return LINE
     if token.startswith("/*") and "\n" in token:
@@ -148,7 +176,7 @@ def _js_extra(token: str) -> str | None:
         return ID
     if token.startswith(("//", "/*")):
         return ""
-    m = re.fullmatch(rf"(?s)(=>|&&|\|\||\?\?|[=!]==?|[(,=:\[!&|?{{;+~^]|return|typeof|case)\s*({_REGEX})", token)
+    m = _JS_PAIRED.fullmatch(token)
     if m:
         return _PAIR + m.group(1) + _PAIR
     return None
@@ -166,9 +194,11 @@ def _js_arrange(table: dict[str, str]):
 
     def arrange(tokens: list[str], kinds: list[str]) -> tuple[str, object]:
         # A sign together with the regular expression after it: two kinds.
-        kinds = [table[k[1:-1]] + STR if k[:1] == _PAIR else k for k in kinds]
-        string = keep.sub(lambda m: _KEPT + LINE * (len(m.group()) - 1), "".join(kinds))
-        return string.replace(LINE, "").replace(_KEPT, LINE), _Lazy(kinds, string)
+        joined = "".join(kinds)
+        if _PAIR in joined:
+            kinds = [table[k[1:-1]] + STR if k[:1] == _PAIR else k for k in kinds]
+            joined = "".join(kinds)
+        return keep.sub(_KEPT, joined).replace(LINE, "").replace(_KEPT, LINE), _Lazy(kinds, keep)
 
     return arrange
 
@@ -286,7 +316,7 @@ ModuleBody <- "{" (NL / Import / Export / StmtT)* "}"
 
 def _js(name: str, only: str) -> Language:
     grammar = "Program <- (NL / Import / Export / StmtT)*\n" + _JS_STATEMENT.replace("@", "T") + _JS_STATEMENT.replace("@", "F") + _JS_COMMON + only
-    return _build(name, _JS_LEX, _JS_WORDS, _JS_SOFT, _JS_SIGNS, grammar, ("//", "/*"), "\"'`", _js_extra, _js_arrange)
+    return _build(name, _JS_LEX, _JS_EARLY, r"[ \t]+|//[^\n]*", _JS_WORDS, _JS_SOFT, _JS_SIGNS, grammar, ("//", "/*"), "\"'`", _js_extra, _js_arrange)
 
 
 # Go -----------------------------------------------------------------------------------------------------------
@@ -307,8 +337,7 @@ def _go_arrange(table: dict[str, str]):
     keep = re.compile(rf"(?<={ends})N")
 
     def arrange(tokens: list[str], kinds: list[str]) -> tuple[str, object]:
-        string = keep.sub(_KEPT, "".join(kinds))
-        return string.replace(LINE, "").replace(_KEPT, LINE), _Lazy(kinds, string)
+        return keep.sub(_KEPT, "".join(kinds)).replace(LINE, "").replace(_KEPT, LINE), _Lazy(kinds, keep)
 
     return arrange
 
@@ -518,8 +547,9 @@ Atom <- ID / NUM / STR (STR / ID)* / "(" Exprs ")" / "(" Block ")"
 
 # Rust ---------------------------------------------------------------------------------------------------------
 
+_RUST_COMMENT = r"//[^\n]*|/\*(?:[^*/]|\*(?!/)|/(?!\*)|/\*(?:[^*/]|\*(?!/)|/(?!\*)|/\*(?:[^*]|\*(?!/))*\*/)*\*/)*\*/"
 _RUST_LEX = (
-    rf'\s+|//[^\n]*|/\*(?:[^*/]|\*(?!/)|/(?!\*)|/\*(?:[^*/]|\*(?!/)|/(?!\*)|/\*(?:[^*]|\*(?!/))*\*/)*\*/)*\*/|{_CONFLICT}|b?r"[^"]*"|b?r#"(?:[^"]|"(?!#))*"#|b?r##"(?:[^"]|"(?!##))*"##|[bc]?"(?:[^"\\]|\\[\s\S])*"'
+    rf'\s+|{_RUST_COMMENT}|{_CONFLICT}|b?r"[^"]*"|b?r#"(?:[^"]|"(?!#))*"#|b?r##"(?:[^"]|"(?!##))*"##|[bc]?"(?:[^"\\]|\\[\s\S])*"'
     rf"|b?'(?:[^'\\\n]|\\(?:[^u\n]|u\{{[0-9a-fA-F_]+\}})(?:[0-9a-fA-F])?)'|'{_NAME}|r#{_NAME}|{_NAME}"
     r"|(?:0x[0-9a-fA-F_]+|0b[01_]+|0o[0-7_]+|\d[\d_]*(?:\.(?![.\w])|\.\d[\d_]*)?(?:[eE][+-]?[\d_]+)?)\w*|\.\.=|\.\.\.|<<=|\.\.|::|->|=>|&&|\|\||<<|[=!<+\-*/%&|^]=|[\s\S]")
 _RUST_WORDS = "as break const continue crate else enum extern false fn for if impl in let loop match mod move mut pub ref return self Self static struct super trait true type unsafe use where while async await dyn"
@@ -536,7 +566,7 @@ def _rust_extra(token: str) -> str | None:
 
 
 _RUST_EXPR = """
-Expr~ <- Range~ (AssignOp Expr~)?
+Expr~ <- Leaf &(")" / "," / ";" / "]" / "}") / Range~ (AssignOp Expr~)?
 Range~ <- (".." / "..=") Or~? / Or~ ((".." / "..=") Or~?)?
 Or~ <- Unary~ ("as" Type / BinOp Unary~)*
 Unary~ <- ("-" / "!" / "*" / "&&" "mut"? / "&" "mut"?) Unary~ / Postfix~
@@ -580,7 +610,8 @@ Const <- "const" ID ":" Type "=" Expr ";"
 Static <- "static" "mut"? ID ":" Type ("=" Expr)? ";"
 ExternItem <- "unsafe"? "extern" STR? "{" InnerAttr* (Attr* Vis? (FnHead ";" / "static" "mut"? ID ":" Type ";" / "type" ID ";"))* "}"
 MacroItem <- Path "!" ID? ("{" Tree* "}" / ("(" Tree* ")" / "[" Tree* "]") ";")
-Type <- "(" (Type ("," Type)* ","?)? ")" / "!" / "*" ("const" / "mut") Type / ("&&" / "&") "L"? "mut"? Type / "[" Type (";" Expr)? "]" / ForLife? "unsafe"? ("extern" STR?)? "fn" "(" (FnTypeParam ("," FnTypeParam)* ","?)? ")" ("->" Type)? / ("impl" / "dyn") Bounds / Path "!" ("(" Tree* ")" / "[" Tree* "]" / "{" Tree* "}") / Path ("+" Bounds)?
+Leaf <- NUM / STR / ID ("." ID)*
+Type <- ID &(")" / "," / ";" / "{" / "=" / ">") / "(" (Type ("," Type)* ","?)? ")" / "!" / "*" ("const" / "mut") Type / ("&&" / "&") "L"? "mut"? Type / "[" Type (";" Expr)? "]" / ForLife? "unsafe"? ("extern" STR?)? "fn" "(" (FnTypeParam ("," FnTypeParam)* ","?)? ")" ("->" Type)? / ("impl" / "dyn") Bounds / Path "!" ("(" Tree* ")" / "[" Tree* "]" / "{" Tree* "}") / Path ("+" Bounds)?
 FnTypeParam <- (ID ":")? Type
 Path <- ("<" Type ("as" Path)? ">" "::")? "::"? PathSeg ("::" PathSeg)*
 PathSeg <- PathWord ("::"? GenericArgs / "(" (Type ("," Type)* ","?)? ")" ("->" Type)?)?
@@ -625,7 +656,7 @@ FlatCall <- "(" (FlatArg ("," FlatArg)*)? ")"
 
 # Python -------------------------------------------------------------------------------------------------------
 
-_PY_STRING = r"(?:[rRbBuUfFtT]{0,3})(?:\"\"\"(?:[^\\\"]|\\[\s\S]|\"(?!\"\"))*\"\"\"|'''(?:[^\\']|\\[\s\S]|'(?!''))*'''|\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*')"
+_PY_STRING = r"(?:[rRbBuUfFtT]{0,3})(?:\"\"\"[^\\\"]*+(?:(?:\\[\s\S]|\"(?!\"\"))[^\\\"]*+)*+\"\"\"|'''[^\\']*+(?:(?:\\[\s\S]|'(?!''))[^\\']*+)*+'''|" + _DQ + "|" + _SQ + ")"
 
 
 def _f_string(quote: str, depth: int) -> str:
@@ -659,6 +690,7 @@ _ZEROS = re.compile(r"0[0-9_]*[1-9][0-9_]*")
 
 
 def _py_arrange(table: dict[str, str]):
+    @functools.lru_cache(10_000)
     def width(token: str) -> int:
         n = 0
         for c in token:
@@ -748,7 +780,8 @@ Yield <- "yield" ("from" Test / Tests)?
 Tests <- StarTest ("," StarTest)* ","?
 StarTest <- "*" Or / Named
 Named <- ID ":=" Test / Test
-Test <- "lambda" LambdaParams? ":" Test / Disj ("if" Disj "else" Test)?
+Leaf <- NUM / STR / Dotted / "None" / "True" / "False"
+Test <- Leaf &(")" / "," / NL / ":" / "]" / "}" / "=") / "lambda" LambdaParams? ":" Test / Disj ("if" Disj "else" Test)?
 Disj <- Conj ("or" Conj)*
 Conj <- Not ("and" Not)*
 Not <- "not" Not / Comp
@@ -806,26 +839,27 @@ PatKey <- "**" ID / Pattern ":" Pattern
 
 
 def _go() -> Language:
-    return _build("Go", _GO_LEX, _GO_WORDS, "", _GO_SIGNS, _GO, ("//", "/*"), "\"'`", _go_extra, _go_arrange)
+    return _build("Go", _GO_LEX, rf"{_NAME}|{_SINGLE}|{_POINT}", r"[ \t\r]+|//[^\n]*", _GO_WORDS, "", _GO_SIGNS, _GO, ("//", "/*"), "\"'`", _go_extra, _go_arrange)
 
 
 def _java() -> Language:
-    return _build("Java", _JAVA_LEX, _JAVA_WORDS, _JAVA_SOFT, _JAVA_SIGNS, _JAVA, ("//", "/*"), "\"'")
+    return _build("Java", _JAVA_LEX, rf"[A-Za-z_$][\w$]*|{_SINGLE}|{_POINT}", rf"\s+|{_SLASH}", _JAVA_WORDS, _JAVA_SOFT, _JAVA_SIGNS, _JAVA, ("//", "/*"), "\"'")
 
 
 def _c() -> Language:
-    return _build("C", _C_LEX, _C_WORDS, _C_SOFT, _C_SIGNS, _C, ("//", "/*"), "\"'", _c_extra)
+    return _build("C", _C_LEX, rf"[A-Za-z_]\w*+(?![\"'])|{_SINGLE}|{_POINT}", rf"\s+|{_SLASH}", _C_WORDS, _C_SOFT, _C_SIGNS, _C, ("//", "/*"), "\"'", _c_extra)
 
 
 def _rust() -> Language:
     grammar = _RUST.replace('"L"', "LIFE").replace('"_"', "ID")
     table, names = _table(_RUST_WORDS, _RUST_SOFT, _RUST_SIGNS)
     classes = {"ID": names, "NUM": NUM, "STR": STR, "LIFE": "L"}
-    return Language("Rust", re.compile(_RUST_LEX), Kinds(table, _tell(("//", "/*"), "\"'#", _rust_extra)), Grammar(grammar, table, classes), _plain)
+    quick = _quick(_RUST_LEX, rf"[A-Za-z_]\w*+(?![\"'#])|{_SINGLE}|{_POINT}", rf"\s+|{_RUST_COMMENT}")
+    return Language("Rust", re.compile(_RUST_LEX), quick, Kinds(table, _tell(("//", "/*"), "\"'#", _rust_extra)), Grammar(grammar, table, classes), _plain)
 
 
 def _python() -> Language:
-    return _build("Python", _PY_LEX, _PY_WORDS, _PY_SOFT, _PY_SIGNS, _PY, ("#",), "\"'", _py_extra, _py_arrange)
+    return _build("Python", _PY_LEX, rf"[A-Za-z_]\w*+(?![\"'])|{_SINGLE}|{_POINT}", r"[ \t\f]+|#[^\n\r]*", _PY_WORDS, _PY_SOFT, _PY_SIGNS, _PY, ("#",), "\"'", _py_extra, _py_arrange)
 
 
 _MAKERS = {

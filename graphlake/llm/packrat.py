@@ -10,8 +10,12 @@ compiled without fusing.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+# Steps that a rule may take whose results are not kept, and how deep rules are written into others.
+_LIGHT, _DEEPEST = 60, 16
+
 _TOKEN = re.compile(r'\s*(?:(?P<lit>"(?:[^"\\]|\\.)*")|(?P<name>[A-Za-z_]\w*@?\w*)|(?P<op><-|[/()*+?&!.]))')
 
 
@@ -138,10 +142,12 @@ class Grammar:
         missing = {r for e in self.rules.values() for r in self._refs(e)} - set(self.rules)
         if missing:
             raise ValueError(f"no rules: {sorted(missing)}")
+        self.asks = {name: self._refs(e) for name, e in self.rules.items()}
         self.recursive = {name for name in self.rules if self._reaches(name, name)}
         self.fused: dict[object, str] = {}
         self._first_cache: dict[str, tuple[frozenset | None, bool]] = {}
-        self._run = {fuse: self._compile(fuse) for fuse in (True, False)}
+        self._unkept()
+        self._run = {True: self._compile(True)}
 
     def _refs(self, e) -> set[str]:
         if isinstance(e, Ref):
@@ -155,7 +161,7 @@ class Grammar:
     def _reaches(self, start: str, goal: str) -> bool:
         seen, todo = set(), [start]
         while todo:
-            for r in self._refs(self.rules[todo.pop()]):
+            for r in self.asks[todo.pop()]:
                 if r == goal:
                     return True
                 if r not in seen:
@@ -164,8 +170,7 @@ class Grammar:
         return False
 
     def _flat(self, e) -> bool:
-        refs = self._refs(e)
-        return all(r not in self.recursive and self._flat(self.rules[r]) for r in refs)
+        return all(r not in self.recursive and all(self._flat(Ref(x)) for x in self.asks[r]) for r in self._refs(e))
 
     def _pattern(self, e) -> str:
         if isinstance(e, Char):
@@ -188,7 +193,7 @@ class Grammar:
 
     def _first(self, e, depth: int = 0) -> tuple[frozenset | None, bool]:
         """(characters that e can begin with, or None for any; whether e can be empty)."""
-        if depth > 40:
+        if depth > 400:
             return None, True
         if isinstance(e, Char):
             return frozenset(e.chars), False
@@ -223,100 +228,225 @@ class Grammar:
             return f, empty or e.least == 0
         return (self._first(e.item, depth + 1)[0], True) if e.wanted else (frozenset(), True)
 
+    def _refs_at(self, e, head: bool) -> Iterator[tuple[str, bool]]:
+        """(rule, whether it is asked at most once and only where e begins) for each place in e that asks a rule."""
+        if isinstance(e, Ref):
+            yield e.name, head
+        elif isinstance(e, Seq):
+            for x in e.items:
+                yield from self._refs_at(x, head)
+                head = head and isinstance(x, Look)
+        elif isinstance(e, Alt):
+            for x in e.items:
+                yield from self._refs_at(x, head)
+        elif isinstance(e, Rep):
+            yield from self._refs_at(e.item, head and e.most == 1)
+        elif isinstance(e, Look):
+            yield from self._refs_at(e.item, head)
+
+    def _loops(self, e) -> bool:
+        """Whether e repeats, without bound, what is not one pattern."""
+        if isinstance(e, (Seq, Alt)):
+            return any(self._loops(x) for x in e.items)
+        if isinstance(e, Rep) and e.most is None:
+            return not self._flat(e.item)
+        if isinstance(e, Ref):
+            return e.name in self.once and self._loops(self.rules[e.name])
+        return isinstance(e, (Rep, Look)) and self._loops(e.item)
+
+    def _asked(self, name: str) -> list[str]:
+        """The rules that a rule asks, those in `once` replaced by what they ask."""
+        out: list[str] = []
+        for r, _ in self._refs_at(self.rules[name], True):
+            if not self._flat(Ref(r)):
+                out += self._asked(r) if r in self.once else [r]
+        return out
+
+    def _unkept(self) -> None:
+        """Finds the rules whose results need not be kept for the parse to stay linear.
+
+        once: asked in one place only, where another rule begins, so never twice at a position.  light: without
+        loops, and all that they ask is kept or as light, so asking again is a bounded number of steps.
+        """
+        places: dict[str, list[tuple[str, bool]]] = {name: [] for name in self.rules}
+        for name, e in self.rules.items():
+            for r, head in self._refs_at(e, True):
+                places[r].append((name, head))
+        self.once: set[str] = set()
+        for name, at in places.items():
+            if name != self.start and len(at) == 1 and at[0][1] and not self._flat(Ref(name)):
+                # A circle of such rules would keep nothing.
+                above = at[0][0]
+                while above in self.once and above != name:
+                    above = places[above][0][0]
+                if above != name:
+                    self.once.add(name)
+        self.light: dict[str, int] = {}
+        for name in sorted(self.rules, key=lambda r: -len(places[r])):
+            if name == self.start or name in self.once or self._flat(Ref(name)) or self._loops(self.rules[name]):
+                continue
+            asked = self._asked(name)
+            seen, todo = set(asked), [r for r in asked if r in self.light]
+            while todo:
+                for r in self._asked(todo.pop()):
+                    if r not in seen:
+                        seen.add(r)
+                        todo += [r] if r in self.light else []
+            steps = 1 + sum(self.light.get(r, 1) for r in asked)
+            if name not in seen and steps <= _LIGHT:
+                self.light[name] = steps
+                # Rules that ask this one have become longer by it.
+                for other in [r for r in self.light if name in self._asked(r)]:
+                    self.light[other] += steps
+        self.single = {name for name, at in places.items() if len(at) == 1}
+
+    def _one_of(self, e) -> str | None:
+        """The characters that e takes one of, if that is all that it does."""
+        if isinstance(e, Char):
+            return e.chars
+        if isinstance(e, Alt):
+            parts = [self._one_of(x) for x in e.items]
+            return None if None in parts else "".join(parts)
+        return None
+
     def _compile(self, fuse: bool):
         lines: list[str] = []
         env: dict[str, object] = {}
         count = [0]
+        wanted: dict[str, None] = {self.start: None} if fuse else dict.fromkeys(self.rules)
 
         def fresh(stem: str) -> str:
             count[0] += 1
             return f"{stem}{count[0]}"
 
+        def pattern(e) -> str:
+            if e not in self.fused:
+                self.fused[e] = self._pattern(e)
+            name = fresh("m")
+            env[name] = re.compile(self.fused[e]).match
+            return name
+
+        def among(at: str, chars: str) -> str:
+            return f"s[{at}] == {chars!r}" if len(chars) == 1 else f"s[{at}] in {chars!r}"
+
+        def guard(e) -> str | None:
+            """The characters that e can begin with, if it can't be empty."""
+            first, empty = self._first(e)
+            return None if not fuse or first is None or empty else "".join(sorted(first))
+
         def emit(e, at: str, out: str, pad: str) -> None:
             """Code that sets `out` to the position after e at `at`, or to -1."""
-            if fuse and not isinstance(e, Char) and self._flat(e):
-                if e not in self.fused:
-                    self.fused[e] = self._pattern(e)
-                name = fresh("m")
-                env[name] = re.compile(self.fused[e]).match
-                lines.append(f"{pad}g = {name}(s, {at}); {out} = g.end() if g else -1")
+            if fuse and self._one_of(e):
+                lines.append(f"{pad}{out} = {at} + 1 if {among(at, self._one_of(e))} else -1")
+                return
+            if fuse and isinstance(e, Look) and self._one_of(e.item):
+                test = among(at, self._one_of(e.item))
+                lines.append(f"{pad}{out} = {at} if {test} else -1" if e.wanted else f"{pad}{out} = -1 if {test} else {at}")
+                return
+            if fuse and self._flat(e):
+                lines.append(f"{pad}g = {pattern(e)}(s, {at}); {out} = g.end() if g else -1")
                 return
             if isinstance(e, Char):
-                test = f"s[{at}] == {e.chars!r}" if len(e.chars) == 1 else f"s[{at}] in {e.chars!r}"
-                if fuse:
-                    lines.append(f"{pad}{out} = {at} + 1 if {test} else -1")
-                else:
-                    lines.append(f"{pad}if {test}: {out} = {at} + 1")
-                    lines.append(f"{pad}else:")
-                    lines.append(f"{pad} {out} = -1")
-                    lines.append(f"{pad} if {at} > far[0]: far[0] = {at}")
+                lines.append(f"{pad}if {among(at, e.chars)}: {out} = {at} + 1")
+                lines.append(f"{pad}else:")
+                lines.append(f"{pad} {out} = -1")
+                lines.append(f"{pad} if {at} > far[0]: far[0] = {at}")
             elif isinstance(e, Any_):
                 lines.append(f"{pad}{out} = {at} + 1 if s[{at}] != '\\0' else -1")
             elif isinstance(e, Ref):
-                lines.append(f"{pad}{out} = r_{e.name}({at})")
+                if fuse and (e.name in self.once or e.name in self.light and e.name in self.single) and len(pad) < _DEEPEST:
+                    emit(self.rules[e.name], at, out, pad)
+                else:
+                    wanted[e.name] = None
+                    lines.append(f"{pad}{out} = r_{e.name}({at})")
             elif isinstance(e, Seq):
                 here = at
                 if not e.items:
                     lines.append(f"{pad}{out} = {at}")
                 lines.append(f"{pad}while True:")
-                for k, x in enumerate(e.items):
-                    nxt = out if k == len(e.items) - 1 else fresh("p")
-                    emit(x, here, nxt, pad + " ")
-                    if k < len(e.items) - 1:
-                        lines.append(f"{pad} if {nxt} < 0:")
+                for k, x in enumerate(e.items[:-1]):
+                    nxt = fresh("p")
+                    if fuse and self._one_of(x):
+                        lines.append(f"{pad} if not {among(here, self._one_of(x))}:" if len(self._one_of(x)) > 1 else f"{pad} if s[{here}] != {self._one_of(x)!r}:")
                         lines.append(f"{pad}  {out} = -1; break")
+                        lines.append(f"{pad} {nxt} = {here} + 1")
+                    elif fuse and self._flat(x) and not isinstance(x, Look):
+                        lines.append(f"{pad} g = {pattern(x)}(s, {here})")
+                        lines.append(f"{pad} if g is None:")
+                        lines.append(f"{pad}  {out} = -1; break")
+                        lines.append(f"{pad} {nxt} = g.end()")
+                    else:
+                        emit(x, here, nxt, pad + " ")
+                        if not (fuse and isinstance(x, Rep) and not x.least):
+                            lines.append(f"{pad} if {nxt} < 0:")
+                            lines.append(f"{pad}  {out} = -1; break")
                     here = nxt
+                if e.items:
+                    emit(e.items[-1], here, out, pad + " ")
                 lines.append(f"{pad} break")
             elif isinstance(e, Alt):
                 lines.append(f"{pad}while True:")
                 lines.append(f"{pad} {out} = -1")
+                char = fresh("c")
+                if fuse:
+                    lines.append(f"{pad} {char} = s[{at}]")
                 for x in e.items:
-                    first, empty = self._first(x)
-                    inner = pad + " "
-                    if fuse and first is not None and not empty:
-                        chars = "".join(sorted(first))
-                        lines.append(f"{inner}if s[{at}] in {chars!r}:")
+                    inner, chars = pad + " ", guard(x)
+                    if chars is not None:
+                        lines.append(f"{inner}if {char} {'==' if len(chars) == 1 else 'in'} {chars!r}:")
                         inner += " "
                     emit(x, at, out, inner)
                     lines.append(f"{inner}if {out} >= 0: break")
                 lines.append(f"{pad} break")
             elif isinstance(e, Rep):
-                here, nxt = fresh("p"), fresh("p")
+                here, nxt, chars = fresh("p"), fresh("p"), guard(e.item)
                 if e.most == 1:
-                    emit(e.item, at, nxt, pad)
-                    lines.append(f"{pad}{out} = {nxt} if {nxt} >= 0 else {at}")
+                    inner = pad
+                    if chars is not None:
+                        lines.append(f"{pad}{out} = {at}")
+                        lines.append(f"{pad}if {among(at, chars)}:")
+                        inner += " "
+                    emit(e.item, at, nxt, inner)
+                    lines.append(f"{inner}{out} = {nxt} if {nxt} >= 0 else {at}")
                     return
                 lines.append(f"{pad}{here} = {at}")
-                lines.append(f"{pad}while True:")
+                lines.append(f"{pad}while {'True' if chars is None else among(here, chars)}:")
                 emit(e.item, here, nxt, pad + " ")
                 lines.append(f"{pad} if {nxt} <= {here}: break")
                 lines.append(f"{pad} {here} = {nxt}")
                 lines.append(f"{pad}{out} = {here}" + (f" if {here} > {at} else -1" if e.least else ""))
             else:
-                nxt, kept = fresh("p"), fresh("k")
+                nxt, kept, inner, chars = fresh("p"), fresh("k"), pad, guard(e.item)
                 if not fuse:
                     lines.append(f"{pad}{kept} = far[0]")
-                emit(e.item, at, nxt, pad)
+                if chars is not None:
+                    lines.append(f"{pad}{nxt} = -1")
+                    lines.append(f"{pad}if {among(at, chars)}:")
+                    inner += " "
+                emit(e.item, at, nxt, inner)
                 if not fuse:
                     lines.append(f"{pad}far[0] = {kept}")
                 lines.append(f"{pad}{out} = {at} if {nxt} {'>=' if e.wanted else '<'} 0 else -1")
 
         lines.append("def run(s, far):")
-        for name, e in self.rules.items():
-            if fuse and name != self.start and self._flat(e):
-                # Still callable: a flat rule is one pattern.
-                lines.append(f" def r_{name}(p):")
-                emit(e, "p", "q", "  ")
-                lines.append("  return q")
-                continue
-            lines.append(f" memo_{name} = {{}}")
+        done: list[str] = []
+        while len(done) < len(wanted):
+            name = next(r for r in wanted if r not in done)
+            done.append(name)
+            kept = not fuse or name == self.start or not (self._flat(self.rules[name]) or name in self.once or name in self.light)
+            if kept:
+                lines.append(f" memo_{name} = {{}}")
             lines.append(f" def r_{name}(p):")
-            lines.append(f"  q = memo_{name}.get(p)")
-            lines.append("  if q is not None: return q")
-            emit(e, "p", "q", "  ")
-            lines.append(f"  memo_{name}[p] = q")
+            if kept:
+                lines.append(f"  q = memo_{name}.get(p)")
+                lines.append("  if q is not None: return q")
+            emit(self.rules[name], "p", "q", "  ")
+            if kept:
+                lines.append(f"  memo_{name}[p] = q")
             lines.append("  return q")
-        lines.append(f" return r_{self.start}(0)")
+        lines.append(f" try: return r_{self.start}(0)")
+        # The rules hold each other: without this they and all that they kept stay until the collector comes.
+        lines.append(f" finally: {' = '.join(f'r_{name}' for name in done)} = None")
         exec(compile("\n".join(lines), "grammar", "exec"), env)  # noqa: S102
         return env["run"]
 
@@ -395,5 +525,7 @@ class Grammar:
     def furthest(self, kinds: str) -> int:
         """The furthest position at which a token was refused."""
         far = [0]
+        if False not in self._run:
+            self._run[False] = self._compile(False)
         self._run[False](kinds + "\0", far)
         return min(far[0], len(kinds))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import sys
 import threading
@@ -235,12 +236,13 @@ def parse(text: str, extension: str) -> tuple[bool, int | None, str | None]:
         text, bad = plain_script(text)
         if bad is not None:
             return False, bad, "unexpected"
-    kinds, tokens, where = language.read(text)
+    kinds, tokens, _ = language.read_quick(text)
     valid, far = _matches(language, kinds)
     if valid:
         fields = _F_PREFIX.search(text) if language.name == "Python" else "${" in text and language.name in ("JavaScript", "TypeScript")
         bad = _bad_field(language, tokens) if fields else None
         return (True, None, None) if bad is None else (False, bad, "unexpected")
+    _, tokens, where = language.read(text)
     at = where.after(kinds, far)
     line = 1 + sum(t.count("\n") for t in tokens[:at])
     if CONFLICT in kinds:
@@ -280,9 +282,20 @@ def _deep(work):
     return out[0]
 
 
+def _uncollected(work):
+    """The result of `work` without runs of the collector of circles, for which parses leave nothing."""
+    running = gc.isenabled()
+    gc.disable()
+    try:
+        return work()
+    finally:
+        if running:
+            gc.enable()
+
+
 def _parse_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        rows = _deep(lambda b=batch: [(f, *parse(t, e)) for f, e, t in zip(b["file_id"], b["ext"], b["content"], strict=True)])
+        rows = _uncollected(lambda b=batch: _deep(lambda: [(f, *parse(t, e)) for f, e, t in zip(b["file_id"], b["ext"], b["content"], strict=True)]))
         yield pd.DataFrame(rows, columns=["file_id", "valid", "line", "cause"]).astype({"line": "Int32"})
 
 

@@ -1,3 +1,4 @@
+import gc
 import random
 
 import numpy as np
@@ -12,6 +13,8 @@ from graphlake.llm import sources as S
 from graphlake.llm import spam as M
 from graphlake.llm import splitting as C
 from graphlake.llm import syntax as Y
+from graphlake.llm.grammars import language_of
+from graphlake.llm.packrat import Grammar
 
 
 def greedy(start, end, cuts, limit, overlap):
@@ -174,6 +177,47 @@ def test_failures_are_placed():
     assert Y.parse("x", "md") == (True, None, None)
 
 
+def test_a_parse_leaves_nothing_to_collect():
+    texts = {"py": "x = f(a, [1])\n", "js": "x = f(a, [1]);\n", "ts": "let x: A<B> = f(1);\n", "go": "package a\n", "rs": "fn a() { f(1); }\n", "java": "class A { }\n", "c": "int a;\n"}
+    for ext, text in texts.items():
+        assert Y.parse(text, ext)[0]
+    gc.collect()
+    gc.disable()
+    try:
+        for ext, text in texts.items():
+            for _ in range(50):
+                Y.parse(text, ext)
+        assert gc.collect() < 50
+    finally:
+        gc.enable()
+
+
+def test_only_rules_that_may_be_asked_again_are_kept():
+    kinds, classes = {c: c for c in "abc+()"}, {}
+    grammar = Grammar('S <- Sum !.\nSum <- Product ("+" Product)*\nProduct <- Power\nPower <- "(" Sum ")" "b" / "(" Sum ")" / "a"', kinds, classes)
+    # Power is asked in one place only, at the start of Product; Product asks nothing but kept rules; Sum loops.
+    assert (grammar.once, set(grammar.light)) == ({"Power"}, {"Product"})
+    for text in ("a", "a+a", "(a)b+((a+a))", "(" * 60 + "a" + ")" * 60, "", "a+", "(a", "ab", "(a)c"):
+        assert grammar.matches(text) == grammar.deep(text)[0], text
+
+
+def test_the_quick_lexer_reads_the_same_kinds():
+    rng = random.Random(3)
+    parts = {
+        "js": ["a", "return", "/x/g", " ", "\n", "// c\n", "/* d\n */", "(", ";", ",", "=", "/", "`${a}`", "'s'", ".5", "...", ".a", "#p", "}", "rest", "\r\n", "é"],
+        "py": ["a", "rb", "'s'", "f'{a!r}'", " ", "\n", "\n    ", "# c", "\\\n", "(", ")", ":", "\"\"\"d\n\"\"\"", "0777", "...", ".a", "\t", "\f", "é"],
+        "rs": ["a", "r#b", "b'x'", "r#\"s\"#", "'l", " ", "\n", "// c\n", "/* /* d */ */", "/*", "..", ".a", "::", "{", ";", "<"],
+        "c": ["a", "L'x'", "u8\"s\"", "#if X\n", " ", "\n", "// c\n", "/* d\n */", "/*", "...", ".a", "->", "{", ";", "\\\n"],
+        "go": ["a", "`s`", "\"s\"", " ", "\n", "\r\n", "// c\n", "/* d\n */", "...", ".a", "<-", "{", "return", ")"],
+        "java": ["a", "$b", "\"s\"", "'c'", " ", "\n", "// c\n", "/* d\n */", "...", ".a", "::", "{", "@", "é"],
+    }
+    for ext, some in {**parts, "ts": parts["js"]}.items():
+        language = language_of(ext)
+        for _ in range(2000):
+            text = "".join(rng.choices(some, k=rng.randrange(1, 14)))
+            assert language.read_quick(text)[0] == language.read(text)[0], text
+
+
 def test_deep_and_long_texts_end():
     assert Y._deep(lambda: Y.parse("x = " + "(" * 3000 + "1" + ")" * 3000 + "\n", "py"))[0]
     assert Y.parse("f(a, 1);\n" * 40_000, "js")[0]
